@@ -36,8 +36,10 @@ def intent(text: Column | str) -> Column:
 
 
 def menu_index(text: Column | str) -> Column:
-    """1-based choice typed by the user, NULL when it is not an integer."""
-    return py_strip(text).try_cast("int")
+    """1-based choice typed by the user, NULL when it is not an integer
+    (digits with an optional sign; ``2.5`` or ``two`` are not choices)."""
+    t = py_strip(text)
+    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
 
 
 def menu_pick(text: Column | str, options: Column | str) -> Column:

@@ -81,7 +81,7 @@ def fmt_day(d: Column | str) -> Column:
 
 def parse_day(c: Column | str) -> Column:
     """Lenient ISO date parse; NULL (instead of an exception) on bad input."""
-    return F.try_to_date(col_(c), F.lit("yyyy-M-d"))
+    return F.try_to_date(col_(c), "yyyy-M-d")
 
 
 def numbered_list(arr: Column | str) -> Column:

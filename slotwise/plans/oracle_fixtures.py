@@ -60,6 +60,17 @@ SELECT 'whatsapp:+91' || CAST(9000000000 + user_id AS VARCHAR) AS phone,
     WHEN 'signup' THEN 'choose_date' WHEN 'purchase' THEN 'confirm_name' ELSE 'start' END AS step,
   props AS temp_data, ts AS updated_at, event_id AS seq
 FROM events""",
+    "admin_cancel_ids": """
+SELECT o_orderkey + 1 AS id FROM orders WHERE o_orderpriority = '1-URGENT'""",
+    "admin_complete_ids": """
+SELECT o_orderkey + 1 AS id FROM orders WHERE o_orderpriority = '2-HIGH'""",
+    "leave_requests": """
+SELECT o_orderkey + 1 AS request_id,
+  1 + o_custkey % (SELECT COUNT(*) FROM supplier) AS doctor_id,
+  CASE WHEN o_orderkey % 97 = 0 THEN '2025-02-30'
+    ELSE strftime(DATE '2025-06-01' + CAST(o_orderkey % 60 AS INTEGER), '%Y-%m-%d') END AS leave_date,
+  'Leave ' || o_orderstatus AS reason
+FROM orders WHERE o_orderpriority = '5-LOW'""",
     "ledger": """
 SELECT * FROM appointments WHERE id * 2 <= (SELECT COUNT(*) FROM orders)""",
     "requests": """
@@ -74,7 +85,8 @@ DEPENDS = {
 
 ORDER = [
     "doctors", "patients", "appointments_base", "appointments", "doctor_leaves",
-    "messages", "session_updates", "ledger", "requests",
+    "messages", "session_updates", "admin_cancel_ids", "admin_complete_ids", "leave_requests",
+    "ledger", "requests",
 ]
 
 
@@ -92,4 +104,24 @@ def with_fixtures(body: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in ORDER if n in needed]
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        # the query's own CTEs follow the fixtures
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def sql_render(template: str, **exprs: str) -> str:
+    """A message template as a DuckDB string expression: literal parts are
+    quoted, ``{field}`` parts are the given SQL expressions."""
+    import re
+
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append("'" + template[pos : m.start()].replace("'", "''") + "'")
+        parts.append(f"CAST({exprs[m.group(1)]} AS VARCHAR)")
+        pos = m.end()
+    if pos < len(template):
+        parts.append("'" + template[pos:].replace("'", "''") + "'")
+    return "(" + " || ".join(parts) + ")"

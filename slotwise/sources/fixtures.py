@@ -155,6 +155,26 @@ def session_updates(events: DataFrame) -> DataFrame:
     )
 
 
+def admin_status_ids(orders: DataFrame, priority: str) -> DataFrame:
+    """Appointment ids an admin acts on: every order of one priority class
+    (``1-URGENT`` → cancel, ``2-HIGH`` → complete)."""
+    return orders.where(F.col("o_orderpriority") == priority).select((F.col("o_orderkey") + 1).alias("id"))
+
+
+def leave_requests(orders: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Leave requests typed by an admin: one per low-priority order, with the
+    date as text (some of it not a real date)."""
+    n_doctors = supplier.select(F.count(F.lit(1))).scalar()
+    k = F.col("o_orderkey")
+    day = F.date_add(F.lit(FIRST_APPOINTMENT_DAY), (k % APPOINTMENT_SPAN_DAYS).cast("int"))
+    return orders.where(F.col("o_orderpriority") == "5-LOW").select(
+        (k + 1).alias("request_id"),
+        (F.lit(1) + F.col("o_custkey") % n_doctors).alias("doctor_id"),
+        F.when(k % 97 == 0, F.lit("2025-02-30")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("leave_date"),
+        F.concat(F.lit("Leave "), F.col("o_orderstatus")).alias("reason"),
+    )
+
+
 @dataclass
 class Tables:
     """Lazily derived scheduling tables for one scale-factor directory."""
@@ -195,6 +215,18 @@ class Tables:
     def session_updates(self) -> DataFrame:
         return self._get("session_updates", lambda: session_updates(self._src("events")))
 
+    @property
+    def admin_cancel_ids(self) -> DataFrame:
+        return admin_status_ids(self._src("orders"), "1-URGENT")
+
+    @property
+    def admin_complete_ids(self) -> DataFrame:
+        return admin_status_ids(self._src("orders"), "2-HIGH")
+
+    @property
+    def leave_requests(self) -> DataFrame:
+        return leave_requests(self._src("orders"), self._src("supplier"))
+
     def ledger_split(self) -> tuple[DataFrame, DataFrame]:
         """(ledger, requests): the first half of the appointment ids is the
         existing ledger, the second half arrives as booking requests."""
