@@ -1095,3 +1095,12 @@ def q_session_payload(spark, sf_dir):
         F.col("_p.dept").alias("dept"), F.col("_p.doctor.name").alias("doctor_name"),
         F.size("_p.dates").alias("n_dates"),
     )
+
+
+@register("conversation_steps")
+def q_conversation_steps(spark, sf_dir):
+    from slotwise.streaming import conversation
+
+    t = tables(spark, sf_dir)
+    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
+    return conversation.conversation_steps(ingest.tagged_messages(t.messages), menus)

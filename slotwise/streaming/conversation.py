@@ -1,0 +1,323 @@
+"""Per-phone conversation state machine (T-3) on Structured Streaming.
+
+Each phone's messages are folded, in (ts, id) order, through the booking
+dialogue: department → doctor → date → slot → name.  State per phone is a
+``ValueState`` (step, JSON payload) kept by ``transformWithStateInPandas``;
+the output is one transition row per message, including the command it
+emits (book / cancel / status) for the ledger operators downstream.
+
+The fold is inherently sequential per phone.  In a streaming query each
+micro-batch holds only that trigger's messages of a phone (bound it with
+``maxFilesPerTrigger`` / ``maxBytesPerTrigger``), and state carries the rest;
+the same processor also runs on a batch DataFrame.
+
+Menus (departments, doctors, offered dates, free slots, leaves) are a
+snapshot as of the run.  When the snapshot has at most ``max_rows`` rows it
+is shipped with the processor; above that it is written as key-sorted
+Parquet in the shared checkpoint folder and each task reads only the row
+groups of the keys it needs.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
+
+from slotwise.functions.intents import CANCEL_WORDS, GREETING_WORDS, STATUS_WORDS
+from slotwise.operators import availability, lookups
+from slotwise.session import scratch_path
+
+STEPS = ("start", "choose_dept", "choose_doctor", "choose_date", "choose_slot", "confirm_name", "idle")
+
+def _fields(*spec) -> StructType:
+    return StructType([StructField(n, t, True) for n, t in spec])
+
+
+_S, _L = StringType(), LongType()
+OUTPUT_SCHEMA = _fields(
+    ("phone", _S), ("msg_id", _L), ("ts", TimestampNTZType()), ("intent", _S), ("from_step", _S),
+    ("to_step", _S), ("command", _S), ("doctor_id", _L), ("date", _S), ("slot", _S), ("name", _S),
+    ("reply_kind", _S),
+)
+STATE_SCHEMA = _fields(("step", _S), ("temp_data", _S))
+MENU_ROW_LIMIT = 2_000_000
+
+_INT = re.compile(r"^[+-]?[0-9]+$")
+_DOCTOR_KEYS = ("id", "name", "department", "available_days", "slot_duration_mins", "start_time", "end_time")
+
+
+# ----------------------------------------------------------------------------- menus
+
+
+class MemoryMenus:
+    """Menu snapshot held in memory (used when its size is within the bound)."""
+
+    def __init__(self, departments, doctors, dates, slots, leaves):
+        self._departments = departments
+        self._doctors = doctors
+        self._dates = dates
+        self._slots = slots
+        self._leaves = leaves
+
+    def departments(self) -> list[str]:
+        return self._departments
+
+    def doctors(self, dept: str) -> list[dict]:
+        return self._doctors.get(dept, [])
+
+    def dates(self, doctor_id: int) -> list[str]:
+        return self._dates.get(doctor_id, [])
+
+    def slots(self, doctor_id: int, day: str) -> list[str]:
+        return self._slots.get((doctor_id, day), [])
+
+    def on_leave(self, doctor_id: int, day: str) -> bool:
+        return (doctor_id, day) in self._leaves
+
+
+class ParquetMenus(MemoryMenus):
+    """Menu snapshot on shared storage, read per key with row-group pruning."""
+
+    def __init__(self, root: str):
+        self.root = root
+        self._cache: dict = {}
+
+    def _read(self, table: str, **eq) -> pd.DataFrame:
+        import pyarrow.dataset as ds
+
+        key = (table, tuple(sorted(eq.items())))
+        if key not in self._cache:
+            if len(self._cache) > 10_000:
+                self._cache.clear()
+            d = ds.dataset(os.path.join(self.root, table), format="parquet")
+            flt = None
+            for k, v in eq.items():
+                e = ds.field(k) == v
+                flt = e if flt is None else flt & e
+            self._cache[key] = d.to_table(filter=flt).to_pandas()
+        return self._cache[key]
+
+    def departments(self):
+        return list(self._read("departments").sort_values("menu_no")["department"])
+
+    def doctors(self, dept):
+        df = self._read("doctors", department=dept).sort_values("menu_no")
+        return [_doctor_dict(r) for r in df.to_dict("records")]
+
+    def dates(self, doctor_id):
+        df = self._read("dates", doctor_id=int(doctor_id)).sort_values("date_no")
+        return [str(d) for d in df["available_date"]]
+
+    def slots(self, doctor_id, day):
+        df = self._read("slots", doctor_id=int(doctor_id), day=day).sort_values("slot_no")
+        return list(df["slot_time"])
+
+    def on_leave(self, doctor_id, day):
+        return len(self._read("leaves", doctor_id=int(doctor_id), day=day)) > 0
+
+
+def _doctor_dict(r: dict) -> dict:
+    out = {k: r.get(k) for k in _DOCTOR_KEYS}
+    for k in ("id", "slot_duration_mins"):
+        if out[k] is not None and not pd.isna(out[k]):
+            out[k] = int(out[k])
+    return out
+
+
+def menu_frames(doctors: DataFrame, leaves: DataFrame, appointments: DataFrame, as_of) -> dict[str, DataFrame]:
+    """The menu snapshot as DataFrames (all derived with Spark operators)."""
+    cal = availability.availability_calendar(doctors, leaves, appointments, as_of)
+    horizon = availability.DAYS_AHEAD + availability.EXTRA_SEARCH_DAYS
+    day0 = F.lit(as_of).cast("date")
+    return {
+        "departments": lookups.departments(doctors),
+        "doctors": lookups.doctors_by_department(doctors),
+        "dates": availability.available_dates(doctors, leaves, as_of),
+        "slots": cal.select("doctor_id", F.col("appointment_date").cast("string").alias("day"), "slot_no", "slot_time"),
+        "leaves": leaves.where(F.col("leave_date").between(F.date_add(day0, 1), F.date_add(day0, horizon)))
+        .select("doctor_id", F.col("leave_date").cast("string").alias("day")),
+    }
+
+
+def build_menus(doctors: DataFrame, leaves: DataFrame, appointments: DataFrame, as_of,
+                max_rows: int = MENU_ROW_LIMIT):
+    """Menus for one run: in memory when every part is within ``max_rows``
+    rows (checked with a bounded ``limit`` count), otherwise key-sorted
+    Parquet in the shared checkpoint folder."""
+    frames = menu_frames(doctors, leaves, appointments, as_of)
+    small = all(df.limit(max_rows + 1).count() <= max_rows for df in frames.values())
+    if small:
+        deps = [r["department"] for r in frames["departments"].orderBy("menu_no").collect()]
+        docs: dict[str, list[dict]] = {}
+        for r in frames["doctors"].orderBy("department", "menu_no").collect():
+            docs.setdefault(r["department"], []).append(_doctor_dict(r.asDict()))
+        dates: dict[int, list[str]] = {}
+        for r in frames["dates"].orderBy("doctor_id", "date_no").collect():
+            dates.setdefault(int(r["doctor_id"]), []).append(str(r["available_date"]))
+        slots: dict[tuple, list[str]] = {}
+        for r in frames["slots"].orderBy("doctor_id", "day", "slot_no").collect():
+            slots.setdefault((int(r["doctor_id"]), r["day"]), []).append(r["slot_time"])
+        lv = {(int(r["doctor_id"]), r["day"]) for r in frames["leaves"].collect()}
+        return MemoryMenus(deps, docs, dates, slots, lv)
+    root = scratch_path(doctors.sparkSession, "menus", uuid.uuid4().hex)
+    sort_keys = {"departments": ["menu_no"], "doctors": ["department", "menu_no"], "dates": ["doctor_id"],
+                 "slots": ["doctor_id", "day"], "leaves": ["doctor_id", "day"]}
+    for name, df in frames.items():
+        df.repartitionByRange(*sort_keys[name]).sortWithinPartitions(*sort_keys[name]).write.parquet(
+            os.path.join(root, name)
+        )
+    return ParquetMenus(root)
+
+
+# ----------------------------------------------------------------------------- the fold
+
+
+def _pick(text: str, options: list):
+    if not _INT.match(text):
+        return None
+    i = int(text) - 1
+    return options[i] if 0 <= i < len(options) else None
+
+
+def step_once(step: str, data: dict, text: str, menus) -> tuple[str, dict, dict]:
+    """One message through the dialogue: returns (next step, next payload,
+    output fields).  ``text`` is the stripped, lower-cased message."""
+    out = {"intent": "other", "command": None, "doctor_id": None, "date": None, "slot": None, "name": None}
+    if text in CANCEL_WORDS:
+        out.update(intent="cancel", command="cancel", reply_kind="cancel")
+        return "start", {}, out
+    if text in STATUS_WORDS:
+        out.update(intent="status", command="status", reply_kind="status")
+        return step, data, out
+    greet = text in GREETING_WORDS
+    if greet:
+        out["intent"] = "greet"
+    if greet or step not in STEPS[1:6]:
+        depts = menus.departments()
+        out["reply_kind"] = "departments"
+        return "choose_dept", {"depts": depts}, out
+    if step == "choose_dept":
+        depts = data.get("depts", menus.departments())
+        dept = _pick(text, depts)
+        if dept is None:
+            out["reply_kind"] = "reprompt"
+            return step, data, out
+        doctors = menus.doctors(dept)
+        if not doctors:
+            out["reply_kind"] = "no_doctors"
+            return step, data, out
+        out["reply_kind"] = "doctors"
+        return "choose_doctor", {"dept": dept, "doctors": doctors}, out
+    if step == "choose_doctor":
+        doctor = _pick(text, data.get("doctors", []))
+        if doctor is None:
+            out["reply_kind"] = "reprompt"
+            return step, data, out
+        dates = menus.dates(doctor["id"])
+        if not dates:
+            out["reply_kind"] = "no_dates"
+            return step, data, out
+        out["reply_kind"] = "dates"
+        return "choose_date", {"dept": data.get("dept"), "doctor": doctor, "dates": dates}, out
+    if step == "choose_date":
+        day = _pick(text, data.get("dates", []))
+        if day is None:
+            out["reply_kind"] = "reprompt"
+            return step, data, out
+        doctor = data.get("doctor") or {}
+        slots = menus.slots(doctor.get("id"), day)
+        if not slots:
+            out["reply_kind"] = "no_slots"
+            return step, data, out
+        out["reply_kind"] = "slots"
+        return "choose_slot", {"dept": data.get("dept"), "doctor": doctor, "date": day, "slots": slots}, out
+    if step == "choose_slot":
+        slot = _pick(text, data.get("slots", []))
+        if slot is None:
+            out["reply_kind"] = "reprompt"
+            return step, data, out
+        out["reply_kind"] = "ask_name"
+        return "confirm_name", {**data, "slot": slot}, out
+    # confirm_name
+    name = text.strip().title()
+    if len(name) < 2:
+        out["reply_kind"] = "ask_name"
+        return step, data, out
+    doctor = data.get("doctor") or {}
+    if menus.on_leave(doctor.get("id"), data.get("date")):
+        out["reply_kind"] = "on_leave"
+        return "start", {}, out
+    out.update(command="book", doctor_id=doctor.get("id"), date=data.get("date"), slot=data.get("slot"),
+               name=name, reply_kind="book")
+    return "start", {}, out
+
+
+class ConversationProcessor(StatefulProcessor):
+    """Folds one phone's messages through :func:`step_once`."""
+
+    def __init__(self, menus):
+        self.menus = menus
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.session = handle.getValueState("session", STATE_SCHEMA)
+
+    def _load(self):
+        if self.session.exists():
+            step, payload = self.session.get()
+            try:
+                return step or "start", json.loads(payload or "{}")
+            except ValueError:
+                return step or "start", {}
+        return "start", {}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        phone = key[0]
+        # Rows of a key arrive in no particular order; within this batch,
+        # order them by (ts, id) before folding.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
+        step, data = self._load()
+        out = []
+        for msg_id, ts, text in zip(batch["id"], batch["ts"], batch["text"]):
+            nxt, nxt_data, fields = step_once(step, data, text, self.menus)
+            out.append({"phone": phone, "msg_id": int(msg_id), "ts": ts, "from_step": step, "to_step": nxt, **fields})
+            step, data = nxt, nxt_data
+        self.session.update((step, json.dumps(data)))
+        cols = [f.name for f in OUTPUT_SCHEMA.fields]
+        yield pd.DataFrame(out, columns=cols)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[-1]
+        self.session.update((row["step"], row["temp_data"]))
+
+    def close(self) -> None:
+        pass
+
+
+def conversation_steps(tagged: DataFrame, menus, sessions: DataFrame | None = None) -> DataFrame:
+    """Transitions for tagged messages (id, phone, ts, text), batch or stream.
+
+    ``sessions`` (phone, step, temp_data) seeds the state of known phones.
+    """
+    # The state store coordinator lives in the streaming query manager;
+    # create it so the same operator also runs on a batch DataFrame.
+    tagged.sparkSession.streams.active
+    grouped = tagged.select("id", "phone", "ts", "text").groupBy("phone")
+    kw = {}
+    if sessions is not None:
+        kw["initialState"] = sessions.select("phone", "step", "temp_data").groupBy("phone")
+    return grouped.transformWithStateInPandas(
+        statefulProcessor=ConversationProcessor(menus),
+        outputStructType=OUTPUT_SCHEMA,
+        outputMode="Append",
+        timeMode="None",
+        **kw,
+    )
