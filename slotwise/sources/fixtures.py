@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.sources.tables import read_table
@@ -39,38 +39,42 @@ STEP_OF_EVENT = (
 )
 
 
-def _pick(index: Column, values) -> Column:
-    """values[index] for a small fixed tuple (a CASE over literals)."""
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(index == i, F.lit(v)) if expr is None else expr.when(index == i, F.lit(v))
-    return expr
+def _case(index_sql: str, values) -> str:
+    """SQL ``CASE`` picking values[index] from a small fixed tuple."""
+    arms = " ".join(f"WHEN {i} THEN {_lit(v)}" for i, v in enumerate(values))
+    return f"CASE {index_sql} {arms} END"
 
 
-def _phone(key: Column) -> Column:
-    return F.concat(F.lit(PHONE_PREFIX), (F.lit(PHONE_BASE) + key).cast("string"))
+def _lit(v) -> str:
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+
+def _phone(key_sql: str) -> str:
+    return f"concat('{PHONE_PREFIX}', CAST({PHONE_BASE} + {key_sql} AS STRING))"
+
+
+# Each derivation is one projection written as SQL expressions (a single
+# call into the JVM per table instead of one per column operation).
 
 
 def doctors(supplier: DataFrame) -> DataFrame:
-    k = F.col("s_suppkey")
-    return supplier.select(
-        (k + 1).alias("id"),
-        F.concat(F.lit("Dr. "), (k % 40).cast("string")).alias("name"),
-        _pick(k % 6, DEPARTMENTS).alias("department"),
-        _pick(k % 5, DAY_LISTS).alias("available_days"),
-        _pick(k % 4, DURATIONS).cast("int").alias("slot_duration_mins"),
-        _pick(k % 3, START_TIMES).alias("start_time"),
-        _pick(k % 7, END_TIMES).alias("end_time"),
+    return supplier.selectExpr(
+        "s_suppkey + 1 AS id",
+        "concat('Dr. ', CAST(s_suppkey % 40 AS STRING)) AS name",
+        f"{_case('s_suppkey % 6', DEPARTMENTS)} AS department",
+        f"{_case('s_suppkey % 5', DAY_LISTS)} AS available_days",
+        f"CAST({_case('s_suppkey % 4', DURATIONS)} AS INT) AS slot_duration_mins",
+        f"{_case('s_suppkey % 3', START_TIMES)} AS start_time",
+        f"{_case('s_suppkey % 7', END_TIMES)} AS end_time",
     )
 
 
 def patients(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    return customer.select(
-        (k + 1).alias("id"),
-        F.when(k % 17 != 0, F.col("c_name")).alias("name"),
-        _phone(k).alias("phone"),
-        F.date_add(F.lit(FIRST_PATIENT_DAY), (k % 150).cast("int")).cast("timestamp_ntz").alias("created_at"),
+    return customer.selectExpr(
+        "c_custkey + 1 AS id",
+        "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END AS name",
+        f"{_phone('c_custkey')} AS phone",
+        f"CAST(date_add(DATE'{FIRST_PATIENT_DAY}', CAST(c_custkey % 150 AS INT)) AS TIMESTAMP_NTZ) AS created_at",
     )
 
 
@@ -81,29 +85,24 @@ def appointments(orders: DataFrame, supplier: DataFrame) -> DataFrame:
     inside its (doctor, day).  Column pruning drops the window whenever a
     query does not read it.
     """
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
     n_ids = supplier.select(F.count(F.lit(1)) + 1).scalar()  # lazy scalar subquery
-    status = (
-        F.when(k % 29 == 0, F.lit(None).cast("string"))
-        .when(F.col("o_orderstatus") == "O", F.lit("booked"))
-        .when(F.col("o_orderstatus") == "F", F.lit("completed"))
-        .otherwise(F.lit("cancelled"))
-    )
     base = orders.select(
-        (k + 1).alias("id"),
-        _phone(c).alias("patient_phone"),
-        F.when(k % 23 != 0, F.concat(F.lit("Patient "), c.cast("string"))).alias("patient_name"),
-        (F.lit(1) + (k * 31 + c) % n_ids).alias("doctor_id"),
-        F.date_add(F.lit(FIRST_APPOINTMENT_DAY), ((k * 7 + c) % APPOINTMENT_SPAN_DAYS).cast("int")).alias(
-            "appointment_date"
-        ),
-        _pick(k % 8, SLOT_TIMES).alias("slot_time"),
-        status.alias("status"),
+        "*", n_ids.alias("_n_ids")
+    ).selectExpr(
+        "o_orderkey + 1 AS id",
+        f"{_phone('o_custkey')} AS patient_phone",
+        "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE concat('Patient ', CAST(o_custkey AS STRING)) END AS patient_name",
+        "1 + (o_orderkey * 31 + o_custkey) % _n_ids AS doctor_id",
+        f"date_add(DATE'{FIRST_APPOINTMENT_DAY}', CAST((o_orderkey * 7 + o_custkey) % {APPOINTMENT_SPAN_DAYS} AS INT))"
+        " AS appointment_date",
+        f"{_case('o_orderkey % 8', SLOT_TIMES)} AS slot_time",
+        "CASE WHEN o_orderkey % 29 = 0 THEN NULL WHEN o_orderstatus = 'O' THEN 'booked' "
+        "WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'cancelled' END AS status",
     )
-    w = Window.partitionBy("doctor_id", "appointment_date").orderBy("id")
-    return base.withColumn("token_number", F.row_number().over(w).cast("bigint")).select(
+    return base.selectExpr(
         "id", "patient_phone", "patient_name", "doctor_id", "appointment_date", "slot_time",
-        "token_number", "status",
+        "CAST(row_number() OVER (PARTITION BY doctor_id, appointment_date ORDER BY id) AS BIGINT) AS token_number",
+        "status",
     )
 
 
@@ -111,14 +110,9 @@ def doctor_leaves(orders: DataFrame, supplier: DataFrame) -> DataFrame:
     """Leave days: one order in twenty marks its (doctor, day) as a leave;
     (doctor, day) is unique, the earliest order gives the id and reason."""
     n_doctors = supplier.select(F.count(F.lit(1))).scalar()
-    k = F.col("o_orderkey")
-    marked = orders.where(k % 20 == 0).select(
-        k.alias("o_orderkey"),
-        F.col("o_orderpriority"),
-        (F.lit(1) + k % n_doctors).alias("doctor_id"),
-        F.date_add(F.lit(FIRST_APPOINTMENT_DAY), (F.col("o_custkey") % APPOINTMENT_SPAN_DAYS).cast("int")).alias(
-            "leave_date"
-        ),
+    marked = orders.where("o_orderkey % 20 = 0").select("*", n_doctors.alias("_n")).selectExpr(
+        "o_orderkey", "o_orderpriority", "1 + o_orderkey % _n AS doctor_id",
+        f"date_add(DATE'{FIRST_APPOINTMENT_DAY}', CAST(o_custkey % {APPOINTMENT_SPAN_DAYS} AS INT)) AS leave_date",
     )
     return marked.groupBy("doctor_id", "leave_date").agg(
         (F.min("o_orderkey") + 1).alias("id"), F.min("o_orderpriority").alias("reason")
@@ -127,31 +121,22 @@ def doctor_leaves(orders: DataFrame, supplier: DataFrame) -> DataFrame:
 
 def messages(conversations: DataFrame) -> DataFrame:
     """Inbound chat messages: the user turns of the conversations table."""
-    conv, turn = F.col("conv_id"), F.col("turn")
-    body = _pick((conv + turn) % 10, CANNED_BODIES)
-    body = body.otherwise(F.col("text"))
-    return conversations.where(F.col("role") == "user").select(
-        (conv * 1000 + turn).alias("id"),
-        _phone(conv % 40).alias("from_number"),
-        body.alias("body"),
-        (F.lit(FIRST_MESSAGE_TS).cast("timestamp_ntz") + F.make_dt_interval(mins=(conv * 10 + turn).cast("int"))).alias(
-            "ts"
-        ),
+    arms = " ".join(f"WHEN {i} THEN {_lit(v)}" for i, v in enumerate(CANNED_BODIES))
+    return conversations.where("role = 'user'").selectExpr(
+        "conv_id * 1000 + turn AS id",
+        f"{_phone('conv_id % 40')} AS from_number",
+        f"CASE (conv_id + turn) % 10 {arms} ELSE text END AS body",
+        f"TIMESTAMP_NTZ'{FIRST_MESSAGE_TS}' + make_dt_interval(0, 0, CAST(conv_id * 10 + turn AS INT), 0) AS ts",
     )
 
 
 def session_updates(events: DataFrame) -> DataFrame:
     """Writes of conversation state (many per phone)."""
-    step = None
-    for event, s in STEP_OF_EVENT:
-        cond = F.col("event_type") == event
-        step = F.when(cond, F.lit(s)) if step is None else step.when(cond, F.lit(s))
-    return events.select(
-        _phone(F.col("user_id")).alias("phone"),
-        step.otherwise(F.lit("start")).alias("step"),
-        F.col("props").alias("temp_data"),
-        F.col("ts").alias("updated_at"),
-        F.col("event_id").alias("seq"),
+    arms = " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in STEP_OF_EVENT)
+    return events.selectExpr(
+        f"{_phone('user_id')} AS phone",
+        f"CASE event_type {arms} ELSE 'start' END AS step",
+        "props AS temp_data", "ts AS updated_at", "event_id AS seq",
     )
 
 
