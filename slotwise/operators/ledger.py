@@ -134,15 +134,16 @@ def book_requests(ledger: DataFrame, requests: DataFrame, doctors: DataFrame, le
         F.coalesce(F.col("_stage"), F.when(F.col("id") == F.col("_win"), F.lit(ACCEPTED)).otherwise(F.lit(SLOT_TAKEN))),
     ).select("id", "patient_phone", "patient_name", *slot, "outcome")
 
-    accepted = number_rows(
-        decided.where(F.col("outcome") == ACCEPTED), ["doctor_id", "appointment_date"], ["id"], "_rank"
-    )
+    # One numbering pass over all requests: within a (doctor, day) accepted
+    # requests sort first (by id), so their position is their rank among the
+    # accepted; rejected rows get no token.  Nothing upstream is computed twice.
+    is_accepted = F.col("outcome") == ACCEPTED
+    ranked = number_rows(decided, ["doctor_id", "appointment_date"], [~is_accepted, F.col("id")], "_rank")
     prior = ledger.groupBy("doctor_id", "appointment_date").agg(F.count(F.lit(1)).alias("_prior"))
-    accepted = accepted.join(prior, ["doctor_id", "appointment_date"], "left").select(
-        *decided.columns, (F.coalesce("_prior", F.lit(0)) + F.col("_rank")).cast("bigint").alias("token_number")
+    return ranked.join(prior, ["doctor_id", "appointment_date"], "left").select(
+        *decided.columns,
+        F.when(is_accepted, F.coalesce("_prior", F.lit(0)) + F.col("_rank")).cast("bigint").alias("token_number"),
     )
-    rejected = decided.where(F.col("outcome") != ACCEPTED).withColumn("token_number", F.lit(None).cast("bigint"))
-    return accepted.unionByName(rejected)
 
 
 def apply_bookings(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
