@@ -6,11 +6,12 @@ third of the table.  :func:`number_rows` instead
 
 1. range-partitions on (keys, order) — a hot group is cut into contiguous
    slices that land in consecutive partitions of bounded size;
-2. numbers rows inside each (partition, group) slice with a window whose
-   partitions are bounded by the range partition size;
+2. sorts inside each range partition and takes the row's position there
+   (``monotonically_increasing_id``), so no further shuffle is needed;
 3. counts rows per (partition, group) — a frame with at most
    #groups + #partitions rows — and turns the counts into running offsets;
-4. adds the offset of the slice to the local number.
+4. number = position - first position of its (slice, group) + rows of the
+   group in earlier slices + 1.
 
 All steps are built-in operators; nothing is collected.  Keys must be
 non-null (they are join keys in step 4).
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from slotwise.session import ensure_checkpoint_dir
 
-_PID, _LOCAL, _OFFSET, _COUNT = "__slice", "__local_no", "__offset", "__slice_rows"
+_PID, _POS, _FIRST, _OFFSET, _COUNT = "__slice", "__pos", "__first", "__offset", "__slice_rows"
 
 
 def _order_col(o) -> Column:
@@ -51,21 +52,25 @@ def number_rows(
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [_order_col(o) for o in order]
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols).withColumn(
-        _PID, F.spark_partition_id()
-    )
-    local = ranged.withColumn(
-        _LOCAL, F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(*order_cols))
+    sort_cols = [F.col(k) for k in keys] + order_cols
+    # Range slices, sorted inside each slice; the row's position in its slice
+    # is monotonically_increasing_id() (partition id in the high bits, row
+    # index in the low 33 bits), evaluated in sorted order.
+    sliced = (
+        df.repartitionByRange(n, *sort_cols)
+        .sortWithinPartitions(*sort_cols)
+        .withColumn(_POS, F.monotonically_increasing_id())
+        .withColumn(_PID, F.shiftright(F.col(_POS), 33))
     )
     ensure_checkpoint_dir(spark)
-    local = local.checkpoint(eager=True)
-    slices = local.groupBy(_PID, *keys).agg(F.max(_LOCAL).alias(_COUNT))
+    sliced = sliced.checkpoint(eager=True)
+    slices = sliced.groupBy(_PID, *keys).agg(F.min(_POS).alias(_FIRST), F.count(F.lit(1)).alias(_COUNT))
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        _PID, *keys, F.coalesce(F.sum(_COUNT).over(before), F.lit(0)).alias(_OFFSET)
+        _PID, *keys, _FIRST, (F.coalesce(F.sum(_COUNT).over(before), F.lit(0)) + 1).alias(_OFFSET)
     )
     return (
-        local.join(offsets, [_PID, *keys])
-        .withColumn(name, (F.col(_LOCAL) + F.col(_OFFSET)).cast("bigint"))
-        .drop(_PID, _LOCAL, _OFFSET)
+        sliced.join(offsets, [_PID, *keys])
+        .withColumn(name, (F.col(_POS) - F.col(_FIRST) + F.col(_OFFSET)).cast("bigint"))
+        .drop(_PID, _POS, _FIRST, _OFFSET)
     )
