@@ -1103,4 +1103,4 @@ def q_conversation_steps(spark, sf_dir):
 
     t = tables(spark, sf_dir)
     menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
-    return conversation.conversation_steps(ingest.tagged_messages(t.messages), menus)
+    return conversation.conversation_steps_batch(ingest.tagged_messages(t.messages), menus)

@@ -321,3 +321,71 @@ def conversation_steps(tagged: DataFrame, menus, sessions: DataFrame | None = No
         timeMode="None",
         **kw,
     )
+
+
+# ----------------------------------------------------------------------------- batch: split at resets
+
+_RESET_WORDS = tuple(CANCEL_WORDS) + tuple(GREETING_WORDS)
+
+
+def _initial_state(row: dict, menus) -> tuple[str, dict]:
+    kind = row.get("init_kind")
+    if kind == "cancel":
+        return "start", {}
+    if kind == "greet":
+        return "choose_dept", {"depts": menus.departments()}
+    step, payload = row.get("init_step"), row.get("init_data")
+    try:
+        data = json.loads(payload) if isinstance(payload, str) else {}
+    except ValueError:
+        data = {}
+    return (step if isinstance(step, str) else "start"), data
+
+
+def conversation_steps_batch(tagged: DataFrame, menus, sessions: DataFrame | None = None) -> DataFrame:
+    """Same transitions as :func:`conversation_steps`, for a batch of messages,
+    without holding a phone's whole history in one group.
+
+    A cancel or greeting word sets the state no matter what came before, so
+    each phone's history is cut after every such reset into segments that
+    can be folded independently: segment 0 starts from the stored session,
+    segment k from the state the k-th reset produces.  The segment of a
+    message is the number of resets before it in (ts, id) order, computed
+    with the balanced numbering: k = r - 1 for the r-th reset, and
+    k = p - q for a message at position p that is the q-th non-reset.
+    """
+    from slotwise.plans.numbering import number_rows
+
+    text = F.col("text")
+    msgs = tagged.select("id", "phone", "ts", "text", text.isin(*_RESET_WORDS).alias("_reset"))
+    pos = number_rows(msgs, ["phone"], ["ts", "id"], "_p")
+    both = number_rows(pos, ["phone", "_reset"], ["ts", "id"], "_q")
+    seg = both.withColumn("seg", F.when(F.col("_reset"), F.col("_q") - 1).otherwise(F.col("_p") - F.col("_q")))
+    resets = seg.where("_reset").select(
+        "phone", F.col("_q").alias("seg"),
+        F.when(text.isin(*CANCEL_WORDS), F.lit("cancel")).otherwise(F.lit("greet")).alias("init_kind"),
+    )
+    seg = seg.drop("_p", "_q", "_reset").join(resets, ["phone", "seg"], "left")
+    if sessions is not None:
+        s = sessions.select("phone", F.col("step").alias("init_step"), F.col("temp_data").alias("init_data"))
+        first = seg.where(F.col("seg") == 0).join(s, "phone", "left")
+        rest = seg.where(F.col("seg") > 0).withColumn("init_step", F.lit(None).cast("string")).withColumn(
+            "init_data", F.lit(None).cast("string")
+        )
+        seg = first.unionByName(rest)
+    else:
+        seg = seg.withColumn("init_step", F.lit(None).cast("string")).withColumn(
+            "init_data", F.lit(None).cast("string")
+        )
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "id"], kind="stable")
+        step, data = _initial_state(pdf.iloc[0].to_dict(), menus)
+        out = []
+        for phone, msg_id, ts, t in zip(pdf["phone"], pdf["id"], pdf["ts"], pdf["text"]):
+            nxt, nxt_data, fields = step_once(step, data, t, menus)
+            out.append({"phone": phone, "msg_id": int(msg_id), "ts": ts, "from_step": step, "to_step": nxt, **fields})
+            step, data = nxt, nxt_data
+        return pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+
+    return seg.groupBy("phone", "seg").applyInPandas(fold, OUTPUT_SCHEMA)

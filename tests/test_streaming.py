@@ -76,3 +76,18 @@ def test_conversation_operator_runs_in_batch(spark):
     out = conversation.conversation_steps(tagged, _menus()).orderBy("phone", "ts").collect()
     assert [(r.msg_id, r.from_step, r.to_step) for r in out] == [
         (2, "start", "choose_dept"), (1, "choose_dept", "choose_doctor"), (3, "start", "start")]
+
+
+def test_segmented_batch_fold_equals_stateful_fold(spark):
+    from slotwise.operators import ledger
+    from slotwise.sources.fixtures import AS_OF, tables
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
+    tagged = ingest.tagged_messages(t.messages)
+    sessions = ledger.session_latest(t.session_updates)
+    a = conversation.conversation_steps(tagged, menus, sessions)
+    b = conversation.conversation_steps_batch(tagged, menus, sessions)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
