@@ -148,27 +148,59 @@ def menu_frames(doctors: DataFrame, leaves: DataFrame, appointments: DataFrame,
     }
 
 
+def menu_rows(doctors: DataFrame, leaves: DataFrame, appointments: DataFrame, as_of) -> DataFrame:
+    """One row per (doctor, offered date) with that day's free slots in grid
+    order; a doctor without dates appears once with a NULL date."""
+    day0 = F.lit(as_of).cast("date")
+    horizon = availability.DAYS_AHEAD + availability.EXTRA_SEARCH_DAYS
+    menu = availability.with_date_menu(doctors, leaves, as_of).select(
+        *[F.col(c) for c in _DOCTOR_KEYS], availability.slot_times().alias("_grid"),
+        F.posexplode_outer("dates").alias("date_no", "appointment_date"),
+    )
+    booked = availability.booked_slot_sets(
+        appointments, F.col("appointment_date").between(F.date_add(day0, 1), F.date_add(day0, horizon))
+    ).withColumnRenamed("doctor_id", "id")
+    return menu.join(booked, ["id", "appointment_date"], "left").select(
+        *_DOCTOR_KEYS, "date_no", F.col("appointment_date").cast("string").alias("day"),
+        F.array_except("_grid", F.coalesce("_booked", F.array().cast("array<string>"))).alias("slots"),
+    )
+
+
 def build_menus(doctors: DataFrame, leaves: DataFrame, appointments: DataFrame, as_of,
                 max_rows: int = MENU_ROW_LIMIT):
-    """Menus for one run: in memory when every part is within ``max_rows``
-    rows (checked with a bounded ``limit`` count), otherwise key-sorted
-    Parquet in the shared checkpoint folder."""
-    frames = menu_frames(doctors, leaves, appointments, as_of)
-    small = all(df.limit(max_rows + 1).count() <= max_rows for df in frames.values())
-    if small:
-        deps = [r["department"] for r in frames["departments"].orderBy("menu_no").collect()]
-        docs: dict[str, list[dict]] = {}
-        for r in frames["doctors"].orderBy("department", "menu_no").collect():
-            docs.setdefault(r["department"], []).append(_doctor_dict(r.asDict()))
-        dates: dict[int, list[str]] = {}
-        for r in frames["dates"].orderBy("doctor_id", "date_no").collect():
-            dates.setdefault(int(r["doctor_id"]), []).append(str(r["available_date"]))
+    """Menus for one run.
+
+    In memory when the snapshot has at most ``max_rows`` rows: it is fetched
+    with ``limit(max_rows + 1)``, so no more than the bound ever reaches the
+    driver.  Above the bound it is written as key-sorted Parquet in the
+    shared checkpoint folder and read per key by the tasks.
+    """
+    rows = menu_rows(doctors, leaves, appointments, as_of).limit(max_rows + 1).collect()
+    day0 = F.lit(as_of).cast("date")
+    horizon = availability.DAYS_AHEAD + availability.EXTRA_SEARCH_DAYS
+    lv_rows = (
+        leaves.where(F.col("leave_date").between(F.date_add(day0, 1), F.date_add(day0, horizon)))
+        .select("doctor_id", F.col("leave_date").cast("string").alias("day"))
+        .limit(max_rows + 1).collect()
+    )
+    if len(rows) <= max_rows and len(lv_rows) <= max_rows:
+        docs: dict[int, dict] = {}
+        dates: dict[int, list] = {}
         slots: dict[tuple, list[str]] = {}
-        for r in frames["slots"].orderBy("doctor_id", "day", "slot_no").collect():
-            slots.setdefault((int(r["doctor_id"]), r["day"]), []).append(r["slot_time"])
-        lv = {(int(r["doctor_id"]), r["day"]) for r in frames["leaves"].collect()}
-        return MemoryMenus(deps, docs, dates, slots, lv)
+        for r in sorted(rows, key=lambda r: (r["id"], r["date_no"] if r["date_no"] is not None else -1)):
+            d = r.asDict()
+            docs.setdefault(int(d["id"]), _doctor_dict(d))
+            if d["day"] is not None:
+                dates.setdefault(int(d["id"]), []).append(d["day"])
+                slots[(int(d["id"]), d["day"])] = list(d["slots"])
+        by_dept: dict[str, list[dict]] = {}
+        for i in sorted(docs):
+            if docs[i]["department"] is not None:
+                by_dept.setdefault(docs[i]["department"], []).append(docs[i])
+        lv = {(int(r["doctor_id"]), r["day"]) for r in lv_rows}
+        return MemoryMenus(sorted(by_dept), by_dept, dates, slots, lv)
     root = scratch_path(doctors.sparkSession, "menus", uuid.uuid4().hex)
+    frames = menu_frames(doctors, leaves, appointments, as_of)
     sort_keys = {"departments": ["menu_no"], "doctors": ["department", "menu_no"], "dates": ["doctor_id"],
                  "slots": ["doctor_id", "day"], "leaves": ["doctor_id", "day"]}
     for name, df in frames.items():
@@ -344,7 +376,7 @@ def _initial_state(row: dict, menus) -> tuple[str, dict]:
 
 def conversation_steps_batch(tagged: DataFrame, menus, sessions: DataFrame | None = None) -> DataFrame:
     """Same transitions as :func:`conversation_steps`, for a batch of messages,
-    without holding a phone's whole history in one group.
+    without holding a phone's whole history in one group or in memory.
 
     A cancel or greeting word sets the state no matter what came before, so
     each phone's history is cut after every such reset into segments that
@@ -378,14 +410,24 @@ def conversation_steps_batch(tagged: DataFrame, menus, sessions: DataFrame | Non
             "init_data", F.lit(None).cast("string")
         )
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"], kind="stable")
-        step, data = _initial_state(pdf.iloc[0].to_dict(), menus)
-        out = []
-        for phone, msg_id, ts, t in zip(pdf["phone"], pdf["id"], pdf["ts"], pdf["text"]):
-            nxt, nxt_data, fields = step_once(step, data, t, menus)
-            out.append({"phone": phone, "msg_id": int(msg_id), "ts": ts, "from_step": step, "to_step": nxt, **fields})
-            step, data = nxt, nxt_data
-        return pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
-
-    return seg.groupBy("phone", "seg").applyInPandas(fold, OUTPUT_SCHEMA)
+    cols = [f.name for f in OUTPUT_SCHEMA.fields]
+
+    def fold(batches):
+        # Rows arrive sorted by (phone, seg, ts, id) and a (phone, seg) group
+        # never spans partitions, so one pass with O(1) state per group.
+        current, step, data = None, None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                key = (row.phone, row.seg)
+                if key != current:
+                    current = key
+                    step, data = _initial_state(row._asdict(), menus)
+                nxt, nxt_data, fields = step_once(step, data, row.text, menus)
+                out.append({"phone": row.phone, "msg_id": int(row.id), "ts": row.ts, "from_step": step,
+                            "to_step": nxt, **fields})
+                step, data = nxt, nxt_data
+            yield pd.DataFrame(out, columns=cols)
+
+    ordered = seg.repartition("phone", "seg").sortWithinPartitions("phone", "seg", "ts", "id")
+    return ordered.mapInPandas(fold, OUTPUT_SCHEMA)
