@@ -61,4 +61,4 @@ def test_query_matches_oracle(spark, duck, key):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
-    assert df.columns == ["department", "count"]
+    assert df.columns == ["department", "doctor_id", "doctor_name", "date_no", "appointment_date", "slot_no", "slot_time"]
