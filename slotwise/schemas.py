@@ -89,3 +89,45 @@ DEFAULT_STEP = "start"
 DEFAULT_TEMP_DATA = "{}"
 
 STATUSES = ("booked", "cancelled", "completed")
+
+TABLE_SCHEMAS = {
+    "patients": PATIENTS,
+    "doctors": DOCTORS,
+    "appointments": APPOINTMENTS,
+    "sessions": SESSIONS,
+    "logs": LOGS,
+    "doctor_leaves": DOCTOR_LEAVES,
+}
+
+# Column defaults applied when a column is absent from an insert; the
+# timestamp columns default to the insert time (``now``).
+INSERT_DEFAULTS = {
+    "patients": {"created_at": "now"},
+    "doctors": {"slot_duration_mins": DEFAULT_SLOT_DURATION_MINS, "start_time": DEFAULT_START_TIME,
+                "end_time": DEFAULT_END_TIME},
+    "appointments": {"status": DEFAULT_STATUS, "created_at": "now"},
+    "sessions": {"step": DEFAULT_STEP, "temp_data": DEFAULT_TEMP_DATA, "updated_at": "now"},
+    "logs": {"created_at": "now"},
+    "doctor_leaves": {"created_at": "now"},
+}
+
+
+def with_insert_defaults(df, table: str, now=None):
+    """Conform ``df`` to ``table``'s schema as an INSERT would.
+
+    Columns absent from ``df`` get their declared default (or NULL); columns
+    present keep their values, so an explicit NULL stays NULL.  ``now`` is
+    the insert time for timestamp defaults.
+    """
+    from pyspark.sql import functions as F
+
+    cols = []
+    for f in TABLE_SCHEMAS[table].fields:
+        if f.name in df.columns:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            continue
+        default = INSERT_DEFAULTS[table].get(f.name)
+        if default == "now":
+            default = now
+        cols.append(F.lit(default).cast(f.dataType).alias(f.name))
+    return df.select(*cols)

@@ -78,3 +78,18 @@ def test_intents_and_menu_pick(spark):
                    intents.menu_pick("t", F.array(F.lit("a"), F.lit("b"))).alias("p")).collect()
     assert [r.i for r in got] == ["greet", "cancel", "status", "other", "other", "other", "other", "greet"]
     assert [r.p for r in got] == [None, None, None, "b", None, "a", None, None]
+
+
+def test_insert_defaults_only_for_absent_columns(spark):
+    import datetime as dt
+
+    from slotwise.schemas import with_insert_defaults
+
+    df = spark.createDataFrame([(1, "Dr. X", "ENT", "Mon", None)],
+                               "id long, name string, department string, available_days string, start_time string")
+    row = with_insert_defaults(df, "doctors").first()
+    assert (row.slot_duration_mins, row.start_time, row.end_time) == (15, None, "13:00")
+    a = spark.createDataFrame([(1, "p", 2)], "id long, patient_phone string, doctor_id long")
+    now = dt.datetime(2025, 7, 1, 9, 0)
+    r = with_insert_defaults(a, "appointments", now).first()
+    assert (r.status, r.created_at, r.token_number) == ("booked", now, None)
