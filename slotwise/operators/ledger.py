@@ -1,9 +1,9 @@
 """Ledger maintenance as snapshot → snapshot functions.
 
 Parquet tables cannot be updated in place, so every mutation of the
-reference (book, cancel, complete, leave insert / cascade / delete, patient
+source application (book, cancel, complete, leave insert / cascade / delete, patient
 and session upserts) is a pure function from the current snapshot plus a
-DataFrame of commands to the next snapshot (and, where the reference replies
+DataFrame of commands to the next snapshot (and, where the source application replies
 or notifies, a DataFrame of outcomes).  Persist a result with
 :func:`slotwise.sources.sinks.write_snapshot`.
 
@@ -70,7 +70,7 @@ def day_load(appointments: DataFrame) -> DataFrame:
 def next_appointment(appointments: DataFrame, doctors: DataFrame, from_date=None) -> DataFrame:
     """Per phone, the earliest booked (date, slot) whose doctor exists, with
     the doctor's name and department.  No ``>= today`` filter unless
-    ``from_date`` is given (past bookings count, as in the reference)."""
+    ``from_date`` is given (past bookings count, as in the source application)."""
     booked = appointments.where(F.col("status") == "booked")
     if from_date is not None:
         booked = booked.where(F.col("appointment_date") >= _day(from_date))
@@ -240,7 +240,7 @@ def cancel_earliest(ledger: DataFrame, doctors: DataFrame, requests: DataFrame)
 def set_status(ledger: DataFrame, ids: DataFrame, status: str, only_booked: bool = False) -> DataFrame:
     """Next snapshot with ``status`` set on the given appointment ids.
 
-    Like the reference there is no status guard unless ``only_booked``;
+    Like the source application there is no status guard unless ``only_booked``;
     unknown ids change nothing.
     """
     hits = ids.select("id").distinct().withColumn("_hit", F.lit(True))

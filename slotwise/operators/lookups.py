@@ -1,6 +1,6 @@
 """Key lookups and small dimension listings, in set form.
 
-The reference looks up one key per call; here the keys are a DataFrame and
+The source application looks up one key per call; here the keys are a DataFrame and
 the single-key form is a filter on top.
 """
 
