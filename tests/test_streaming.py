@@ -91,3 +91,36 @@ def test_segmented_batch_fold_equals_stateful_fold(spark):
     b = conversation.conversation_steps_batch(tagged, menus, sessions)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_chat_pipeline_two_runs_equal_batch(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from slotwise.session import scratch_path
+    from slotwise.sources.fixtures import AS_OF, tables
+    from slotwise.streaming import commands
+    from slotwise.streaming.pipeline import start_chat_pipeline
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
+    root = scratch_path(spark, "pipeline-test", uuid.uuid4().hex)
+    src, out, ckpt = (os.path.join(root, p) for p in ("in", "transitions", "ckpt"))
+    msgs = t.messages
+    cut = dt.datetime(2025, 6, 1, 2, 0)
+    name = "ledger-" + uuid.uuid4().hex
+    args = (menus, t.doctors, t.doctor_leaves, t.appointments, name, out, ckpt)
+    msgs.where(F.col("ts") < cut).write.parquet(os.path.join(src, "part1"))
+    start_chat_pipeline(spark, os.path.join(src, "*"), *args).awaitTermination()
+    msgs.where(F.col("ts") >= cut).write.parquet(os.path.join(src, "part2"))
+    start_chat_pipeline(spark, os.path.join(src, "*"), *args).awaitTermination()  # state carried over
+    streamed = spark.read.parquet(out).drop("batch")
+    batch = conversation.conversation_steps_batch(ingest.tagged_messages(msgs), menus)
+    assert streamed.count() == batch.count()
+    assert streamed.exceptAll(batch).count() == 0
+    done, path = commands.last_applied_batch(spark, name)
+    assert done >= 1 and path is not None
+    ledger = spark.read.parquet(path)
+    assert ledger.count() >= t.appointments.count()  # bookings only ever append
