@@ -64,15 +64,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_CHECKPOINT_SET: set = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint dir; only when it is unset (tests), make one."""
+    """Use the checkpoint dir the cluster configures (``spark.checkpoint.dir``).
+
+    Only a local-mode session (tests) without one gets a private folder; on a
+    cluster an unset setting is an error, never a machine-local fallback.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         root = tempfile.mkdtemp(prefix="slotwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    key = (id(spark.sparkContext), root)
+    if key not in _CHECKPOINT_SET:
+        spark.sparkContext.setCheckpointDir(root)
+        _CHECKPOINT_SET.add(key)
     return root
 
 
