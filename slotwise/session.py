@@ -91,3 +91,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint root (for snapshots and sinks)."""
     return os.path.join(checkpoint_root(spark), *parts)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``slotwise`` importable in the Python workers (once per context).
+
+    Operators that run Python per partition pickle functions of this package
+    by reference.  When the package is not installed on the executors, a zip
+    of it is added with ``addPyFile``; the zip is written under the shared
+    checkpoint root when that is a local path.  With a remote checkpoint root
+    the package is expected to be installed on the cluster.
+    """
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    _SHIPPED.add(id(sc))
+    root = checkpoint_root(spark)
+    if "://" in root and not root.startswith("file:"):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = os.path.join(root.replace("file://", "").replace("file:", ""), "pyfiles")
+    os.makedirs(out_dir, exist_ok=True)
+    path = os.path.join(out_dir, f"slotwise-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)

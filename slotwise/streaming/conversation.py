@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from slotwise.functions.intents import CANCEL_WORDS, GREETING_WORDS, STATUS_WORDS
 from slotwise.operators import availability, lookups
-from slotwise.session import scratch_path
+from slotwise.session import scratch_path, ship_package
 
 STEPS = ("start", "choose_dept", "choose_doctor", "choose_date", "choose_slot", "confirm_name", "idle")
 
@@ -339,6 +339,7 @@ def conversation_steps(tagged: DataFrame, menus, sessions: DataFrame | None = No
 
     ``sessions`` (phone, step, temp_data) seeds the state of known phones.
     """
+    ship_package(tagged.sparkSession)
     # The state store coordinator lives in the streaming query manager;
     # create it so the same operator also runs on a batch DataFrame.
     tagged.sparkSession.streams.active
@@ -388,6 +389,7 @@ def conversation_steps_batch(tagged: DataFrame, menus, sessions: DataFrame | Non
     """
     from slotwise.plans.numbering import number_rows
 
+    ship_package(tagged.sparkSession)
     text = F.col("text")
     msgs = tagged.select("id", "phone", "ts", "text", text.isin(*_RESET_WORDS).alias("_reset"))
     pos = number_rows(msgs, ["phone"], ["ts", "id"], "_p")
