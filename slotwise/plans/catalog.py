@@ -25,7 +25,7 @@ SEARCH_DEPARTMENT = "Cardiology"
 SEARCH_STATUS = "booked"
 PATIENT_SEARCH = "0000012"
 ADMIN_PHONE = "+919999999999"
-DELETED_LEAVE_REASON = "3-MEDIUM"
+DELETED_LEAVE_REASON = "conference"
 
 A, D, P, L, M, S = "appointments", "doctors", "patients", "doctor_leaves", "messages", "session_updates"
 

@@ -41,11 +41,12 @@ SELECT id, patient_phone, patient_name, doctor_id, appointment_date, slot_time,
   status
 FROM appointments_base""",
     "doctor_leaves": """
-SELECT MIN(o_orderkey) + 1 AS id, doctor_id, leave_date, MIN(o_orderpriority) AS reason
-FROM (SELECT o_orderkey, o_orderpriority,
+SELECT MIN(o_orderkey) + 1 AS id, doctor_id, leave_date,
+  CASE WHEN month(MIN(o_orderdate)) <= 6 THEN 'conference' ELSE 'personal' END AS reason
+FROM (SELECT o_orderkey, o_orderdate,
         1 + o_orderkey % (SELECT COUNT(*) FROM supplier) AS doctor_id,
         DATE '2025-06-01' + CAST(o_custkey % 60 AS INTEGER) AS leave_date
-      FROM orders WHERE o_orderkey % 20 = 0) x
+      FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') x
 GROUP BY doctor_id, leave_date""",
     "messages": """
 SELECT conv_id * 1000 + turn AS id,

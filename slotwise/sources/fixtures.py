@@ -107,15 +107,19 @@ def appointments(orders: DataFrame, supplier: DataFrame) -> DataFrame:
 
 
 def doctor_leaves(orders: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Leave days: one order in twenty marks its (doctor, day) as a leave;
-    (doctor, day) is unique, the earliest order gives the id and reason."""
+    """Leave days: every urgent pending order marks its (doctor, day) as a
+    leave; (doctor, day) is unique, the earliest order gives the id, and the
+    month of the earliest order date gives the reason."""
     n_doctors = supplier.select(F.count(F.lit(1))).scalar()
-    marked = orders.where("o_orderkey % 20 = 0").select("*", n_doctors.alias("_n")).selectExpr(
-        "o_orderkey", "o_orderpriority", "1 + o_orderkey % _n AS doctor_id",
+    marked = orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(
+        "*", n_doctors.alias("_n")
+    ).selectExpr(
+        "o_orderkey", "o_orderdate", "1 + o_orderkey % _n AS doctor_id",
         f"date_add(DATE'{FIRST_APPOINTMENT_DAY}', CAST(o_custkey % {APPOINTMENT_SPAN_DAYS} AS INT)) AS leave_date",
     )
     return marked.groupBy("doctor_id", "leave_date").agg(
-        (F.min("o_orderkey") + 1).alias("id"), F.min("o_orderpriority").alias("reason")
+        (F.min("o_orderkey") + 1).alias("id"),
+        F.expr("CASE WHEN month(min(o_orderdate)) <= 6 THEN 'conference' ELSE 'personal' END").alias("reason"),
     ).select("id", "doctor_id", "leave_date", "reason")
 
 
