@@ -49,7 +49,7 @@ OUTPUT_SCHEMA = _fields(
     ("reply_kind", _S),
 )
 STATE_SCHEMA = _fields(("step", _S), ("temp_data", _S))
-MENU_ROW_LIMIT = 2_000_000
+MENU_ROW_LIMIT = 200_000  # in-memory menus above this go to shared Parquet
 
 _INT = re.compile(r"^[+-]?[0-9]+$")
 _DOCTOR_KEYS = ("id", "name", "department", "available_days", "slot_duration_mins", "start_time", "end_time")
@@ -84,6 +84,28 @@ class MemoryMenus:
         return (doctor_id, day) in self._leaves
 
 
+class BroadcastMenus:
+    """In-memory menus shipped once per executor as a broadcast variable."""
+
+    def __init__(self, bc):
+        self.bc = bc
+
+    def departments(self):
+        return self.bc.value.departments()
+
+    def doctors(self, dept):
+        return self.bc.value.doctors(dept)
+
+    def dates(self, doctor_id):
+        return self.bc.value.dates(doctor_id)
+
+    def slots(self, doctor_id, day):
+        return self.bc.value.slots(doctor_id, day)
+
+    def on_leave(self, doctor_id, day):
+        return self.bc.value.on_leave(doctor_id, day)
+
+
 class ParquetMenus(MemoryMenus):
     """Menu snapshot on shared storage, read per key with row-group pruning."""
 
@@ -198,7 +220,8 @@ def build_menus(doctors: DataFrame, leaves: DataFrame, appointments: DataFrame,
             if docs[i]["department"] is not None:
                 by_dept.setdefault(docs[i]["department"], []).append(docs[i])
         lv = {(int(r["doctor_id"]), r["day"]) for r in lv_rows}
-        return MemoryMenus(sorted(by_dept), by_dept, dates, slots, lv)
+        menus = MemoryMenus(sorted(by_dept), by_dept, dates, slots, lv)
+        return BroadcastMenus(doctors.sparkSession.sparkContext.broadcast(menus))
     root = scratch_path(doctors.sparkSession, "menus", uuid.uuid4().hex)
     frames = menu_frames(doctors, leaves, appointments, as_of)
     sort_keys = {"departments": ["menu_no"], "doctors": ["department", "menu_no"], "dates": ["doctor_id"],
@@ -347,6 +370,10 @@ def conversation_steps(tagged: DataFrame, menus, sessions: DataFrame | None = No
     kw = {}
     if sessions is not None:
         kw["initialState"] = sessions.select("phone", "step", "temp_data").groupBy("phone")
+    if isinstance(menus, BroadcastMenus):
+        # the processor is also unpickled on the driver, where broadcast
+        # values cannot be resolved; ship the (bounded) menus with it instead
+        menus = menus.bc.value
     return grouped.transformWithStateInPandas(
         statefulProcessor=ConversationProcessor(menus),
         outputStructType=OUTPUT_SCHEMA,
