@@ -56,7 +56,7 @@ def write_snapshot(df: DataFrame, name: str, partition_by: str | None = None) ->
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    jvm_fs_write(df, os.path.join(root, "CURRENT"), path)
+    _write_pointer(df, os.path.join(root, "CURRENT"), path)
     return path
 
 
@@ -69,8 +69,8 @@ def current_snapshot(spark, name: str) -> str | None:
         return None
 
 
-def jvm_fs_write(df: DataFrame, pointer: str, value: str) -> None:
-    """Publish ``value`` in the pointer file through the cluster file system."""
+def _write_pointer(df: DataFrame, pointer: str, value: str) -> None:
+    """Publish ``value`` in the pointer file (a one-line text table)."""
     spark = df.sparkSession
     spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
 

@@ -3,9 +3,9 @@
 Each micro-batch of conversation transitions carries ``cancel`` and ``book``
 commands.  The batch is applied to the current ledger snapshot with the
 set-based operators (cancels first, then bookings, each in arrival order)
-and the result is published as the next snapshot.  The snapshot directory
-name records the batch id, so a batch replayed after a failure is detected
-and skipped: the ledger changes exactly once per batch.
+and the result is published as the next snapshot, then committed as a row
+(batch id, path) in a small commits table.  A batch replayed after a failure
+is detected there and skipped: the ledger changes exactly once per batch.
 """
 
 from __future__ import annotations
@@ -23,22 +23,30 @@ def _snapshot_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "snapshots", name)
 
 
+def _commits_path(spark: SparkSession, name: str) -> str:
+    return os.path.join(_snapshot_dir(spark, name), "_commits")
+
+
 def last_applied_batch(spark: SparkSession, name: str) -> tuple[int, str | None]:
-    """(batch id, path) of the newest committed ledger snapshot, (-1, None) if none."""
-    root = _snapshot_dir(spark, name)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(root)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    """(batch id, path) of the newest committed ledger snapshot, (-1, None) if none.
+
+    Commits are rows (batch_id, path) appended to a small table after the
+    snapshot itself is written, so a snapshot without a commit row is simply
+    rewritten when its batch is replayed.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        last = spark.read.parquet(_commits_path(spark, name)).orderBy(F.desc("batch_id")).first()
+    except AnalysisException:  # nothing committed yet
         return -1, None
-    best, best_path = -1, None
-    for st in fs.listStatus(hpath):
-        n = st.getPath().getName()
-        if n.startswith("batch-") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            b = int(n.split("-")[1])
-            if b > best:
-                best, best_path = b, st.getPath().toString()
-    return best, best_path
+    return (int(last["batch_id"]), last["path"]) if last else (-1, None)
+
+
+def _commit(spark: SparkSession, name: str, batch_id: int, path: str) -> None:
+    spark.createDataFrame([(batch_id, path)], "batch_id long, path string").write.mode("append").parquet(
+        _commits_path(spark, name)
+    )
 
 
 def apply_commands(ledger: DataFrame, commands: DataFrame, doctors: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -74,7 +82,9 @@ def ledger_writer(name: str, doctors: DataFrame, leaves: DataFrame, initial_ledg
             return  # replay of a committed batch
         current = spark.read.parquet(path) if path else initial_ledger
         nxt = apply_commands(current, batch.where(F.col("command").isin("book", "cancel")), doctors, leaves)
-        nxt.write.mode("overwrite").parquet(os.path.join(_snapshot_dir(spark, name), f"batch-{batch_id:012d}"))
+        out = os.path.join(_snapshot_dir(spark, name), f"batch-{batch_id:012d}")
+        nxt.write.mode("overwrite").parquet(out)
+        _commit(spark, name, batch_id, out)
 
     return write
 
