@@ -179,3 +179,34 @@ def test_doctors_with_leaves_nested(spark, seed):
     leaves = spark.createDataFrame([(2, 1, D(2025, 6, 12), "b"), (1, 1, D(2025, 6, 10), "a")], LEAVES)
     rows = {r.id: r.leaves for r in reports.doctors_with_leaves(seed, leaves).collect()}
     assert [l.id for l in rows[1]] == [1, 2] and rows[2] == []
+
+
+def test_analytics_bundle_equals_single_queries(spark):
+    from slotwise.sources.fixtures import AS_OF, tables
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    b = analytics.analytics_bundle(t.appointments, t.doctors, AS_OF)
+    singles = {
+        "daily": analytics.daily_counts(t.appointments, AS_OF),
+        "by_dept": analytics.counts_by_department(t.appointments, t.doctors),
+        "by_doctor": analytics.counts_by_doctor(t.appointments, t.doctors),
+        "month_total": analytics.month_total(t.appointments, AS_OF),
+        "busiest_day": analytics.busiest_day(t.appointments),
+        "busiest_doctor": analytics.busiest_doctor(t.appointments, t.doctors),
+    }
+    for k, df in singles.items():
+        assert b[k].collect() == df.collect(), k
+
+
+def test_outbox_is_idempotent(spark):
+    from slotwise.operators import messaging
+    from slotwise.sources.fixtures import AS_OF, tables
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    notices = {"reminder": messaging.reminders(t.appointments, t.doctors, AS_OF)}
+    first = messaging.outbox(notices, AS_OF)
+    doubled = messaging.outbox({"reminder": notices["reminder"].unionByName(notices["reminder"])}, AS_OF)
+    assert doubled.count() == first.count() > 0
+    assert messaging.outbox(notices, AS_OF, already_sent=first).count() == 0
