@@ -13,7 +13,10 @@ third of the table.  :func:`number_rows` instead
 4. number = position - first position of its (slice, group) + rows of the
    group in earlier slices + 1.
 
-All steps are built-in operators; nothing is collected.  Keys must be
+A cheap size check picks the path: if the largest group has at most
+``MAX_WINDOW_GROUP`` rows, a plain window is used.
+
+All steps are built-in operators; nothing is collected but one number.  Keys must be
 non-null (they are join keys in step 4).
 
 Consistency: the range bounds are sampled at run time from the input of the
@@ -33,25 +36,45 @@ from slotwise.session import ensure_checkpoint_dir
 
 _PID, _POS, _FIRST, _OFFSET, _COUNT = "__slice", "__pos", "__first", "__offset", "__slice_rows"
 
+# Largest group a single window task may hold; above it the balanced path runs.
+MAX_WINDOW_GROUP = 1_000_000
+
 
 def _order_col(o) -> Column:
     return F.col(o) if isinstance(o, str) else o
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows in the largest group (a map-side partial aggregate, then a max)."""
+    if not keys:
+        return df.count()
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(top or 0)
+
+
 def number_rows(
     df: DataFrame,
     keys: list[str],
     order: list,
     name: str = "row_no",
     partitions: int | None = None,
+    max_window_group: int | None = None,
 ) -> DataFrame:
     """Append ``name`` = 1-based position of each row in its group by ``order``.
 
     ``order`` should make the position unique (end it with an id column).
+    The largest group is measured first; when it is within
+    ``max_window_group`` rows a plain window does the job in one shuffle,
+    otherwise the balanced range-slice path below runs.  Both give the same
+    numbers.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [_order_col(o) for o in order]
+    limit = MAX_WINDOW_GROUP if max_window_group is None else max_window_group
+    if limit > 0 and largest_group(df, keys) <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order_cols)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(k) for k in keys] + order_cols
     # Range slices, sorted inside each slice; the row's position in its slice
     # is monotonically_increasing_id() (partition id in the high bits, row

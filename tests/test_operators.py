@@ -78,16 +78,20 @@ def test_active_drops_null_status_and_namesakes_merge(spark):
     assert analytics.top_department(appts.limit(0), docs).first().department == "—"
 
 
-def test_number_rows_equals_row_number_on_skewed_keys(spark):
+import pytest
+
+
+@pytest.mark.parametrize("max_group", [0, 10**9])  # 0 forces the balanced path
+def test_number_rows_equals_row_number_on_skewed_keys(spark, max_group):
     # one key holds a third of the rows
     df = spark.range(0, 3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
         (F.col("id") * 7919 % 3001).alias("o"), F.col("id"),
     )
-    got = number_rows(df, ["k"], ["o", "id"], "rn")
+    got = number_rows(df, ["k"], ["o", "id"], "rn", max_window_group=max_group)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    glob = number_rows(df, [], ["o", "id"], "rn")
+    glob = number_rows(df, [], ["o", "id"], "rn", max_window_group=max_group)
     assert sorted(r.rn for r in glob.collect()) == list(range(1, 3001))
 
 

@@ -3,7 +3,18 @@
 import datetime as dt
 import random
 
+import pytest
+
 from slotwise.operators import availability, ledger
+from slotwise.plans import numbering
+
+
+@pytest.fixture(params=["window", "balanced"])
+def numbering_path(request, monkeypatch):
+    """Run a test with the plain-window path and with the balanced path forced."""
+    if request.param == "balanced":
+        monkeypatch.setattr(numbering, "MAX_WINDOW_GROUP", 0)
+    return request.param
 
 DOCS = "id long, name string, department string, available_days string, slot_duration_mins int, " \
        "start_time string, end_time string"
@@ -60,7 +71,7 @@ def serial_booking(ledger_rows, requests, doctor_ids, leave_days):
     return out
 
 
-def test_book_requests_matches_serial_model(spark):
+def test_book_requests_matches_serial_model(spark, numbering_path):
     rnd = random.Random(11)
     days = [dt.date(2025, 7, d) for d in (1, 2, 3)]
     slots = ["09:00", "09:15", "09:30", "09:45"]
@@ -81,7 +92,7 @@ def test_book_requests_matches_serial_model(spark):
     assert got == serial_booking(led, req, {1, 2, 3}, leave_days)
 
 
-def test_cancel_earliest_matches_serial_model(spark):
+def test_cancel_earliest_matches_serial_model(spark, numbering_path):
     rnd = random.Random(5)
     days = [dt.date(2025, 6, d) for d in range(1, 8)]
     slots = ["09:00", "09:15", "09:30"]
