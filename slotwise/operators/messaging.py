@@ -201,3 +201,34 @@ def outbox(notices: dict[str, DataFrame], as_of, already_sent: DataFrame | None
     if already_sent is not None:
         out = out.join(already_sent.select(*OUTBOX_KEY), list(OUTBOX_KEY), "left_anti")
     return out
+
+
+def run_daily_reminders(appointments: DataFrame, doctors: DataFrame, as_of, admin_phone: str | None,
+                        outbox_path: str) -> int:
+    """The daily reminder job for ``as_of``: reminders plus the admin summary
+    appended to the outbox table at ``outbox_path``.
+
+    Safe to start more than once (several workers, a retry): notices already
+    in the outbox for this ``as_of`` are removed by an anti join before the
+    append, so each is written once.  Returns the number of notices appended.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = appointments.sparkSession
+    notices = {"reminder": reminders(appointments, doctors, as_of)}
+    if admin_phone:
+        notices["summary_line"] = reminder_summary(appointments, doctors, as_of, admin_phone).select(
+            "line_no", "to_address", F.col("text").alias("body")
+        )
+    try:
+        sent = spark.read.parquet(outbox_path).where(F.col("as_of") == _day(as_of))
+    except AnalysisException:  # empty outbox
+        sent = None
+    new = outbox(notices, as_of, already_sent=sent).persist()
+    try:
+        n = new.count()
+        if n:
+            new.write.mode("append").partitionBy("as_of").parquet(outbox_path)
+        return n
+    finally:
+        new.unpersist()

@@ -62,3 +62,17 @@ def test_command_batches_apply_once(spark, seed):
     out = {r.id: (r.patient_name, r.status, r.token_number) for r in spark.read.parquet(path).collect()}
     # the cancel takes the phone's only booking; Meena loses the slot to Ravi
     assert out == {1: ("A", "cancelled", 1), 2: ("Ravi", "booked", 2)}
+
+
+def test_daily_reminders_write_each_notice_once(spark):
+    from slotwise.operators import messaging
+    from slotwise.sources.fixtures import AS_OF, tables
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    path = scratch_path(spark, "outbox-test", uuid.uuid4().hex)
+    first = messaging.run_daily_reminders(t.appointments, t.doctors, AS_OF, "+919999999999", path)
+    again = messaging.run_daily_reminders(t.appointments, t.doctors, AS_OF, "+919999999999", path)
+    stored = spark.read.parquet(path)
+    assert first > 0 and again == 0 and stored.count() == first
+    assert stored.groupBy("kind", "ref_id", "as_of").count().where("count > 1").count() == 0
