@@ -27,6 +27,28 @@ SESSION_DEFAULTS = {
 }
 
 
+# Starting point for a large cluster (~100 TB inputs, ~1000 executors):
+# many initial shuffle partitions that AQE coalesces towards the advisory
+# size, scan splits of the same size, and skew splitting for joins.
+CLUSTER_DEFAULTS = {
+    **SESSION_DEFAULTS,
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
+def apply_conf(builder, conf: dict = CLUSTER_DEFAULTS):
+    """Apply a settings preset to a ``SparkSession.builder``."""
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "slotwise") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -76,3 +76,17 @@ def test_daily_reminders_write_each_notice_once(spark):
     stored = spark.read.parquet(path)
     assert first > 0 and again == 0 and stored.count() == first
     assert stored.groupBy("kind", "ref_id", "as_of").count().where("count > 1").count() == 0
+
+
+def test_chart_series_json_lines_round_trip(spark):
+    from slotwise.operators import analytics
+    from slotwise.sources.fixtures import AS_OF, tables
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    series = analytics.chart_series(t.appointments, t.doctors, AS_OF)
+    path = scratch_path(spark, "json-test", uuid.uuid4().hex)
+    sinks.write_json_lines(series.select("series", "label", "count"), path, partition_by="series")
+    back = spark.read.json(path).select("series", "label", F.col("count").cast("bigint").alias("count"))
+    assert back.exceptAll(series.select("series", "label", "count")).count() == 0
+    assert back.count() == series.count()
