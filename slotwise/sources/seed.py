@@ -31,3 +31,20 @@ def seed_doctors(existing: DataFrame) -> DataFrame:
     seed = seed_rows(existing.sparkSession)
     cols = [f.name for f in DOCTORS.fields]
     return existing.select(*cols).unionByName(seed.where(~existing.exists()))
+
+
+def seed_doctors_table(spark: SparkSession, path: str) -> bool:
+    """Write the seed doctors to the table at ``path`` only if it has no row.
+
+    The emptiness test reads at most one row (``limit(1)``).  Returns True
+    when the seed was written.  Running it again is a no-op.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        empty = spark.read.parquet(path).limit(1).count() == 0
+    except AnalysisException:  # no table yet
+        empty = True
+    if empty:
+        seed_rows(spark).write.mode("append").parquet(path)
+    return empty

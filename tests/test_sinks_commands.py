@@ -90,3 +90,13 @@ def test_chart_series_json_lines_round_trip(spark):
     back = spark.read.json(path).select("series", "label", F.col("count").cast("bigint").alias("count"))
     assert back.exceptAll(series.select("series", "label", "count")).count() == 0
     assert back.count() == series.count()
+
+
+def test_seed_table_is_idempotent(spark):
+    from slotwise.sources.seed import seed_doctors_table
+
+    path = scratch_path(spark, "seed-test", uuid.uuid4().hex)
+    assert seed_doctors_table(spark, path) is True
+    assert seed_doctors_table(spark, path) is False
+    rows = spark.read.parquet(path).orderBy("id").collect()
+    assert [r.id for r in rows] == [1, 2, 3, 4, 5, 6] and rows[0].slot_duration_mins == 15
