@@ -46,7 +46,7 @@ _S, _L = StringType(), LongType()
 OUTPUT_SCHEMA = _fields(
     ("phone", _S), ("msg_id", _L), ("ts", TimestampNTZType()), ("intent", _S), ("from_step", _S),
     ("to_step", _S), ("command", _S), ("doctor_id", _L), ("date", _S), ("slot", _S), ("name", _S),
-    ("reply_kind", _S),
+    ("reply_kind", _S), ("temp_data", _S),
 )
 STATE_SCHEMA = _fields(("step", _S), ("temp_data", _S))
 MENU_ROW_LIMIT = 200_000  # in-memory menus above this go to shared Parquet
@@ -343,7 +343,8 @@ class ConversationProcessor(StatefulProcessor):
         out = []
         for msg_id, ts, text in zip(batch["id"], batch["ts"], batch["text"]):
             nxt, nxt_data, fields = step_once(step, data, text, self.menus)
-            out.append({"phone": phone, "msg_id": int(msg_id), "ts": ts, "from_step": step, "to_step": nxt, **fields})
+            out.append({"phone": phone, "msg_id": int(msg_id), "ts": ts, "from_step": step, "to_step": nxt,
+                        **fields, "temp_data": json.dumps(nxt_data)})
             step, data = nxt, nxt_data
         self.session.update((step, json.dumps(data)))
         cols = [f.name for f in OUTPUT_SCHEMA.fields]
@@ -454,9 +455,24 @@ def conversation_steps_batch(tagged: DataFrame, menus, sessions: DataFrame | Non
                     step, data = _initial_state(row._asdict(), menus)
                 nxt, nxt_data, fields = step_once(step, data, row.text, menus)
                 out.append({"phone": row.phone, "msg_id": int(row.id), "ts": row.ts, "from_step": step,
-                            "to_step": nxt, **fields})
+                            "to_step": nxt, **fields, "temp_data": json.dumps(nxt_data)})
                 step, data = nxt, nxt_data
             yield pd.DataFrame(out, columns=cols)
 
     ordered = seg.repartition("phone", "seg").sortWithinPartitions("phone", "seg", "ts", "id")
     return ordered.mapInPandas(fold, OUTPUT_SCHEMA)
+
+
+def sessions_after(transitions: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Session table after the transitions (T-4 in batch form): the last
+    write per phone wins, on top of the sessions that existed before."""
+    from slotwise.operators import ledger
+
+    writes = transitions.select(
+        "phone", F.col("to_step").alias("step"), "temp_data", F.col("ts").alias("updated_at"),
+        F.col("msg_id").alias("seq"),
+    )
+    if sessions is not None:
+        writes = sessions.select("phone", "step", "temp_data", "updated_at", F.lit(-1).cast("bigint").alias("seq")
+                                 ).unionByName(writes)
+    return ledger.session_latest(writes)

@@ -124,3 +124,25 @@ def test_chat_pipeline_two_runs_equal_batch(spark):
     assert done >= 1 and path is not None
     ledger = spark.read.parquet(path)
     assert ledger.count() >= t.appointments.count()  # bookings only ever append
+
+
+
+
+def test_sessions_after_matches_stateful_state(spark):
+    from slotwise.sources.fixtures import AS_OF, tables
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
+    steps = conversation.conversation_steps_batch(ingest.tagged_messages(t.messages), menus)
+    after = {r.phone: (r.step, r.temp_data) for r in conversation.sessions_after(steps).collect()}
+    # replay each phone serially from 'start' and compare the final state
+    import json
+
+    rows = ingest.tagged_messages(t.messages).orderBy("phone", "ts", "id").collect()
+    state: dict = {}
+    for r in rows:
+        step, data = state.get(r.phone, ("start", {}))
+        step, data, _ = step_once(step, data, r.text, menus)
+        state[r.phone] = (step, data)
+    assert {p: (s, json.loads(d)) for p, (s, d) in after.items()} == {p: (s, d) for p, (s, d) in state.items()}
