@@ -1058,7 +1058,20 @@ def q_menu_selection(spark, sf_dir):
     return ingest.menu_selection(t.messages, lookups.departments(t.doctors))
 
 
-@register("name_titlecase")
+@register(
+    "name_titlecase",
+    # Python's str.title: a character is title-cased when the one before it is
+    # not a cased letter, lower-cased otherwise.  Fixed value: the titlecase
+    # of 'ß' is 'Ss' (DuckDB's upper() would give 'ẞ').
+    r"""
+WITH v AS (SELECT id, string_split(lower(trim(body)), '') AS ch FROM messages
+           WHERE length(from_number) > 0 AND length(trim(body)) > 0),
+t AS (SELECT id, array_to_string(list_transform(ch, lambda x, i:
+        CASE WHEN i > 1 AND regexp_matches(ch[i - 1], '[\p{Lu}\p{Ll}\p{Lt}]') THEN x
+             WHEN x = 'ß' THEN 'Ss' ELSE upper(x) END), '') AS name FROM v)
+SELECT id, name FROM t WHERE length(name) >= 2""",
+    (M,),
+)
 def q_name_titlecase(spark, sf_dir):
     return ingest.name_titlecase(tables(spark, sf_dir).messages)
 
