@@ -214,3 +214,20 @@ def test_outbox_is_idempotent(spark):
     doubled = messaging.outbox({"reminder": notices["reminder"].unionByName(notices["reminder"])}, AS_OF)
     assert doubled.count() == first.count() > 0
     assert messaging.outbox(notices, AS_OF, already_sent=first).count() == 0
+
+
+def test_leave_removal_restores_nothing_and_status_guard(spark, seed):
+    day = D(2025, 6, 10)
+    appts = spark.createDataFrame(
+        [(1, "p1", "A", 3, day, "09:00", 1, "booked"), (2, "p2", "B", 3, day, "09:20", 2, "completed")], APPT
+    )
+    leaves = spark.createDataFrame([(7, 3, day, "x")], LEAVES)
+    hit = ledger.leave_cascade(appts, seed, leaves)
+    after = ledger.apply_cascade(appts, hit)
+    assert {r.id: r.status for r in after.collect()} == {1: "cancelled", 2: "completed"}
+    remaining = ledger.leave_delete(leaves, spark.createDataFrame([(7,)], "id long"))
+    assert remaining.count() == 0
+    assert {r.id: r.status for r in after.collect()}[1] == "cancelled"  # B20: no restore
+    ids = spark.createDataFrame([(2,)], "id long")
+    assert ledger.cancel_by_id(appts, ids).where("id = 2").first().status == "cancelled"  # B21: no guard
+    assert ledger.cancel_by_id(appts, ids, only_booked=True).where("id = 2").first().status == "completed"
