@@ -7,7 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import byte_bpe, exact_dedup, hash_forest, language_id, mixing, quality, toxicity
+from slotwise.llm import (
+    byte_bpe,
+    exact_dedup,
+    hash_forest,
+    language_id,
+    mixing,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from slotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -68,6 +78,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
