@@ -11,6 +11,7 @@ from slotwise.llm import (
     byte_bpe,
     exact_dedup,
     hash_forest,
+    jaccard_join,
     language_id,
     mixing,
     quality,
@@ -122,3 +123,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))

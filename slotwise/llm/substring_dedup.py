@@ -102,6 +102,13 @@ class Words:
                 width *= 2
         return scramble(total)
 
+    def windows_of(self, start: int, length: int) -> int:
+        """Hash of the ``length`` words from one word on; as :meth:`windows` has it."""
+        step, total = int(_STEP[1]), 0
+        for j in range(length):
+            total += int(self.hash[0][start + j]) * pow(step, j, 1 << 64)
+        return int(scramble(np.array([total & ((1 << 64) - 1)], np.uint64))[0])
+
     def whole(self, length: int) -> np.ndarray:
         """For each window start whether the window stays within a document."""
         n = len(self.doc) - length + 1
