@@ -48,6 +48,8 @@ WINDOW = 100
 GRAM = 32  # bytes of the gram that names a bucket (less for short windows)
 VERY_MANY = 256  # blocks that may share a bucket before it is cut further
 SUFFIXES = 1 << 18
+# Several 8-byte numbers per byte of a block are in memory at a time.
+BLOCK_BYTES, RANGE_BYTES = 1 << 20, 32 << 20
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 is one of two members
 
 
@@ -342,8 +344,8 @@ def _run(docs, finish, columns, window, block_bytes, range_bytes, very_many) ->
 def remove_repeats(
     docs: DataFrame,
     window: int = WINDOW,
-    block_bytes: int = B.BLOCK_BYTES,
-    range_bytes: int = B.RANGE_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+    range_bytes: int = RANGE_BYTES,
     very_many: int = VERY_MANY,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
@@ -354,4 +356,4 @@ def remove_repeats(
 def cleaned_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that are left (cut characters stay cut)."""
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return _run(docs, _pieces, columns, window, B.BLOCK_BYTES, B.RANGE_BYTES, VERY_MANY)
+    return _run(docs, _pieces, columns, window, BLOCK_BYTES, RANGE_BYTES, VERY_MANY)
