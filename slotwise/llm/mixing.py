@@ -140,17 +140,24 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     Documents without words have nothing to take and carry no weight: one row
     of each stays, so that nothing is lost to a size of zero.
     """
-    taken = mix(docs, **params).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "taken")
+    # Rows that repeat an id and a size share one entry of the mixture.
+    taken = (
+        mix(docs, **params)
+        .groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"))
+        .agg(F.max("taken").alias("__taken"))
+    )
     names = docs.columns
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    copies = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("__size"))).cast("int")
+    joined = docs.withColumn("__own", word_count(F.col("text"))).join(
+        taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size"))
+    )
+    copies = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.ceil(F.col("__taken") / F.col("__size"))).cast("int")
     each = joined.where(copies >= 1).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.least(F.col("__size"), F.col("taken") - (F.col("__copy") - 1) * F.col("__size"))
+    left = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))
-    cut_text = F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")
     partial = (F.col("__size") > 0) & (left < F.col("__size"))
+    first_words = F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")
     out = each.withColumn("__partial", partial).withColumn(
-        "text", F.when(F.col("__partial"), cut_text).otherwise(F.col("text"))
+        "text", F.when(F.col("__partial"), first_words).otherwise(F.col("text"))
     )
     if "n_chars" in names:
         out = out.withColumn(

@@ -379,3 +379,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is below the threshold, with all their columns.
+
+    They are filtered while they are scored, so no text is shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # bounded as above
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        machine = _automaton(tuple(m.lexicon.entries))
+        for b in batches:
+            x = np.array([features(t.as_py(), machine) for t in b.column("text")]).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(m.score(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
