@@ -61,8 +61,8 @@ from slotwise.llm.substring_dedup import Words, scramble
 SHINGLE, PERCENT = 5, 80
 BATCH_BYTES, RANGE_BYTES = 4 << 20, 64 << 20
 SKETCH = 512  # bits
-CHANCE = 1000.0  # cost of a chance match in keys
-LIST_CHUNK = 4096  # sets compared with each other in one task
+CHANCE = 1e8  # cost of a chance match in keys, for sets by the hundred million
+LIST_CHUNK = 1024  # sets compared with each other in one task
 BLOOM_WORDS = 1 << 19  # 64-bit words of the filter of candidate sets
 
 
@@ -112,7 +112,7 @@ def allocation(percent: int, low: int, high: int) -> tuple[int, int, int, int]:
             counts = range(slack + 1, min(ones, tail) + 1) if mean > 0 else range(0)
             weight = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in counts]
             over = sum(weight)
-            for take in range(1, min(slack + 1, 4) + 1):
+            for take in range(1, min(slack + 1, 6) + 1):
                 subsets = sum(w * math.comb(k, take) for w, k in zip(weight, counts, strict=True))
                 full = max(slack + 1, mean) / max(1, ones)
                 chance = two * (none + one) + over * over * math.comb(ones, take) * full ** (2 * take)
@@ -377,6 +377,28 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names that sizes and sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(m), -1) for c in ("x", "y")
+            )
+            keep = _possible(m, n, np.bitwise_count(x ^ y).sum(axis=1), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = info.select(F.col("name").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("x"))
+    right = info.select(F.col("name").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+
+
+def _possible(m, n, differing: np.ndarray, percent: int) -> np.ndarray:
+    small, large = np.minimum(m, n), np.maximum(m, n)
+    return (small * 100 >= large * percent) & (differing * (100 + percent) <= (m + n) * (100 - percent))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set names that link."""
 
@@ -396,35 +418,31 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # --- lists with several components ---------------------------------------------------
 
 
-def _across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _across(rows: list[dict], single: bool, percent: int) -> Iterator[tuple[bytes, bytes]]:
     """Pairs of one list chunk (or of two) in different components that size and sketch allow."""
-    rows = rows.sort_values(["n_shingles", "name"])
-    n = rows["n_shingles"].to_numpy()
-    label = np.unique(np.array(rows["label"].tolist(), "S16").view("V16"), return_inverse=True)[1]
-    side = rows["side"].to_numpy()
-    first = rows["center"].to_numpy()
-    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-    names = rows["name"].to_numpy()
-    single = rows["single"].iloc[0]
-    out = []
-    for i in range(len(rows)):
-        stop = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-        j = np.arange(i + 1, stop)
-        # Different components, not the star pairs that were compared before.
-        j = j[(label[j] != label[i]) & ~(first[j] | first[i]) & (single | (side[j] != side[i]))]
-        if not len(j):
-            continue
-        bits = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
-        j = j[bits * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
-        out.extend((min(names[i], names[k]), max(names[i], names[k])) for k in j)
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def pairs_across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    rows.sort(key=lambda r: (r["n_shingles"], r["name"]))
+    n = np.array([r["n_shingles"] for r in rows])
+    kinds: dict = {}
+    label = np.array([kinds.setdefault(r["label"], len(kinds)) for r in rows])
+    side = np.array([r["side"] for r in rows])
+    center = np.array([r["center"] for r in rows])
+    sketch = np.frombuffer(b"".join([r["sketch"] for r in rows]), np.uint64).reshape(len(rows), -1)
+    for i in np.flatnonzero(~center).tolist():
+        # Sets of other components up to the largest size that can link; the star has been compared.
+        j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
+        j = j[(label[j] != label[i]) & ~center[j] & (single | (side[j] != side[i]))]
+        if len(j):
+            j = j[_possible(n[i], n[j], np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1), percent)]
+            for k in j.tolist():
+                a, b = rows[i]["name"], rows[k]["name"]
+                yield (a, b) if a < b else (b, a)
+
+
+def pairs_across(members: DataFrame, labels: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components within the lists that hold several.
 
-    A long list is cut into chunks by hash, and every two chunks are a group
-    of their own, so a group's size is bounded.
+    A long list is cut into chunks by hash, and every two chunks are one row
+    to look at, so the size of a row is bounded.
     """
     named = members.join(labels, members["member"] == labels["node"], "left").select(
         "list", "member", F.coalesce("label", "member").alias("label")
@@ -432,32 +450,38 @@ def pairs_across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent
     spread = named.groupBy("list").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("member").alias("least"), F.count(F.lit(1)).alias("n")
     )
-    mixed = spread.where("lo <> hi").select(
+    # Of a list of two, the only pair has been compared.
+    mixed = spread.where("lo <> hi AND n > 2").select(
         "list", "least", F.ceil(F.col("n") / LIST_CHUNK).cast("int").alias("chunks")
     )
-    info = sets.select(F.col("name").alias("member"), "n_shingles", "sketch")
-    rows = named.join(mixed, "list").join(info, "member").withColumn(
+    rows = named.join(mixed, "list").join(info.withColumnRenamed("name", "member"), "member").withColumn(
         "chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    grouped = rows.withColumn("other", other).select(
-        "list",
-        F.least("chunk", "other").alias("c1"),
-        F.greatest("chunk", "other").alias("c2"),
-        (F.col("chunk") == F.col("other")).alias("single"),
-        (F.col("chunk") <= F.col("other")).alias("side"),
-        (F.col("member") == F.col("least")).alias("center"),
+    entry = F.struct(
         F.col("member").alias("name"),
         "label",
         "n_shingles",
         "sketch",
+        (F.col("chunk") <= F.col("other")).alias("side"),
+        (F.col("member") == F.col("least")).alias("center"),
     )
-    return (
-        grouped.groupBy("list", "c1", "c2")
-        .applyInPandas(lambda rows: _across(rows, percent), "a binary, b binary")
-        .distinct()
+    chunks = (
+        rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .groupBy("list", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
+        .agg(F.collect_list(entry).alias("entries"))
+        .select((F.col("c1") == F.col("c2")).alias("single"), "entries")
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for single, entries in zip(b.column("single").to_pylist(), b.column("entries"), strict=True):
+                found.update(_across(entries.as_py(), single, percent))
+            a, c = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
+
+    return chunks.mapInArrow(run, "a binary, b binary").distinct()
+
 
 def near_duplicates(
     docs: DataFrame,
@@ -481,11 +505,12 @@ def near_duplicates(
         .agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")),
         "jaccard-candidates",
     )
+    info = cut(sets.select("name", "n_shingles", "sketch"), "jaccard-info")
     least = members.groupBy("list").agg(F.min("member").alias("a"))
     star = members.join(least, "list").where("member <> a").select("a", F.col("member").alias("b")).distinct()
-    links = cut(verify(star, sets, percent), "jaccard-star")
+    links = cut(verify(allowed(star, info, percent), sets, percent), "jaccard-star")
     labels = components(links)
-    more = verify(pairs_across(members, labels, sets, percent), sets, percent)
+    more = verify(pairs_across(members, labels, info, percent), sets, percent)
     # Links between components, as links between their least members.
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
