@@ -47,9 +47,9 @@ from slotwise.llm.substring_dedup import _BYTE, scramble
 WINDOW = 100
 GRAM = 32  # bytes of the gram that names a bucket (less for short windows)
 VERY_MANY = 256  # blocks that may share a bucket before it is cut further
-SUFFIXES = 1 << 18
-# Several 8-byte numbers per byte of a block are in memory at a time.
-BLOCK_BYTES, RANGE_BYTES = 1 << 20, 32 << 20
+SUFFIXES = 1 << 17
+# Several 8-byte numbers per byte of a block or of a range's contexts are in memory at a time.
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 is one of two members
 
 
