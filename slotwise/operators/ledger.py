@@ -10,7 +10,7 @@ or notifies, a DataFrame of outcomes).  Persist a result with
 Per-key "first" / "latest" picks are aggregates (``min``/``max`` over a
 struct), which combine map-side, so a hot phone or slot is reduced before it
 is shuffled.  Ranks that the semantics need (tokens, k-th cancel) use the
-balanced :func:`number_rows`.
+sliced :func:`number_rows`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.text import normalize_phone, parse_day
-from slotwise.plans.numbering import number_rows
+from slotwise.plans.numbering import id_slice, number_rows
 from slotwise.schemas import DEFAULT_STEP, DEFAULT_TEMP_DATA
 
 # Booking outcomes, in the order the checks are applied.
@@ -56,6 +56,7 @@ def token_numbers(appointments: DataFrame) -> DataFrame:
         ["doctor_id", "appointment_date"],
         ["id"],
         "token_number",
+        [id_slice("id")],
     )
 
 
@@ -76,7 +77,8 @@ def next_appointment(appointments: DataFrame, doctors: DataFrame, from_date=None
         booked = booked.where(F.col("appointment_date") >= _day(from_date))
     joined = booked.join(_doctor_dim(doctors), "doctor_id")
     cols = [c for c in appointments.columns] + ["doctor_name", "department"]
-    return joined.groupBy("patient_phone").agg(
+    # A phone is the same person with and without the address prefix.
+    return joined.groupBy(normalize_phone("patient_phone").alias("_key")).agg(
         F.min_by(F.struct(*cols), F.struct("appointment_date", "slot_time", "id")).alias("_a")
     ).select(*[F.col("_a")[c].alias(c) for c in cols])
 
@@ -136,9 +138,11 @@ def book_requests(ledger: DataFrame, requests: DataFrame, doctors: DataFrame, le
 
     # One numbering pass over all requests: within a (doctor, day) accepted
     # requests sort first (by id), so their position is their rank among the
-    # accepted; rejected rows get no token.  Nothing upstream is computed twice.
+    # accepted; rejected rows get no token.
     is_accepted = F.col("outcome") == ACCEPTED
-    ranked = number_rows(decided, ["doctor_id", "appointment_date"], [~is_accepted, F.col("id")], "_rank")
+    ranked = number_rows(
+        decided, ["doctor_id", "appointment_date"], [~is_accepted, F.col("id")], "_rank", [~is_accepted, id_slice("id")]
+    )
     prior = ledger.groupBy("doctor_id", "appointment_date").agg(F.count(F.lit(1)).alias("_prior"))
     return ranked.join(prior, ["doctor_id", "appointment_date"], "left").select(
         *decided.columns,
@@ -175,7 +179,7 @@ def patient_upsert(patients: DataFrame, bookings: DataFrame, as_of) -> DataFrame
     p = patients.select("id", "name", "phone", "created_at").withColumn("_key", normalize_phone("phone"))
     merged = p.join(latest, "_key", "full")
     existing = merged.where(F.col("id").isNotNull())
-    fresh = number_rows(merged.where(F.col("id").isNull()), [], ["_first"], "_new_no")
+    fresh = number_rows(merged.where(F.col("id").isNull()), [], ["_first"], "_new_no", [id_slice("_first")])
     max_id = patients.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fresh = fresh.withColumn("id", max_id + F.col("_new_no")).drop("_new_no")
     created = F.lit(_day(as_of)).cast("timestamp_ntz") if isinstance(as_of, (str, dt.date)) else as_of
@@ -217,7 +221,7 @@ def cancel_earliest(ledger: DataFrame, doctors: DataFrame, requests: DataFrame)
     """
     req = number_rows(
         requests.select(normalize_phone("phone").alias("phone_key"), "phone", "request_id", "ts"),
-        ["phone_key"], ["ts", "request_id"], "k",
+        ["phone_key"], ["ts", "request_id"], "k", [F.date_trunc("hour", "ts")],
     )
     asking = req.select("phone_key").distinct()
     booked = (
@@ -228,7 +232,7 @@ def cancel_earliest(ledger: DataFrame, doctors: DataFrame, requests: DataFrame)
     )
     ranked = number_rows(
         booked.select("phone_key", F.col("id").alias("appointment_id"), "doctor_name", "appointment_date", "slot_time"),
-        ["phone_key"], ["appointment_date", "slot_time", "appointment_id"], "k",
+        ["phone_key"], ["appointment_date", "slot_time", "appointment_id"], "k", [F.col("appointment_date")],
     )
     return req.join(ranked, ["phone_key", "k"], "left").select(
         "request_id", "phone", "k",
@@ -291,7 +295,7 @@ def leave_insert(leaves: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
         .agg(F.min(F.struct("request_id", "reason")).alias("_f"))
     )
     fresh = first.join(leaves.select("doctor_id", "leave_date"), ["doctor_id", "leave_date"], "left_anti")
-    fresh = number_rows(fresh.withColumn("_req", F.col("_f.request_id")), [], ["_req"], "_no")
+    fresh = number_rows(fresh.withColumn("_req", F.col("_f.request_id")), [], ["_req"], "_no", [id_slice("_req")])
     max_id = leaves.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     new_rows = fresh.select(
         (max_id + F.col("_no")).alias("id"), "doctor_id", "leave_date", F.col("_f.reason").alias("reason")

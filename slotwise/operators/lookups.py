@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.plans.numbering import number_rows
+from slotwise.plans.numbering import id_slice, number_rows
 from slotwise.schemas import DEFAULT_STEP, DEFAULT_TEMP_DATA
 
 DOCTOR_COLUMNS = ("name", "department", "available_days", "slot_duration_mins", "start_time", "end_time")
@@ -38,17 +38,17 @@ def session_lookup(phones: DataFrame, sessions: DataFrame) -> DataFrame:
 def doctors_by_department(doctors: DataFrame, department: str | None = None) -> DataFrame:
     """Doctor menu per department in insertion (id) order, with its menu number.
 
-    Departments are few and large, so the menu number uses the balanced
-    numbering instead of one window partition per department.
+    Departments are few and large, so they are numbered in slices of ids
+    instead of in one window partition per department.
     """
     d = doctors if department is None else doctors.where(F.col("department") == department)
-    return number_rows(d.where(F.col("department").isNotNull()), ["department"], ["id"], "menu_no")
+    return number_rows(d.where(F.col("department").isNotNull()), ["department"], ["id"], "menu_no", [id_slice("id")])
 
 
 def departments(doctors: DataFrame) -> DataFrame:
     """Distinct departments in menu (alphabetical) order with their menu number."""
     distinct = doctors.select("department").where(F.col("department").isNotNull()).distinct()
-    return number_rows(distinct, [], ["department"], "menu_no").orderBy("menu_no")
+    return number_rows(distinct, [], ["department"], "menu_no", [F.substring("department", 1, 2)]).orderBy("menu_no")
 
 
 def doctor_options(doctors: DataFrame) -> DataFrame:

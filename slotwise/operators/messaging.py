@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from slotwise.functions import templates as T
 from slotwise.functions.text import PATIENT_FALLBACK, fmt_day, messaging_address, or_fallback, py_str
 from slotwise.operators import ledger as L
-from slotwise.plans.numbering import number_rows
+from slotwise.plans.numbering import id_slice, number_rows
 
 OUTBOX_KEY = ("kind", "ref_id", "as_of")
 
@@ -71,7 +71,7 @@ def reminder_summary(appointments: DataFrame, doctors: DataFrame, as_of, admin_p
         to.alias("to_address"),
         T.render(T.SUMMARY_HEADER, day=F.date_format(tomorrow, "yyyy-MM-dd"), count=F.col("count")).alias("text"),
     )
-    lines = number_rows(b.select("id", "patient_name", "doctor_name", "slot_time"), [], ["id"], "line_no").select(
+    lines = number_rows(b.select("id", "patient_name", "doctor_name", "slot_time"), [], ["id"], "line_no", [id_slice("id")]).select(
         "line_no",
         to.alias("to_address"),
         T.render(

@@ -162,10 +162,11 @@ def patients_summary(patients: DataFrame, appointments: DataFrame, search: str |
 def patients_table(summary: DataFrame) -> DataFrame:
     """The patients screen: running row number and display fallbacks.
 
-    The row number is global; it uses the balanced numbering (range
-    partitioning + slice offsets) instead of a single-partition window.
+    The row number is global; it is counted in slices of a registration day,
+    the newest first, instead of in a single-partition window.
     """
-    numbered = number_rows(summary, [], [F.desc("created_at"), F.col("id")], "row_no")
+    newest_first = F.coalesce(-F.unix_date(F.to_date("created_at")), F.lit(2**31 - 1))
+    numbered = number_rows(summary, [], [F.desc("created_at"), F.col("id")], "row_no", [newest_first])
     return numbered.select(
         "row_no",
         "id",

@@ -135,7 +135,8 @@ NEXT_CTE = """
 nxt AS (
   SELECT * FROM (
     SELECT a.*, d.name AS doctor_name, d.department,
-      ROW_NUMBER() OVER (PARTITION BY a.patient_phone ORDER BY a.appointment_date, a.slot_time, a.id) AS rn
+      ROW_NUMBER() OVER (PARTITION BY replace(a.patient_phone, 'whatsapp:', '')
+                         ORDER BY a.appointment_date, a.slot_time, a.id) AS rn
     FROM appointments a JOIN doctors d ON a.doctor_id = d.id WHERE a.status = 'booked') n WHERE rn = 1)"""
 
 HITS_CTE = """

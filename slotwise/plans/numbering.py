@@ -1,99 +1,59 @@
-"""Row numbering within groups that stays balanced when one group is huge.
+"""Row numbering within groups, in slices, so that no task holds a whole group.
 
 ``row_number().over(Window.partitionBy(k).orderBy(o))`` sends every row of a
-group to one task; if one key holds a third of the table that task holds a
-third of the table.  :func:`number_rows` instead
-
-1. range-partitions on (keys, order) — a hot group is cut into contiguous
-   slices that land in consecutive partitions of bounded size;
-2. sorts inside each range partition and takes the row's position there
-   (``monotonically_increasing_id``), so no further shuffle is needed;
-3. counts rows per (partition, group) — a frame with at most
-   #groups + #partitions rows — and turns the counts into running offsets;
-4. number = position - first position of its (slice, group) + rows of the
-   group in earlier slices + 1.
-
-A cheap size check picks the path: if the largest group has at most
-``MAX_WINDOW_GROUP`` rows, a plain window is used.
-
-All steps are built-in operators; nothing is collected but one number.  Keys must be
-non-null (they are join keys in step 4).
-
-Consistency: the range bounds are sampled at run time from the input of the
-exchange, whose row order after a shuffle is not fixed.  Steps 2 and 3 must
-see the *same* slices, so the numbered slices are written once with a
-reliable ``checkpoint()`` (to ``spark.checkpoint.dir``, a shared folder) and
-both steps read that copy.  The checkpoint also cuts the lineage, so losing
-an executor later never re-samples different bounds.
+group to one task; if one key holds a third of the table, that task holds a
+third of the table.  :func:`number_rows` cuts every group into *slices*: the
+values of ``slices`` are coarse, deterministic functions of the order (a range
+of ids, a day, an hour) that never decrease along it.
+
+1. rows are numbered inside their (keys, slice) — one shuffle on both;
+2. the slice sizes, taken from that same shuffle, are added up in order of the
+   slices of a group (one small row per slice);
+3. number = rows of the earlier slices + number inside the slice.
+
+There is one path for every size of data, nothing is sampled, collected or
+checkpointed, and no job runs while the plan is built.  Null keys form a group
+like any other (the join of step 3 is null-safe).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.session import ensure_checkpoint_dir
-
-_PID, _POS, _FIRST, _OFFSET, _COUNT = "__slice", "__pos", "__first", "__offset", "__slice_rows"
-
-# Largest group a single window task may hold; above it the balanced path runs.
-MAX_WINDOW_GROUP = 1_000_000
-
+_SLICE, _INSIDE, _OFFSET, _OTHER = "__slice", "__inside", "__offset", "__other_"
 
-def _order_col(o) -> Column:
-    return F.col(o) if isinstance(o, str) else o
+# Ids per slice where a group is cut by id ranges.
+IDS_PER_SLICE = 1 << 20
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the largest group (a map-side partial aggregate, then a max)."""
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(top or 0)
+def id_slice(id_col: str | Column, width: int = IDS_PER_SLICE) -> Column:
+    """Slice of an integer id: its range of ``width`` ids (null ids come first, as in an ascending order)."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.floor(c / F.lit(width))
 
 
-def number_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    name: str = "row_no",
-    partitions: int | None = None,
-    max_window_group: int | None = None,
-) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list, name: str, slices: list[Column]) -> DataFrame:
     """Append ``name`` = 1-based position of each row in its group by ``order``.
 
     ``order`` should make the position unique (end it with an id column).
-    The largest group is measured first; when it is within
-    ``max_window_group`` rows a plain window does the job in one shuffle,
-    otherwise the balanced range-slice path below runs.  Both give the same
-    numbers.
+    ``slices`` must not decrease along ``order`` within a group.
     """
-    spark = df.sparkSession
-    order_cols = [_order_col(o) for o in order]
-    limit = MAX_WINDOW_GROUP if max_window_group is None else max_window_group
-    if limit > 0 and largest_group(df, keys) <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [F.col(k) for k in keys] + order_cols
-    # Range slices, sorted inside each slice; the row's position in its slice
-    # is monotonically_increasing_id() (partition id in the high bits, row
-    # index in the low 33 bits), evaluated in sorted order.
-    sliced = (
-        df.repartitionByRange(n, *sort_cols)
-        .sortWithinPartitions(*sort_cols)
-        .withColumn(_POS, F.monotonically_increasing_id())
-        .withColumn(_PID, F.shiftright(F.col(_POS), 33))
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    sliced = df.withColumn(_SLICE, F.struct(*[s.alias(f"s{i}") for i, s in enumerate(slices)]))
+    inside = sliced.withColumn(
+        _INSIDE, F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)).cast("bigint")
     )
-    ensure_checkpoint_dir(spark)
-    sliced = sliced.checkpoint(eager=True)
-    slices = sliced.groupBy(_PID, *keys).agg(F.min(_POS).alias(_FIRST), F.count(F.lit(1)).alias(_COUNT))
-    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(
-        _PID, *keys, _FIRST, (F.coalesce(F.sum(_COUNT).over(before), F.lit(0)) + 1).alias(_OFFSET)
+    # Partitioned as `inside` is: the sizes need no further shuffle of the rows.
+    sizes = inside.groupBy(*keys, _SLICE).agg(F.max(_INSIDE).alias(_OFFSET))
+    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(k).alias(_OTHER + k) for k in [*keys, _SLICE]],
+        F.coalesce(F.sum(_OFFSET).over(before), F.lit(0)).alias(_OFFSET),
     )
-    return (
-        sliced.join(offsets, [_PID, *keys])
-        .withColumn(name, (F.col(_POS) - F.col(_FIRST) + F.col(_OFFSET)).cast("bigint"))
-        .drop(_PID, _POS, _FIRST, _OFFSET)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(_OTHER + k)) for k in [*keys, _SLICE]])
+    return inside.join(offsets, same).select(
+        *[F.col(c) for c in df.columns], (F.col(_INSIDE) + F.col(_OFFSET)).cast("bigint").alias(name)
     )

@@ -6,10 +6,14 @@ oracle of a query prepends the CTEs it needs (in dependency order).
 
 from __future__ import annotations
 
+from slotwise.sources.fixtures import DIALOGUES
+
+_DIALOGUE_ARMS = " ".join(f"WHEN {i} THEN {list(d)!r}" for i, d in enumerate(DIALOGUES))
+
 FIXTURE_SQL = {
     "doctors": """
 SELECT s_suppkey + 1 AS id,
-  CONCAT('Dr. ', CAST(s_suppkey % 40 AS VARCHAR)) AS name,
+  CONCAT('Dr. ', CAST(s_suppkey - CASE WHEN s_suppkey % 4 = 3 THEN 1 ELSE 0 END AS VARCHAR)) AS name,
   CASE s_suppkey % 6 WHEN 0 THEN 'General OPD' WHEN 1 THEN 'Orthopedics' WHEN 2 THEN 'Gynecology'
     WHEN 3 THEN 'Cardiology' WHEN 4 THEN 'Pediatrics' ELSE 'ENT' END AS department,
   CASE s_suppkey % 5 WHEN 0 THEN 'Mon,Tue,Wed,Thu,Fri' WHEN 1 THEN 'Mon,Wed,Fri'
@@ -48,13 +52,24 @@ FROM (SELECT o_orderkey, o_orderdate,
         DATE '2025-06-01' + CAST(o_custkey % 60 AS INTEGER) AS leave_date
       FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') x
 GROUP BY doctor_id, leave_date""",
-    "messages": """
+    "messages": f"""
 SELECT conv_id * 1000 + turn AS id,
-  'whatsapp:+91' || CAST(9000000000 + conv_id % 40 AS VARCHAR) AS from_number,
-  CASE (conv_id + turn) % 10 WHEN 0 THEN ' Hi ' WHEN 1 THEN '1' WHEN 2 THEN 'CANCEL' WHEN 3 THEN 'status'
-    WHEN 4 THEN '2' WHEN 5 THEN '   ' WHEN 6 THEN 'my appointment' WHEN 7 THEN '99' ELSE text END AS body,
-  TIMESTAMP '2025-06-01 00:00:00' + INTERVAL '1' MINUTE * CAST(conv_id * 10 + turn AS INTEGER) AS ts
-FROM conversations WHERE role = 'user'""",
+  (CASE WHEN (conv_id + turn) % 3 = 0 THEN '+91' ELSE 'whatsapp:+91' END)
+    || CAST(9000000000 + conv_id AS VARCHAR) AS from_number,
+  text AS body,
+  TIMESTAMP '2025-06-01 00:00:00' + INTERVAL '1' MINUTE * CAST(conv_id * 60 AS INTEGER)
+    + INTERVAL '1' SECOND * CAST(turn AS INTEGER) AS ts
+FROM conversations WHERE role = 'user'
+UNION ALL
+SELECT conv_id * 1000 + 500 + k AS id,
+  (CASE WHEN (conv_id + k) % 3 = 0 THEN '+91' ELSE 'whatsapp:+91' END)
+    || CAST(9000000000 + conv_id AS VARCHAR) AS from_number,
+  body,
+  TIMESTAMP '2025-06-01 00:00:00' + INTERVAL '1' MINUTE * CAST(conv_id * 60 + 30 AS INTEGER)
+    + INTERVAL '1' SECOND * CAST(k AS INTEGER) AS ts
+FROM (SELECT conv_id, unnest(range(len(script))) AS k, unnest(script) AS body
+      FROM (SELECT conv_id, CASE conv_id % {len(DIALOGUES)} {_DIALOGUE_ARMS} END AS script
+            FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') c0) c1) c2""",
     "session_updates": """
 SELECT 'whatsapp:+91' || CAST(9000000000 + user_id AS VARCHAR) AS phone,
   CASE event_type WHEN 'view' THEN 'choose_dept' WHEN 'click' THEN 'choose_doctor'

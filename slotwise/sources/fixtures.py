@@ -30,7 +30,14 @@ DURATIONS = (15, 20, 30, 25)
 START_TIMES = ("09:00", "10:00", "10:00")
 END_TIMES = ("12:00", "09:30", "13:00", "13:00", "13:00", "13:00", "13:00")
 SLOT_TIMES = ("09:00", "09:15", "09:30", "10:00", "10:20", "10:30", "11:00", "11:30")
-CANNED_BODIES = (" Hi ", "1", "CANCEL", "status", "2", "   ", "my appointment", "99")
+# Texts of the scripted dialogues, one message each.
+DIALOGUES = (
+    (" Hi ", "1", "1", "1", "1", "rahul sharma"),
+    ("hi", "2", "1", "2", "1", "meera nair", "CANCEL"),
+    ("status", "my appointment", "   ", "99", "hello", "0", "1", "7"),
+    ("Hello", "3", "1", "1", "2", "x", "ravi kumar", "status", "cancel appointment"),
+    ("hi", "4", "1", "1", "99", "3", "anita rao", "hi", "4", "1", "1", "3", "anita rao"),
+)
 STEP_OF_EVENT = (
     ("view", "choose_dept"),
     ("click", "choose_doctor"),
@@ -60,7 +67,8 @@ def _phone(key_sql: str) -> str:
 def doctors(supplier: DataFrame) -> DataFrame:
     return supplier.selectExpr(
         "s_suppkey + 1 AS id",
-        "concat('Dr. ', CAST(s_suppkey % 40 AS STRING)) AS name",
+        # Every fourth doctor has a namesake.
+        "concat('Dr. ', CAST(s_suppkey - CASE WHEN s_suppkey % 4 = 3 THEN 1 ELSE 0 END AS STRING)) AS name",
         f"{_case('s_suppkey % 6', DEPARTMENTS)} AS department",
         f"{_case('s_suppkey % 5', DAY_LISTS)} AS available_days",
         f"CAST({_case('s_suppkey % 4', DURATIONS)} AS INT) AS slot_duration_mins",
@@ -124,14 +132,26 @@ def doctor_leaves(orders: DataFrame, supplier: DataFrame) -> DataFrame:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """Inbound chat messages: the user turns of the conversations table."""
-    arms = " ".join(f"WHEN {i} THEN {_lit(v)}" for i, v in enumerate(CANNED_BODIES))
-    return conversations.where("role = 'user'").selectExpr(
-        "conv_id * 1000 + turn AS id",
-        f"{_phone('conv_id % 40')} AS from_number",
-        f"CASE (conv_id + turn) % 10 {arms} ELSE text END AS body",
-        f"TIMESTAMP_NTZ'{FIRST_MESSAGE_TS}' + make_dt_interval(0, 0, CAST(conv_id * 10 + turn AS INT), 0) AS ts",
+    """Inbound chat messages: every user turn of the conversations table as it
+    is, and after each conversation's own turns one of the scripted dialogues.
+    A phone is written with and without the address prefix."""
+    said = conversations.where("role = 'user'")
+    number = f"concat(CASE WHEN {{n}} % 3 = 0 THEN '+91' ELSE '{PHONE_PREFIX}' END, CAST({PHONE_BASE} + conv_id AS STRING))"
+    start = f"TIMESTAMP_NTZ'{FIRST_MESSAGE_TS}' + make_dt_interval(0, 0, CAST(conv_id * 60 AS INT), 0)"
+    own = said.selectExpr(
+        "conv_id * 1000 + turn AS id", f"{number.format(n='(conv_id + turn)')} AS from_number", "text AS body",
+        f"{start} + make_dt_interval(0, 0, 0, CAST(turn AS INT)) AS ts",
+    )
+    arms = " ".join(f"WHEN {i} THEN array({', '.join(map(_lit, d))})" for i, d in enumerate(DIALOGUES))
+    scripted = (
+        said.select("conv_id").distinct()
+        .selectExpr("conv_id", f"posexplode(CASE conv_id % {len(DIALOGUES)} {arms} END) AS (k, body)")
+        .selectExpr(
+            "conv_id * 1000 + 500 + k AS id", f"{number.format(n='(conv_id + k)')} AS from_number", "body",
+            f"{start} + make_dt_interval(0, 0, 30, CAST(k AS INT)) AS ts",
+        )
     )
+    return own.unionByName(scripted)
 
 
 def session_updates(events: DataFrame) -> DataFrame:

@@ -21,19 +21,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_SCANS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A lazy scan of one supplied table.
-
-    The scan DataFrame (file listing and footer schema) is reused within a
-    session, as a catalog table would be; the data itself is read by each
-    query that executes it.
-    """
-    key = (id(spark), table_path(sf_dir, name))
-    df = _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(table_path(sf_dir, name))
-        _SCANS[key] = df
-    return df
+    """A lazy scan of one supplied table; files are listed anew by each call."""
+    return spark.read.parquet(table_path(sf_dir, name))

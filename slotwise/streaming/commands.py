@@ -62,7 +62,7 @@ def apply_commands(ledger: DataFrame, commands: DataFrame, doctors: DataFrame, l
     from slotwise.plans.numbering import number_rows
 
     numbered = number_rows(books.select("msg_id", "phone", "ts", "doctor_id", "date", "slot", "name"), [],
-                           ["ts", "msg_id"], "_arrival")
+                           ["ts", "msg_id"], "_arrival", [F.date_trunc("hour", "ts")])
     requests = numbered.select(
         (max_id + F.col("_arrival")).alias("id"), F.col("phone").alias("patient_phone"),
         F.col("name").alias("patient_name"), "doctor_id", F.to_date("date").alias("appointment_date"),

@@ -412,7 +412,7 @@ def conversation_steps_batch(tagged: DataFrame, menus, sessions: DataFrame | Non
     can be folded independently: segment 0 starts from the stored session,
     segment k from the state the k-th reset produces.  The segment of a
     message is the number of resets before it in (ts, id) order, computed
-    with the balanced numbering: k = r - 1 for the r-th reset, and
+    with the sliced numbering: k = r - 1 for the r-th reset, and
     k = p - q for a message at position p that is the q-th non-reset.
     """
     from slotwise.plans.numbering import number_rows
@@ -420,8 +420,9 @@ def conversation_steps_batch(tagged: DataFrame, menus, sessions: DataFrame | Non
     ship_package(tagged.sparkSession)
     text = F.col("text")
     msgs = tagged.select("id", "phone", "ts", "text", text.isin(*_RESET_WORDS).alias("_reset"))
-    pos = number_rows(msgs, ["phone"], ["ts", "id"], "_p")
-    both = number_rows(pos, ["phone", "_reset"], ["ts", "id"], "_q")
+    hour = [F.date_trunc("hour", "ts")]
+    pos = number_rows(msgs, ["phone"], ["ts", "id"], "_p", hour)
+    both = number_rows(pos, ["phone", "_reset"], ["ts", "id"], "_q", hour)
     seg = both.withColumn("seg", F.when(F.col("_reset"), F.col("_q") - 1).otherwise(F.col("_p") - F.col("_q")))
     resets = seg.where("_reset").select(
         "phone", F.col("_q").alias("seg"),

@@ -81,20 +81,38 @@ def test_active_drops_null_status_and_namesakes_merge(spark):
 import pytest
 
 
-@pytest.mark.parametrize("max_group", [0, 10**9])  # 0 forces the balanced path
-def test_number_rows_equals_row_number_on_skewed_keys(spark, max_group):
-    # one key holds a third of the rows
+@pytest.mark.parametrize("width", [1, 50, 10**9])  # rows per slice
+def test_number_rows_equals_row_number_on_skewed_and_null_keys(spark, width):
+    # one key holds a third of the rows, another key is null
     df = spark.range(0, 3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 7 != 1, F.col("id") % 97).alias("k"),
         (F.col("id") * 7919 % 3001).alias("o"), F.col("id"),
     )
-    got = number_rows(df, ["k"], ["o", "id"], "rn", max_window_group=max_group)
+    got = number_rows(df, ["k"], ["o", "id"], "rn", [F.floor(F.col("o") / width)])
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    glob = number_rows(df, [], ["o", "id"], "rn", max_window_group=max_group)
+    glob = number_rows(df, [], ["o", "id"], "rn", [F.floor(F.col("o") / width)])
     assert sorted(r.rn for r in glob.collect()) == list(range(1, 3001))
 
 
+def test_number_rows_runs_no_job_while_building(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    number_rows(spark.range(0, 100), [], ["id"], "rn", [F.floor(F.col("id") / 10)])
+    assert set(tracker.getJobIdsForGroup()) == before
+
+
+def test_requests_with_null_keys_are_answered(spark):
+    """A request without a doctor is answered like any other that names none."""
+    leaves = spark.createDataFrame([], "doctor_id long, leave_date date")
+    docs = spark.createDataFrame([(1, "a")], "id long, name string")
+    cols = "id long, patient_phone string, patient_name string, doctor_id long, appointment_date date, slot_time string"
+    rows = [(1, "+1", "x", None, D(2025, 7, 1), "09:00"), (2, "+2", "y", 1, None, "09:00"), (3, "+3", "z", 1, D(2025, 7, 1), "09:00")]
+    ledger_rows = spark.createDataFrame([], cols + ", token_number long, status string")
+    out = ledger.book_requests(ledger_rows, spark.createDataFrame(rows, cols), docs, leaves).collect()
+    assert len(out) == 3 and {r.id: r.outcome for r in out}[1] == "unknown_doctor"
+
+
 def test_tokens_are_dense_per_doctor_day(spark):
     appts = spark.range(0, 500).select(
         F.col("id"), (F.col("id") % 3).alias("doctor_id"), F.lit(D(2025, 7, 1)).alias("appointment_date")

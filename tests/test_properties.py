@@ -9,11 +9,11 @@ from slotwise.operators import availability, ledger
 from slotwise.plans import numbering
 
 
-@pytest.fixture(params=["window", "balanced"])
+@pytest.fixture(params=[None, 3])
 def numbering_path(request, monkeypatch):
-    """Run a test with the plain-window path and with the balanced path forced."""
-    if request.param == "balanced":
-        monkeypatch.setattr(numbering, "MAX_WINDOW_GROUP", 0)
+    """Run a test with the usual slices of ids and with slices of three ids."""
+    if request.param:
+        monkeypatch.setattr(ledger, "id_slice", lambda c: numbering.id_slice(c, request.param))
     return request.param
 
 DOCS = "id long, name string, department string, available_days string, slot_duration_mins int, " \
