@@ -192,8 +192,9 @@ def patient_upsert(patients: DataFrame, bookings: DataFrame, as_of) -> DataFrame
 
 
 def session_latest(updates: DataFrame) -> DataFrame:
-    """Last write per phone wins, ordered by (updated_at, seq)."""
-    return updates.groupBy("phone").agg(
+    """Last write per phone wins, ordered by (updated_at, seq).  A phone is the
+    same with and without the address prefix; it is returned without."""
+    return updates.groupBy(normalize_phone("phone").alias("phone")).agg(
         F.max(F.struct("updated_at", "seq", "step", "temp_data")).alias("_s")
     ).select("phone", F.col("_s.step").alias("step"), F.col("_s.temp_data").alias("temp_data"),
              F.col("_s.updated_at").alias("updated_at"))

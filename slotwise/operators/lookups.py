@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.functions.text import normalize_phone
 from slotwise.plans.numbering import id_slice, number_rows
 from slotwise.schemas import DEFAULT_STEP, DEFAULT_TEMP_DATA
 
@@ -23,9 +24,9 @@ def doctor_lookup(keys: DataFrame, doctors: DataFrame, key: str = "doctor_id") -
 
 def session_lookup(phones: DataFrame, sessions: DataFrame) -> DataFrame:
     """Current step and payload per phone, ``start`` / ``{}`` when none stored."""
-    s = sessions.select("phone", "step", "temp_data")
+    s = sessions.select(normalize_phone("phone").alias("phone"), "step", "temp_data")
     return (
-        phones.select("phone").distinct()
+        phones.select(normalize_phone("phone").alias("phone")).distinct()
         .join(s, "phone", "left")
         .select(
             "phone",

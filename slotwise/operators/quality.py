@@ -3,7 +3,7 @@
 The source database declared these constraints but did not enforce all of
 them (foreign keys were off), so here they are checked over whole tables and
 reported as (table_name, rule, row_key) rows.  Duplicate checks are
-aggregates (combined map-side); foreign-key checks are anti joins.
+aggregates (combined map-side); foreign-key checks are left joins.
 """
 
 from __future__ import annotations
@@ -23,38 +23,63 @@ def dangling_appointments(appointments: DataFrame, doctors: DataFrame) -> DataFr
     return appointments.join(doctors.select(F.col("id").alias("doctor_id")), "doctor_id", "left_anti")
 
 
+def _broken(df: DataFrame, table: str, key: str, rules: dict) -> DataFrame:
+    """One row per row and violated rule, in one pass over the table."""
+    names = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+    return df.select(F.col(key).alias("_key"), F.explode(names).alias("_rule")).select(
+        F.lit(table).alias("table_name"), F.col("_rule").alias("rule"), F.col("_key").cast("string").alias("row_key")
+    )
+
+
+def _repeated(df: DataFrame, table: str, rule: str, columns: list[str]) -> DataFrame:
+    """Values that a unique rule sees more than once (nulls are never equal)."""
+    present = df.select(*columns).dropna()
+    twice = present.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    return _rows(twice, table, rule, F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+
+
+def _any_null(*columns: str):
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.col(c).isNull()
+    return out
+
+
 def constraint_violations(
-    patients: DataFrame, doctors: DataFrame, appointments: DataFrame, leaves: DataFrame
+    patients: DataFrame, doctors: DataFrame, appointments: DataFrame, leaves: DataFrame, sessions: DataFrame
 ) -> DataFrame:
-    a, p, d, l = appointments, patients, doctors, leaves
+    """Rows that break a rule of the schema.
+
+    Row rules of a table are looked at together in one pass; a foreign key is
+    a left join with the distinct ids (a null key is a matter of ``not_null``);
+    unique rules are aggregates.
+    """
+    known = doctors.select(F.col("id").alias("doctor_id")).dropna().distinct().withColumn("_known", F.lit(True))
+    no_doctor = F.col("doctor_id").isNotNull() & F.col("_known").isNull()
+    bad_status = F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES)
     checks = [
-        _rows(a.where(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES)), "appointments", "check_status", F.col("id")),
-        _rows(
-            a.where(
-                F.col("patient_phone").isNull() | F.col("doctor_id").isNull()
-                | F.col("appointment_date").isNull() | F.col("slot_time").isNull()
-            ),
-            "appointments", "not_null", F.col("id"),
-        ),
-        _rows(dangling_appointments(a, d), "appointments", "fk_doctor", F.col("id")),
-        _rows(p.where(F.col("phone").isNull()), "patients", "not_null", F.col("id")),
-        _rows(
-            p.where(F.col("phone").isNotNull()).groupBy("phone").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
-            "patients", "unique_phone", F.col("phone"),
-        ),
-        _rows(
-            d.where(F.col("name").isNull() | F.col("department").isNull() | F.col("available_days").isNull()),
-            "doctors", "not_null", F.col("id"),
-        ),
-        _rows(
-            l.groupBy("doctor_id", "leave_date").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
-            "doctor_leaves", "unique_doctor_day",
-            F.concat_ws("|", F.col("doctor_id").cast("string"), F.col("leave_date").cast("string")),
+        _broken(
+            appointments.join(known, "doctor_id", "left"), "appointments", "id",
+            {
+                "check_status": bad_status,
+                "not_null": _any_null("patient_phone", "doctor_id", "appointment_date", "slot_time"),
+                "fk_doctor": no_doctor,
+            },
         ),
-        _rows(
-            l.join(d.select(F.col("id").alias("doctor_id")), "doctor_id", "left_anti"),
-            "doctor_leaves", "fk_doctor", F.col("id"),
+        _broken(
+            leaves.join(known, "doctor_id", "left"), "doctor_leaves", "id",
+            {"not_null": _any_null("doctor_id", "leave_date"), "fk_doctor": no_doctor},
         ),
+        _broken(patients, "patients", "id", {"not_null": _any_null("phone")}),
+        _broken(doctors, "doctors", "id", {"not_null": _any_null("name", "department", "available_days")}),
+        _repeated(patients, "patients", "unique_phone", ["phone"]),
+        _repeated(sessions, "sessions", "unique_phone", ["phone"]),
+        _repeated(leaves, "doctor_leaves", "unique_doctor_day", ["doctor_id", "leave_date"]),
+        *[
+            _repeated(df, name, "unique_id", ["id"])
+            for name, df in (("patients", patients), ("doctors", doctors), ("appointments", appointments),
+                             ("doctor_leaves", leaves))
+        ],
     ]
     out = checks[0]
     for c in checks[1:]:

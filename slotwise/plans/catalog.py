@@ -15,7 +15,7 @@ from slotwise.functions.payload import dump_payload, parse_payload
 from slotwise.operators import analytics, availability, ledger, lookups, messaging, quality, reports
 from slotwise.plans.oracle_fixtures import sql_render
 from slotwise.plans.registry import register
-from slotwise.sources.fixtures import AS_OF, tables
+from slotwise.sources.fixtures import AS_OF, dirty, tables
 from slotwise.sources.seed import seed_doctors
 from slotwise.streaming import ingest
 
@@ -78,8 +78,8 @@ dates AS (
 
 LATEST_SESSION_CTE = """
 latest AS (
-  SELECT phone, step, temp_data, updated_at FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY phone ORDER BY updated_at DESC, seq DESC) AS rn
+  SELECT replace(phone, 'whatsapp:', '') AS phone, step, temp_data, updated_at FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY replace(phone, 'whatsapp:', '') ORDER BY updated_at DESC, seq DESC) AS rn
     FROM session_updates) s WHERE rn = 1)"""
 
 BOOK_CTE = """
@@ -111,7 +111,7 @@ outcomes AS (
 
 VALID_MESSAGES_CTE = """
 valid AS (
-  SELECT id, from_number AS phone, ts, lower(trim(body)) AS text FROM messages
+  SELECT id, replace(from_number, 'whatsapp:', '') AS phone, ts, lower(trim(body)) AS text FROM messages
   WHERE length(from_number) > 0 AND length(trim(body)) > 0)"""
 
 CANCEL_CTE = f"""
@@ -474,7 +474,7 @@ def q_doctor_lookup(spark, sf_dir):
     "session_lookup",
     "WITH " + LATEST_SESSION_CTE.strip() + """
 SELECT m.phone, COALESCE(l.step, 'start') AS step, COALESCE(l.temp_data, '{}') AS temp_data
-FROM (SELECT DISTINCT from_number AS phone FROM messages) m LEFT JOIN latest l ON l.phone = m.phone""",
+FROM (SELECT DISTINCT replace(from_number, 'whatsapp:', '') AS phone FROM messages) m LEFT JOIN latest l ON l.phone = m.phone""",
     (M, S),
 )
 def q_session_lookup(spark, sf_dir):
@@ -681,13 +681,13 @@ def q_booking_conflicts(spark, sf_dir):
 @register(
     "leave_conflicts",
     """
-SELECT r.* FROM requests r WHERE EXISTS (
+SELECT r.* FROM appointments r WHERE EXISTS (
   SELECT 1 FROM doctor_leaves l WHERE l.doctor_id = r.doctor_id AND l.leave_date = r.appointment_date)""",
-    ("requests", L),
+    (A, L),
 )
 def q_leave_conflicts(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return ledger.leave_conflicts(t.ledger_split()[1], t.doctor_leaves)
+    return ledger.leave_conflicts(t.appointments, t.doctor_leaves)
 
 
 @register(
@@ -738,7 +738,7 @@ def q_session_latest(spark, sf_dir):
     "session_reset",
     "WITH " + VALID_MESSAGES_CTE.strip() + """,
 allw AS (
-  SELECT phone, step, temp_data, updated_at, seq FROM session_updates
+  SELECT replace(phone, 'whatsapp:', '') AS phone, step, temp_data, updated_at, seq FROM session_updates
   UNION ALL
   SELECT phone, 'start', '{}', ts, id FROM valid WHERE text IN ('cancel', 'cancel appointment'))
 SELECT phone, step, temp_data, updated_at FROM (
@@ -992,26 +992,38 @@ def q_dangling_appointments(spark, sf_dir):
 @register(
     "constraint_violations",
     """
-SELECT 'appointments' AS table_name, 'check_status' AS rule, CAST(id AS VARCHAR) AS row_key FROM appointments
+SELECT 'appointments' AS table_name, 'check_status' AS rule, CAST(id AS VARCHAR) AS row_key FROM dirty_appointments
   WHERE status IS NOT NULL AND status NOT IN ('booked', 'cancelled', 'completed')
-UNION ALL SELECT 'appointments', 'not_null', CAST(id AS VARCHAR) FROM appointments
+UNION ALL SELECT 'appointments', 'not_null', CAST(id AS VARCHAR) FROM dirty_appointments
   WHERE patient_phone IS NULL OR doctor_id IS NULL OR appointment_date IS NULL OR slot_time IS NULL
-UNION ALL SELECT 'appointments', 'fk_doctor', CAST(id AS VARCHAR) FROM appointments a
-  WHERE NOT EXISTS (SELECT 1 FROM doctors d WHERE d.id = a.doctor_id)
-UNION ALL SELECT 'patients', 'not_null', CAST(id AS VARCHAR) FROM patients WHERE phone IS NULL
-UNION ALL SELECT 'patients', 'unique_phone', phone FROM patients WHERE phone IS NOT NULL
+UNION ALL SELECT 'appointments', 'fk_doctor', CAST(id AS VARCHAR) FROM dirty_appointments a
+  WHERE doctor_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dirty_doctors d WHERE d.id = a.doctor_id)
+UNION ALL SELECT 'appointments', 'unique_id', CAST(id AS VARCHAR) FROM dirty_appointments
+  GROUP BY id HAVING COUNT(*) > 1
+UNION ALL SELECT 'patients', 'not_null', CAST(id AS VARCHAR) FROM dirty_patients WHERE phone IS NULL
+UNION ALL SELECT 'patients', 'unique_phone', phone FROM dirty_patients WHERE phone IS NOT NULL
   GROUP BY phone HAVING COUNT(*) > 1
-UNION ALL SELECT 'doctors', 'not_null', CAST(id AS VARCHAR) FROM doctors
+UNION ALL SELECT 'patients', 'unique_id', CAST(id AS VARCHAR) FROM dirty_patients GROUP BY id HAVING COUNT(*) > 1
+UNION ALL SELECT 'doctors', 'not_null', CAST(id AS VARCHAR) FROM dirty_doctors
   WHERE name IS NULL OR department IS NULL OR available_days IS NULL
+UNION ALL SELECT 'doctors', 'unique_id', CAST(id AS VARCHAR) FROM dirty_doctors GROUP BY id HAVING COUNT(*) > 1
+UNION ALL SELECT 'doctor_leaves', 'not_null', CAST(id AS VARCHAR) FROM dirty_doctor_leaves
+  WHERE doctor_id IS NULL OR leave_date IS NULL
 UNION ALL SELECT 'doctor_leaves', 'unique_doctor_day', CAST(doctor_id AS VARCHAR) || '|' || CAST(leave_date AS VARCHAR)
-  FROM doctor_leaves GROUP BY doctor_id, leave_date HAVING COUNT(*) > 1
-UNION ALL SELECT 'doctor_leaves', 'fk_doctor', CAST(id AS VARCHAR) FROM doctor_leaves l
-  WHERE NOT EXISTS (SELECT 1 FROM doctors d WHERE d.id = l.doctor_id)""",
-    (A, D, P, L),
+  FROM dirty_doctor_leaves WHERE doctor_id IS NOT NULL AND leave_date IS NOT NULL
+  GROUP BY doctor_id, leave_date HAVING COUNT(*) > 1
+UNION ALL SELECT 'doctor_leaves', 'fk_doctor', CAST(id AS VARCHAR) FROM dirty_doctor_leaves l
+  WHERE doctor_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dirty_doctors d WHERE d.id = l.doctor_id)
+UNION ALL SELECT 'doctor_leaves', 'unique_id', CAST(id AS VARCHAR) FROM dirty_doctor_leaves
+  GROUP BY id HAVING COUNT(*) > 1
+UNION ALL SELECT 'sessions', 'unique_phone', phone FROM session_updates GROUP BY phone HAVING COUNT(*) > 1""",
+    ("dirty_appointments", "dirty_doctors", "dirty_patients", "dirty_doctor_leaves", S),
 )
 def q_constraint_violations(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return quality.constraint_violations(t.patients, t.doctors, t.appointments, t.doctor_leaves)
+    return quality.constraint_violations(
+        dirty(t.patients, P), dirty(t.doctors, D), dirty(t.appointments, A), dirty(t.doctor_leaves, L), t.session_updates
+    )
 
 
 # ================================================================== messages and state (T-1, T-2, L-3, L-18, L-21)

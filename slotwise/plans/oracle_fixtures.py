@@ -6,7 +6,7 @@ oracle of a query prepends the CTEs it needs (in dependency order).
 
 from __future__ import annotations
 
-from slotwise.sources.fixtures import DIALOGUES
+from slotwise.sources.fixtures import DIALOGUES, DIRTY
 
 _DIALOGUE_ARMS = " ".join(f"WHEN {i} THEN {list(d)!r}" for i, d in enumerate(DIALOGUES))
 
@@ -93,7 +93,12 @@ SELECT * FROM appointments WHERE id * 2 <= (SELECT COUNT(*) FROM orders)""",
 SELECT * FROM appointments WHERE id * 2 > (SELECT COUNT(*) FROM orders)""",
 }
 
+for _table, _changed in DIRTY.items():
+    _columns = ", ".join(f"{sql} AS {name}" for name, sql in _changed.items())
+    FIXTURE_SQL[f"dirty_{_table}"] = f"\nSELECT * REPLACE ({_columns}) FROM {_table}"
+
 DEPENDS = {
+    **{f"dirty_{t}": [t] for t in DIRTY},
     "appointments": ["appointments_base"],
     "ledger": ["appointments"],
     "requests": ["appointments"],
@@ -102,7 +107,7 @@ DEPENDS = {
 ORDER = [
     "doctors", "patients", "appointments_base", "appointments", "doctor_leaves",
     "messages", "session_updates", "admin_cancel_ids", "admin_complete_ids", "leave_requests",
-    "ledger", "requests",
+    "ledger", "requests", *[f"dirty_{t}" for t in DIRTY],
 ]
 
 

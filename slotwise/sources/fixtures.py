@@ -184,6 +184,39 @@ def leave_requests(orders: DataFrame, supplier: DataFrame) -> DataFrame:
     )
 
 
+# Expressions that make some rows break each rule of the schema; Spark and the
+# SQL oracle evaluate the same text.  Columns not named stay as they are.
+DIRTY = {
+    "patients": {
+        "id": "CASE WHEN id % 211 = 0 THEN id - 1 ELSE id END",
+        "phone": "CASE WHEN id % 101 = 0 THEN NULL WHEN id % 103 = 0 THEN '+910000000000' ELSE phone END",
+    },
+    "doctors": {
+        "id": "CASE WHEN id % 7 = 0 THEN id - 1 ELSE id END",
+        "name": "CASE WHEN id % 9 = 0 THEN NULL ELSE name END",
+        "available_days": "CASE WHEN id % 5 = 0 THEN NULL ELSE available_days END",
+    },
+    "appointments": {
+        "id": "CASE WHEN id % 211 = 0 THEN id - 1 ELSE id END",
+        "patient_phone": "CASE WHEN id % 101 = 0 THEN NULL ELSE patient_phone END",
+        "doctor_id": "CASE WHEN id % 113 = 0 THEN NULL ELSE doctor_id END",
+        "appointment_date": "CASE WHEN id % 107 = 0 THEN NULL ELSE appointment_date END",
+        "status": "CASE WHEN id % 109 = 0 THEN 'lost' ELSE status END",
+    },
+    "doctor_leaves": {
+        "id": "CASE WHEN id % 3 = 0 THEN 3 ELSE id END",
+        "doctor_id": "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN -1 ELSE doctor_id END",
+        "leave_date": "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 13 = 0 THEN DATE '2025-06-01' ELSE leave_date END",
+    },
+}
+
+
+def dirty(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with rows that break the rules of its table."""
+    changed = DIRTY[table]
+    return df.selectExpr(*[f"{changed[c]} AS {c}" if c in changed else c for c in df.columns])
+
+
 @dataclass
 class Tables:
     """Lazily derived scheduling tables for one scale-factor directory."""

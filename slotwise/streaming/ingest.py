@@ -35,9 +35,10 @@ def message_log(messages: DataFrame) -> DataFrame:
 
 
 def tagged_messages(messages: DataFrame) -> DataFrame:
-    """Valid messages with their normalised text and intent."""
+    """Valid messages with their sender (without the address prefix, so that
+    both spellings are one conversation), normalised text and intent."""
     return valid_messages(messages).select(
-        "id", F.col("from_number").alias("phone"), "ts",
+        "id", normalize_phone("from_number").alias("phone"), "ts",
         message_text("body").alias("text"),
     ).withColumn("intent", intent("text"))
 
