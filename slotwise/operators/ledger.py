@@ -16,6 +16,7 @@ sliced :func:`number_rows`.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -278,20 +279,27 @@ def cancelled_by_id(ledger: DataFrame, doctors: DataFrame, ids: DataFrame) -> Da
 # ----------------------------------------------------------------------------- leaves
 
 
-def leave_insert(leaves: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Insert-or-ignore leave requests (request_id, doctor_id, leave_date text, reason).
+def _parsed_leaves(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("_day", parse_day("leave_date"))
 
-    Returns (next leaves snapshot, errors).  An existing (doctor, day) keeps
-    its first reason; within the batch the earliest request wins; new rows
-    get the next ids in request order.  A request whose date does not parse
-    is rejected into ``errors`` and inserts nothing.
-    """
-    parsed = requests.withColumn("_day", parse_day("leave_date"))
-    errors = parsed.where(F.col("_day").isNull()).select(
+
+def leave_errors(requests: DataFrame) -> DataFrame:
+    """Leave requests whose date does not parse; they insert and cancel nothing."""
+    return _parsed_leaves(requests).where(F.col("_day").isNull()).select(
         "request_id", "doctor_id", "leave_date", F.lit("invalid_date").alias("error")
     )
+
+
+def leave_insert(leaves: DataFrame, requests: DataFrame) -> DataFrame:
+    """Next leaves snapshot after leave requests (request_id, doctor_id,
+    leave_date text, reason), inserted or ignored.
+
+    An existing (doctor, day) keeps its first reason; within the batch the
+    earliest request wins; new rows get the next ids in request order.
+    Requests whose date does not parse are left to :func:`leave_errors`.
+    """
     first = (
-        parsed.where(F.col("_day").isNotNull())
+        _parsed_leaves(requests).where(F.col("_day").isNotNull())
         .groupBy("doctor_id", F.col("_day").alias("leave_date"))
         .agg(F.min(F.struct("request_id", "reason")).alias("_f"))
     )
@@ -301,7 +309,7 @@ def leave_insert(leaves: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     new_rows = fresh.select(
         (max_id + F.col("_no")).alias("id"), "doctor_id", "leave_date", F.col("_f.reason").alias("reason")
     )
-    return leaves.select("id", "doctor_id", "leave_date", "reason").unionByName(new_rows), errors
+    return leaves.select("id", "doctor_id", "leave_date", "reason").unionByName(new_rows)
 
 
 def leave_cascade(ledger: DataFrame, doctors: DataFrame, leave_days: DataFrame) -> DataFrame:
@@ -326,3 +334,22 @@ def apply_cascade(ledger: DataFrame, hit: DataFrame) -> DataFrame:
 def leave_delete(leaves: DataFrame, ids: DataFrame) -> DataFrame:
     """Leaves minus the given ids; cancelled appointments are not restored."""
     return leaves.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+@dataclass(frozen=True)
+class MarkedLeave:
+    """What marking leaves changes: both next snapshots, the appointments it
+    cancels (with the doctor's name, for the notices) and the rejected requests."""
+
+    leaves: DataFrame
+    ledger: DataFrame
+    cancelled: DataFrame
+    errors: DataFrame
+
+
+def mark_leave(ledger: DataFrame, doctors: DataFrame, leaves: DataFrame, requests: DataFrame) -> MarkedLeave:
+    """Leave requests as one operation: insert or ignore, then cancel every
+    booking on a *requested* day — on days that were marked before as well."""
+    days = _parsed_leaves(requests).where(F.col("_day").isNotNull()).select("doctor_id", F.col("_day").alias("leave_date"))
+    cancelled = leave_cascade(ledger, doctors, days)
+    return MarkedLeave(leave_insert(leaves, requests), apply_cascade(ledger, cancelled), cancelled, leave_errors(requests))

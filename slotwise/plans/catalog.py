@@ -810,7 +810,7 @@ SELECT (SELECT MAX(id) FROM doctor_leaves) + ROW_NUMBER() OVER (ORDER BY request
 )
 def q_leave_insert(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return ledger.leave_insert(t.doctor_leaves, t.leave_requests)[0]
+    return ledger.leave_insert(t.doctor_leaves, t.leave_requests)
 
 
 @register(
@@ -821,8 +821,41 @@ WHERE TRY_CAST(leave_date AS DATE) IS NULL""",
     ("leave_requests",),
 )
 def q_leave_errors(spark, sf_dir):
+    return ledger.leave_errors(tables(spark, sf_dir).leave_requests)
+
+
+MARKED_CTE = """
+marked AS (
+  SELECT a.id AS appointment_id, a.patient_phone, d.name AS doctor_name, a.appointment_date, a.slot_time
+  FROM appointments a JOIN doctors d ON a.doctor_id = d.id
+  WHERE a.status = 'booked' AND EXISTS (
+    SELECT 1 FROM leave_requests r
+    WHERE r.doctor_id = a.doctor_id AND TRY_CAST(r.leave_date AS DATE) = a.appointment_date))"""
+
+
+@register(
+    "mark_leave",
+    "WITH " + MARKED_CTE.strip() + f"""
+SELECT appointment_id, {_address('patient_phone')} AS to_address, {LEAVE_NOTICE_BODY} AS body FROM marked""",
+    (A, D, "leave_requests"),
+)
+def q_mark_leave(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    marked = ledger.mark_leave(t.appointments, t.doctors, t.doctor_leaves, t.leave_requests)
+    return messaging.leave_notices(marked.cancelled)
+
+
+@register(
+    "ledger_after_mark_leave",
+    "WITH " + MARKED_CTE.strip() + """
+SELECT id, patient_phone, patient_name, doctor_id, appointment_date, slot_time, token_number,
+  CASE WHEN id IN (SELECT appointment_id FROM marked) THEN 'cancelled' ELSE status END AS status
+FROM appointments""",
+    (A, D, "leave_requests"),
+)
+def q_ledger_after_mark_leave(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return ledger.leave_insert(t.doctor_leaves, t.leave_requests)[1]
+    return ledger.mark_leave(t.appointments, t.doctors, t.doctor_leaves, t.leave_requests).ledger
 
 
 @register("leave_cascade", "WITH " + HITS_CTE.strip() + "\nSELECT * FROM hits", (A, D, L))

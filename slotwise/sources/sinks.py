@@ -1,8 +1,9 @@
 """Writers: CSV export, JSON chart series, ledger snapshots and the outbox.
 
 Snapshots are written to a new directory under the shared checkpoint root
-and then published by rewriting a small pointer file, so a reader never sees
-a half-written table and nothing is overwritten while it is being read.
+and then published by appending a row to a small table of commits.  Nothing is
+overwritten or deleted, so a reader sees the newest committed snapshot, whole,
+at every moment.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from slotwise.session import checkpoint_root
 
@@ -48,7 +51,7 @@ def write_snapshot(df: DataFrame, name: str, partition_by: str | None = None) ->
     """Write ``df`` as a new immutable snapshot and publish it; returns its path.
 
     The write is a normal Spark job (tasks are retried if an executor is
-    lost); the pointer is switched only after it committed.
+    lost); its path is committed only after it ended.
     """
     root = snapshot_root(df, name)
     path = os.path.join(root, f"v-{uuid.uuid4().hex}")
@@ -56,28 +59,34 @@ def write_snapshot(df: DataFrame, name: str, partition_by: str | None = None) ->
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    _write_pointer(df, os.path.join(root, "CURRENT"), path)
+    _commit(df.sparkSession, root, path)
     return path
 
 
 def current_snapshot(spark, name: str) -> str | None:
-    root = os.path.join(checkpoint_root(spark), "snapshots", name)
-    pointer = os.path.join(root, "CURRENT")
-    try:
-        return spark.read.text(pointer).first()[0]
-    except Exception:  # noqa: BLE001 - no snapshot published yet
-        return None
+    """Path of the newest committed snapshot, None before the first."""
+    commits = _commits(spark, os.path.join(checkpoint_root(spark), "snapshots", name))
+    last = commits.orderBy(F.desc("version")).first() if commits is not None else None
+    return last["path"] if last else None
 
 
-def _write_pointer(df: DataFrame, pointer: str, value: str) -> None:
-    """Publish ``value`` in the pointer file (a one-line text table)."""
-    spark = df.sparkSession
-    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+COMMITS = "version long, path string"
 
 
-def append_outbox(notices: DataFrame, name: str = "outbox") -> str:
-    """Append notices to the outbox table (dedup is done by the caller's
-    anti join against what is already there)."""
-    path = os.path.join(checkpoint_root(notices.sparkSession), "tables", name)
-    notices.write.mode("append").partitionBy("as_of").parquet(path)
-    return path
+def _commits(spark, root: str) -> DataFrame | None:
+    """The commits of a snapshot, None if there are none yet."""
+    try:
+        return spark.read.schema(COMMITS).parquet(os.path.join(root, "_commits"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _commit(spark, root: str, path: str) -> None:
+    """Append ``path`` as the next version."""
+    known = _commits(spark, root)
+    version = (known.agg(F.max("version")).first()[0] or 0) + 1 if known is not None else 1
+    spark.createDataFrame([(version, path)], COMMITS).coalesce(1).write.mode("append").parquet(
+        os.path.join(root, "_commits")
+    )

@@ -38,8 +38,10 @@ def last_applied_batch(spark: SparkSession, name: str) -> tuple[int, str | None]
 
     try:
         last = spark.read.parquet(_commits_path(spark, name)).orderBy(F.desc("batch_id")).first()
-    except AnalysisException:  # nothing committed yet
-        return -1, None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1, None  # nothing committed yet
     return (int(last["batch_id"]), last["path"]) if last else (-1, None)
 
 
@@ -87,12 +89,3 @@ def ledger_writer(name: str, doctors: DataFrame, leaves: DataFrame, initial_ledg
         _commit(spark, name, batch_id, out)
 
     return write
-
-
-def start_ledger_stream(transitions: DataFrame, name: str, doctors: DataFrame, leaves: DataFrame,
-                        initial_ledger: DataFrame, checkpoint_dir: str, available_now: bool = True):
-    w = transitions.writeStream.foreachBatch(ledger_writer(name, doctors, leaves, initial_ledger)).option(
-        "checkpointLocation", checkpoint_dir
-    )
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()

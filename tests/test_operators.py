@@ -192,7 +192,7 @@ def test_leave_insert_keeps_first_reason_and_rejects_bad_dates(spark):
          (8, 3, "2025-02-30", "bad")],
         "request_id long, doctor_id long, leave_date string, reason string",
     )
-    nxt, errors = ledger.leave_insert(leaves, req)
+    nxt, errors = ledger.leave_insert(leaves, req), ledger.leave_errors(req)
     assert {(r.id, r.doctor_id, r.reason) for r in nxt.collect()} == {(1, 1, "old"), (2, 2, "first")}
     assert [r.request_id for r in errors.collect()] == [8]
 
