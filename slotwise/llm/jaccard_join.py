@@ -26,9 +26,9 @@ digest), so copies are one set however many there are.
 *Verification.*  Of every list the first set is compared with the others (a
 star, linear in the list).  Components of the verified links are formed.  Only
 lists that still hold several components are looked at again, and only pairs
-across components are compared, after an exact bound by size and by a parity
-sketch (two sets differ in at least as many shingles as their sketches differ
-in bits).  So a huge group of near copies never becomes all its pairs, and no
+across components are compared.  Before that, an exact bound by size and by a
+parity sketch rules pairs out (two sets differ in at least as many shingles as
+their sketches differ in bits).  So a huge group of near copies never becomes all its pairs, and no
 link between components is missed.  Shingles are compared in full as 64-bit
 hashes of their words, with word by word digests of the sets.
 
@@ -331,40 +331,59 @@ def _bloom(members: DataFrame) -> np.ndarray:
     return out
 
 
-def describe(docs: DataFrame, bloom: np.ndarray, shingle: int, batch_bytes: int) -> DataFrame:
-    """Every document's set: doc_id, n_shingles, name (null for empty), and, for
-    sets that may be candidates, sketch and the sorted shingle hashes (once per batch)."""
-    held = docs.sparkSession.sparkContext.broadcast(bloom)
+def describe(docs: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
+    """Every document's set: doc_id, n_shingles, name (null for the empty set) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
         for ids, texts in _batches(batches, batch_bytes):
             sets = Sets(texts, shingle)
-            names, sketch = sets.digests(), sets.sketches()
-            words = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
-            maybe = sets.sizes > 0
-            for at in _bloom_places(words):
-                maybe &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-            _, first = np.unique(np.array(names, "S16").view("V16"), return_index=True)
-            once = np.zeros(len(ids), bool)
-            once[first] = True
-            maybe &= once
+            names = [x if n else None for x, n in zip(sets.digests(), sets.sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(sets.sizes),
-                    pa.array([x if n else None for x, n in zip(names, sets.sizes, strict=True)], pa.binary()),
-                    pa.array([sketch[k].tobytes() if m else None for k, m in enumerate(maybe)], pa.binary()),
-                    pa.array([sets.of(k).tobytes() if m else None for k, m in enumerate(maybe)], pa.binary()),
+                    pa.array(names, pa.binary()),
+                    pa.array([x.tobytes() for x in sets.sketches()], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "name", "sketch"],
+            )
+
+    columns = "doc_id long, n_shingles long, name binary, sketch binary"
+    return cut(docs.select("doc_id", "text").mapInArrow(run, columns), "jaccard-described")
+
+
+def fetch_sets(docs: DataFrame, names: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
+    """(name, shingles) of the named sets, sorted 64-bit hashes.
+
+    The texts are read again and their sets made anew: a Bloom filter of fixed
+    size lets (about) the named ones through, a semi-join leaves exactly those.
+    So no text is shuffled, and of the other sets nothing is written.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_bloom(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for _, texts in _batches(batches, batch_bytes):
+            sets = Sets(texts, shingle)
+            digests = sets.digests()
+            maybe = sets.sizes > 0
+            for at in _bloom_places(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)):
+                maybe &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            found = {digests[k]: k for k in np.flatnonzero(maybe).tolist()}  # a set once per batch
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(found), pa.binary()),
+                    pa.array([sets.of(k).tobytes() for k in found.values()], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "name", "sketch", "shingles"],
+                ["name", "shingles"],
             )
 
-    return cut(
-        docs.select("doc_id", "text").mapInArrow(
-            run, "doc_id long, n_shingles long, name binary, sketch binary, shingles binary"
-        ),
-        "jaccard-sets",
+    return (
+        docs.select("doc_id", "text")
+        .mapInArrow(run, "name binary, shingles binary")
+        .join(names.select(F.col("member").alias("name")), "name", "left_semi")
+        .groupBy("name")
+        .agg(F.first("shingles").alias("shingles"))
     )
 
 
@@ -399,8 +418,8 @@ def _possible(m, n, differing: np.ndarray, percent: int) -> np.ndarray:
     return (small * 100 >= large * percent) & (differing * (100 + percent) <= (m + n) * (100 - percent))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names that link."""
+def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, batch_bytes: int) -> DataFrame:
+    """The pairs (a, b) of set names that link: their shingles are counted in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,9 +429,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    names = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct()
+    sets = cut(fetch_sets(docs, names, shingle, batch_bytes), "jaccard-sets")
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return cut(joined.mapInArrow(run, "a binary, b binary"), "jaccard-links")
 
 
 # --- lists with several components ---------------------------------------------------
@@ -496,21 +518,20 @@ def near_duplicates(
     parts = max(1, -(-total // range_bytes))
     lists = candidate_lists(docs, shingle, percent, parts, batch_bytes)
     members = cut(lists.select("list", F.explode("members").alias("member")), "jaccard-members")
-    described = describe(docs, _bloom(members.select("member").distinct()), shingle, batch_bytes)
-    wanted = members.select(F.col("member").alias("name")).distinct()
-    sets = cut(
-        described.where("shingles IS NOT NULL")
-        .join(wanted, "name", "left_semi")
+    described = describe(docs, shingle, batch_bytes)
+    candidates = members.select(F.col("member").alias("name")).distinct()
+    info = cut(
+        described.join(candidates, "name", "left_semi")
         .groupBy("name")
-        .agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")),
-        "jaccard-candidates",
+        .agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
+        "jaccard-info",
     )
-    info = cut(sets.select("name", "n_shingles", "sketch"), "jaccard-info")
     least = members.groupBy("list").agg(F.min("member").alias("a"))
     star = members.join(least, "list").where("member <> a").select("a", F.col("member").alias("b")).distinct()
-    links = cut(verify(allowed(star, info, percent), sets, percent), "jaccard-star")
-    labels = components(links)
-    more = verify(pairs_across(members, labels, info, percent), sets, percent)
+    star = cut(allowed(star, info, percent), "jaccard-star")
+    labels = components(verify(star, docs, shingle, percent, batch_bytes))
+    across = cut(pairs_across(members, labels, info, percent), "jaccard-across")
+    more = verify(across, docs, shingle, percent, batch_bytes)
     # Links between components, as links between their least members.
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
