@@ -183,6 +183,12 @@ def sliding(a: np.ndarray, k: int, op) -> np.ndarray:
     return op(a[: len(a) - (k - width)], a[k - width :]) if width < k else a
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit values."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class Seeds:
     """The least gram hash of every window, and the distinct ones of the block.
 
@@ -193,13 +199,15 @@ class Seeds:
     """
 
     def __init__(self, grams: np.ndarray, span: int, valid: np.ndarray):
-        self.least = sliding(grams, span, np.minimum)[: len(valid)]
-        own = np.where(valid, self.least, np.uint64(0))
+        least = sliding(grams, span, np.minimum)[: len(valid)]
+        own = np.where(valid, least, np.uint64(0))
         padded = np.zeros(len(grams) + span - 1, np.uint64)
         padded[span - 1 : span - 1 + len(own)] = own
         # A place holds a window's least gram if the largest minimum around it is its own.
         places = (sliding(padded, span, np.maximum) == grams) & (grams > 0)
-        self.keys, counts = np.unique(grams[places], return_counts=True)
+        # Minima crowd at the low end; spread anew, they fill the hash ranges evenly.
+        self.least = spread(least)
+        self.keys, counts = np.unique(spread(grams[places]), return_counts=True)
         self.twice = counts > 1
         self.valid = valid
 
