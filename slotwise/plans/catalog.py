@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from slotwise.functions import templates as T
 from slotwise.functions.payload import dump_payload, parse_payload
 from slotwise.operators import analytics, availability, ledger, lookups, messaging, quality, reports
+from slotwise.plans.numbering import positions
 from slotwise.plans.oracle_fixtures import sql_render
 from slotwise.plans.registry import register
 from slotwise.sources.fixtures import AS_OF, dirty, tables
@@ -364,7 +365,7 @@ FROM ({_LISTING_SQL}) l""",
 )
 def q_csv_export(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return reports.csv_rows(reports.appointments_listing(t.appointments, t.doctors, sort=False))
+    return reports.csv_rows(reports.appointments_listing(t.appointments, t.doctors))
 
 
 @register(
@@ -1163,3 +1164,57 @@ def q_conversation_steps(spark, sf_dir):
     t = tables(spark, sf_dir)
     menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
     return conversation.conversation_steps_batch(ingest.tagged_messages(t.messages), menus)
+
+
+# ================================================================== orders (O-1 .. O-5, O-10): the place of each row
+
+
+def _order_query(name: str, column: str, order: str, rows: str, fixtures: tuple, build) -> None:
+    """Register ``order_<name>``: where each row of an ordered result stands."""
+    sql = f"SELECT {column}, ROW_NUMBER() OVER (ORDER BY {order}) AS position FROM ({rows}) o"
+
+    @register(f"order_{name}", sql, fixtures)
+    def q(spark, sf_dir):
+        return positions(build(tables(spark, sf_dir)), column)
+
+
+_order_query(
+    "day_sheet", "id", "appointment_date, token_number, id",
+    "SELECT a.* FROM appointments a JOIN doctors d ON a.doctor_id = d.id "
+    "WHERE a.appointment_date IN (DATE '2025-07-01', DATE '2025-07-02')",
+    (A, D), lambda t: reports.day_sheet(t.appointments, t.doctors, DAY_SHEET_DAYS),
+)
+_order_query(
+    "csv_export", "id", "appointment_date DESC, token_number, id", _LISTING_SQL,
+    (A, D), lambda t: reports.appointments_listing(t.appointments, t.doctors),
+)
+_order_query(
+    "doctors_with_leaves", "id", "department, name, id", "SELECT * FROM doctors",
+    (D,), lambda t: reports.doctors_with_leaves(t.doctors, t.doctor_leaves),
+)
+_order_query(
+    "doctor_options", "id", "name, id", "SELECT * FROM doctors", (D,), lambda t: lookups.doctor_options(t.doctors)
+)
+_order_query(
+    "patients_summary", "id", "created_at DESC, id", "SELECT * FROM patients",
+    (P, A), lambda t: reports.patients_summary(t.patients, t.appointments),
+)
+_ACTIVE = "FROM appointments a JOIN doctors d ON a.doctor_id = d.id WHERE a.status <> 'cancelled'"
+_order_query(
+    "counts_by_department", "department", "n DESC, department", f"SELECT department, COUNT(*) AS n {_ACTIVE} GROUP BY department",
+    (A, D), lambda t: analytics.counts_by_department(t.appointments, t.doctors),
+)
+_order_query(
+    "counts_by_doctor", "name", "n DESC, name", f"SELECT d.name, COUNT(*) AS n {_ACTIVE} GROUP BY d.name",
+    (A, D), lambda t: analytics.counts_by_doctor(t.appointments, t.doctors),
+)
+_order_query(
+    "daily_counts", "appointment_date", "appointment_date",
+    "SELECT DISTINCT appointment_date FROM appointments WHERE status <> 'cancelled' "
+    "AND appointment_date BETWEEN DATE '2025-07-01' - 31 AND DATE '2025-07-01'",
+    (A,), lambda t: analytics.daily_counts(t.appointments, AS_OF),
+)
+_order_query(
+    "departments", "department", "department", "SELECT DISTINCT department FROM doctors",
+    (D,), lambda t: lookups.departments(t.doctors),
+)

@@ -57,3 +57,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list, name: str, slices:
     return inside.join(offsets, same).select(
         *[F.col(c) for c in df.columns], (F.col(_INSIDE) + F.col(_OFFSET)).cast("bigint").alias(name)
     )
+
+
+def positions(ordered: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of a sorted DataFrame with ``position``, the 1-based place of each row in it.
+
+    The place is read off the sorted partitions (partition number, then row in
+    the partition); a slice is a partition, so no task holds all rows.
+    """
+    at = ordered.select(*columns, F.monotonically_increasing_id().alias("__at"))
+    return number_rows(at, [], ["__at"], "position", [F.shiftright("__at", 33)]).drop("__at")
