@@ -59,7 +59,7 @@ from slotwise.llm.components import components
 from slotwise.llm.substring_dedup import Words, scramble
 
 SHINGLE, PERCENT = 5, 80
-BATCH_BYTES, RANGE_BYTES = 4 << 20, 64 << 20
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 24 << 20
 SKETCH = 512  # bits
 CHANCE = 1e8  # cost of a chance match in keys, for sets by the hundred million
 LIST_CHUNK = 1024  # sets compared with each other in one task
@@ -273,11 +273,13 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
             [index[np.frombuffer(x, np.uint16).astype(np.int64) + o] for x, o in zip(rows["owner"], offset, strict=False)]
         )
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
+        owner = owner.astype(np.int32)
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
         key, owner = key[new], owner[new]
+        del order, new
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(start, len(key)))
         # Lists of equal members are one; a list is named by two sums of its members' hashes.
