@@ -198,18 +198,28 @@ def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dense(*columns: np.ndarray) -> np.ndarray:
-    """Rank of each row in the order of the columns, equal rows alike."""
-    order = np.lexsort(columns[::-1])
+def _rank(column: np.ndarray) -> np.ndarray:
+    """Rank of each value in sorted order, equal values alike."""
+    order = np.argsort(column)
+    s = column[order]
     new = np.zeros(len(order), bool)
-    for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
+    new[1:] = s[1:] != s[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
+def _dense(*columns: np.ndarray) -> np.ndarray:
+    """Rank of each row in the order of the columns, equal rows alike.
+
+    Ranks of two columns fit one 64-bit number, so each sort has a single key.
+    """
+    out = _rank(columns[0])
+    for c in columns[1:]:
+        out = _rank((out << 32) | _rank(c))
+    return out
+
+
 class CoverRanks:
     """Ranks, to a depth of ``periods`` periods, of the suffixes at cover places."""
 
@@ -271,14 +281,15 @@ def repeated_windows(data: bytes, starts: np.ndarray, window: int, suffixes: int
 
 def _repeated_in(text, starts, head, ranks, tail, window) -> np.ndarray:
     n = len(starts)
-    last = [_words(text, np.minimum(starts + min(t, window - 8), len(text) - 8)) for t in tail]
+    # Head and tail of all suffixes together; what lies between is decided below.
+    ends = _dense(head, *[_words(text, np.minimum(starts + min(t, window - 8), len(text) - 8)) for t in tail])
     first = np.arange(n)
     for offset in range(PERIOD):
         # The suffixes that have a cover place at this offset; any two equal ones meet at some offset.
         rows = np.flatnonzero(np.isin((starts + offset) % PERIOD, COVER))
         if not len(rows):
             continue
-        classes = _dense(head[rows], ranks[starts[rows] + offset], *[x[rows] for x in last])
+        classes = _dense(ends[rows], ranks[starts[rows] + offset])
         least = np.full(classes.max() + 1, n)
         np.minimum.at(least, classes, rows)
         first[rows] = np.minimum(first[rows], least[classes])
