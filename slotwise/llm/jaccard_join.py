@@ -62,6 +62,7 @@ SHINGLE, PERCENT = 5, 80
 BATCH_BYTES, RANGE_BYTES = 4 << 20, 24 << 20
 SKETCH = 512  # bits
 CHANCE = 1e8  # cost of a chance match in keys, for sets by the hundred million
+NEAREST = 3  # closest sets compared before all pairs across components are
 LIST_CHUNK = 1024  # sets compared with each other in one task
 BLOOM_WORDS = 1 << 19  # 64-bit words of the filter of candidate sets
 
@@ -242,6 +243,25 @@ def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[li
 # --- candidate lists ------------------------------------------------------------
 
 
+# Lists up to this length are pruned pair by pair where they are made.
+PRUNED_LIST = 512
+HALF = SKETCH // 2
+
+
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    """Parity sketches of half the cells: the two halves of a sketch, added."""
+    words = SKETCH // 64
+    return sketch[:, : words // 2] ^ sketch[:, words // 2 :]
+
+
+def _with_partner(n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each set of a list may link with another one of it, by size and sketch."""
+    differing = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+    possible = _possible(n[:, None], n[None, :], differing, percent)
+    np.fill_diagonal(possible, False)
+    return possible.any(axis=1)
+
+
 def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, batch_bytes: int) -> DataFrame:
     """(list, members): distinct lists of the identities of sets that share a key."""
 
@@ -254,6 +274,7 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
             order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
             bounds = B.range_bounds(key, parts)
+            half = _folded(sets.sketches())
             for p in range(parts):
                 lo, hi = bounds[p], bounds[p + 1]
                 if lo < hi:
@@ -261,13 +282,17 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([p], pa.int32()), pa.array([key[lo:hi].tobytes()], pa.binary()),
                          pa.array([index.astype(np.uint16).tobytes()], pa.binary()),
-                         pa.array([names[here].tobytes()], pa.binary())],
-                        ["part", "keys", "owner", "names"],
+                         pa.array([names[here].tobytes()], pa.binary()),
+                         pa.array([sets.sizes[here].astype(np.int64).tobytes()], pa.binary()),
+                         pa.array([half[here].tobytes()], pa.binary())],
+                        ["part", "keys", "owner", "names", "sizes", "sketches"],
                     )
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         names = [np.frombuffer(x, "V16") for x in rows["names"]]
-        every, index = np.unique(np.concatenate(names), return_inverse=True)
+        every, which, index = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        n_shingles = np.concatenate([np.frombuffer(x, np.int64) for x in rows["sizes"]])[which]
+        sketch = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, HALF // 64) for x in rows["sketches"]])[which]
         offset = np.cumsum([0, *map(len, names)])
         owner = np.concatenate(
             [index[np.frombuffer(x, np.uint16).astype(np.int64) + o] for x, o in zip(rows["owner"], offset, strict=False)]
@@ -288,18 +313,20 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
         label = np.ascontiguousarray(label).view("V16").ravel()
         many = np.flatnonzero(size > 1)
         _, first = np.unique(label[many], return_index=True)
-        chosen = many[first]
-        return pd.DataFrame(
-            {
-                "list": [x.tobytes() for x in label[chosen]],
-                "members": [
-                    [x.tobytes() for x in every[owner[s : s + n]]]
-                    for s, n in zip(start[chosen], size[chosen], strict=True)
-                ],
-            }
-        )
-
-    asked = docs.select("doc_id", "text").mapInArrow(send, "part int, keys binary, owner binary, names binary")
+        # Members that no other member can link with leave the list.
+        found: dict[bytes, list[bytes]] = {}
+        for s, n in zip(start[many[first]].tolist(), size[many[first]].tolist(), strict=True):
+            member_of = owner[s : s + n]
+            if n <= PRUNED_LIST:
+                member_of = member_of[_with_partner(n_shingles[member_of], sketch[member_of], percent)]
+            if len(member_of) > 1:
+                names_of = every[member_of].tobytes()
+                found[hashlib.blake2b(names_of, digest_size=16).digest()] = [
+                    names_of[k : k + 16] for k in range(0, len(names_of), 16)
+                ]
+        return pd.DataFrame({"list": list(found), "members": list(found.values())}, columns=["list", "members"])
+
+    asked = docs.select("doc_id", "text").mapInArrow(send, "part int, keys binary, owner binary, names binary, sizes binary, sketches binary")
     lists = asked.groupBy("part").applyInPandas(meet, "list binary, members array<binary>")
     return cut(lists, "jaccard-lists").dropDuplicates(["list"])
 
@@ -442,8 +469,9 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, batch_
 # --- lists with several components ---------------------------------------------------
 
 
-def _across(rows: list[dict], single: bool, percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of one list chunk (or of two) in different components that size and sketch allow."""
+def _across(rows: list[dict], single: bool, percent: int, nearest: int | None) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of one list chunk (or of two) in different components that size
+    and sketch allow; with ``nearest``, of each set only so many of the closest."""
     rows.sort(key=lambda r: (r["n_shingles"], r["name"]))
     n = np.array([r["n_shingles"] for r in rows])
     kinds: dict = {}
@@ -456,14 +484,20 @@ def _across(rows: list[dict], single: bool, percent: int) -> Iterator[tuple[byte
         j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
         j = j[(label[j] != label[i]) & ~center[j] & (single | (side[j] != side[i]))]
         if len(j):
-            j = j[_possible(n[i], n[j], np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1), percent)]
+            differing = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            fits = _possible(n[i], n[j], differing, percent)
+            j, differing = j[fits], differing[fits]
+            if nearest is not None and len(j) > nearest:
+                j = j[np.argsort(differing, kind="stable")[:nearest]]
             for k in j.tolist():
                 a, b = rows[i]["name"], rows[k]["name"]
                 yield (a, b) if a < b else (b, a)
 
 
-def pairs_across(members: DataFrame, labels: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components within the lists that hold several.
+def pairs_across(
+    members: DataFrame, labels: DataFrame, info: DataFrame, percent: int, nearest: int | None = None
+) -> DataFrame:
+    """Pairs (a, b) across components within the lists that hold several (see :func:`_across`).
 
     A long list is cut into chunks by hash, and every two chunks are one row
     to look at, so the size of a row is bounded.
@@ -500,7 +534,7 @@ def pairs_across(members: DataFrame, labels: DataFrame, info: DataFrame, percent
         for b in batches:
             found = set()
             for single, entries in zip(b.column("single").to_pylist(), b.column("entries"), strict=True):
-                found.update(_across(entries.as_py(), single, percent))
+                found.update(_across(entries.as_py(), single, percent, nearest))
             a, c = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
 
@@ -531,7 +565,12 @@ def near_duplicates(
     least = members.groupBy("list").agg(F.min("member").alias("a"))
     star = members.join(least, "list").where("member <> a").select("a", F.col("member").alias("b")).distinct()
     star = cut(allowed(star, info, percent), "jaccard-star")
-    labels = components(verify(star, docs, shingle, percent, batch_bytes))
+    links = verify(star, docs, shingle, percent, batch_bytes)
+    labels = components(links)
+    # Sets that the first of their lists did not link: their closest ones join them
+    # to their component, so that few pairs across components are left to compare.
+    close = cut(pairs_across(members, labels, info, percent, NEAREST), "jaccard-close")
+    labels = components(links.unionByName(verify(close, docs, shingle, percent, batch_bytes)))
     across = cut(pairs_across(members, labels, info, percent), "jaccard-across")
     more = verify(across, docs, shingle, percent, batch_bytes)
     # Links between components, as links between their least members.
