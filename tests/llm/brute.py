@@ -118,3 +118,23 @@ def mixture(docs, weights=(3, 1, 2), share=1.5, epochs=2, seed="mix"):
             extra -= size[d]
             out[d] = (size[d], n, target[s], whole * size[d] + part)
     return out
+
+
+def lines(docs, min_chars=20, min_docs=3):
+    """docs: (doc_id, text) rows -> a list of (doc_id, n_lines, n_dropped, kept_sha256), one per row"""
+    rank = lambda d: float("-inf") if d is None else d
+    holders = defaultdict(set)
+
+    def key(line):
+        return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+
+    for d, t in docs:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(d)
+    out = []
+    for d, t in docs:
+        all_lines = (t or "").split("\n")
+        kept = [x for x in all_lines if len(holders[key(x)]) < min_docs or max(holders[key(x)], key=rank) == d]
+        out.append((d, len(all_lines), len(all_lines) - len(kept), sha("\n".join(kept).encode())))
+    return out
