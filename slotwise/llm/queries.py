@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.llm import (
     byte_bpe,
+    collocations,
     exact_dedup,
     hash_forest,
     jaccard_join,
@@ -153,3 +154,39 @@ FROM marked GROUP BY doc_id"""
 )
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.cleaned_texts(table(spark, sf_dir, "documents")))
+
+
+@query(
+    r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+piece AS (SELECT lang, unnest(pieces) AS body FROM texts),
+worded AS (SELECT lang, regexp_extract_all(body, '[^\x20\x09]+') AS w FROM piece),
+grams AS (
+  SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase
+  FROM worded CROSS JOIN (VALUES (1), (2), (3), (4), (5)) lengths(m)),
+f AS (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS a
+  FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+sizes AS (SELECT lang, count(*) AS n FROM grams WHERE m = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, s.n, k,
+    CAST((1000::HUGEINT * c.a * s.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM f c JOIN (VALUES (1), (2), (3), (4)) cut_at(k) ON k < c.m JOIN sizes s ON s.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, a, unnest([array_to_string(w[i:i + p - 1], ' ') FOR i IN range(1, m - p + 2)]) AS phrase
+  FROM f JOIN (VALUES (2), (3), (4)) part_of(p) ON p < m),
+left_over AS (
+  SELECT * FROM lowest c
+  WHERE NOT EXISTS (SELECT 1 FROM parts x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 100 * c.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM left_over QUALIFY rank <= 2000"""
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("cut")

@@ -138,3 +138,30 @@ def lines(docs, min_chars=20, min_docs=3):
         kept = [x for x in all_lines if len(holders[key(x)]) < min_docs or max(holders[key(x)], key=rank) == d]
         out.append((d, len(all_lines), len(all_lines) - len(kept), sha("\n".join(kept).encode())))
     return out
+
+
+def collocations(docs, min_count, longest=5, top=2000):
+    """docs: (lang, text) -> rows (lang, rank, phrase, a, l, r, n, score)"""
+    counts, sizes = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            sizes[lang] += len(words)
+            for m in range(1, longest + 1):
+                for i in range(len(words) - m + 1):
+                    counts[lang][tuple(words[i : i + m])] += 1
+    out = []
+    for lang, f in counts.items():
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
+        rows = []
+        for p, a in often.items():
+            inside = lambda q, p=p: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+            if any(len(q) > len(p) and b >= a and inside(q) for q, b in often.items()):
+                continue
+            best = min((1000 * a * sizes[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            k = best[1]
+            rows.append((" ".join(p), a, f[p[:k]], f[p[k:]], sizes[lang], best[0]))
+        rows.sort(key=lambda r: (-r[5], -r[1], r[0].encode()))
+        out += [(lang, i + 1, *r) for i, r in enumerate(rows[:top])]
+    return out
