@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -165,3 +166,17 @@ def collocations(docs, min_count, longest=5, top=2000):
         rows.sort(key=lambda r: (-r[5], -r[1], r[0].encode()))
         out += [(lang, i + 1, *r) for i, r in enumerate(rows[:top])]
     return out
+
+
+def hard_negatives(rows, anchor, positives=5, negatives=10):
+    """rows: (vec_id, label, vector) with usable values and distinct ids -> the rows of the result"""
+    scaled = [(i, (label + 1) % 10 if i % 7 == 0 else label, [math.floor(256 * x) for x in v]) for i, label, v in rows]
+    out = []
+    for a, label, v in scaled:
+        if not anchor(a):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i, k == label) for i, k, w in scaled if i != a)
+        for s, p, _ in [x for x in scored if x[2]][:positives]:
+            fits = [x for x in scored if not x[2] and 30 * -s <= 100 * -x[0] <= 90 * -s]
+            out += [(a, p, k + 1, i, -s, -t) for k, (t, i, _) in enumerate(fits[:negatives])]
+    return out
