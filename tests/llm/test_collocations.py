@@ -50,6 +50,12 @@ def test_scores_beyond_64_bits(spark):
     assert got == {"p q": (1000 * a * n // (l * r), l, r, 1), "p q r": (tie[k], [l, 10][k], [10, r][k], k + 1)}
 
 
+def test_many_ranges_of_pairs(docs_of, phrased, monkeypatch):
+    monkeypatch.setattr(collocations, "RANGE_WORDS", 900)
+    got = collocations.collocations(docs_of(phrased), min_count=3, block_bytes=2000)
+    assert results(got) == sorted(brute.collocations([(r[3], r[1]) for r in phrased], min_count=3))
+
+
 def test_nothing_to_find(docs_of):
     for rows in ([], [(1, None)], [(1, "a b. c d")]):
         assert collocations.collocations(docs_of(rows)).collect() == []
