@@ -48,7 +48,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,7 +262,7 @@ def _with_partner(n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray
 
 
 def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, batch_bytes: int) -> DataFrame:
-    """(list, members): distinct lists of the identities of sets that share a key."""
+    """(list, member): distinct lists of the identities of sets that share a key, a row per member."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _batches(batches, batch_bytes):
@@ -288,7 +287,8 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
                         ["part", "keys", "owner", "names", "sizes", "sketches"],
                     )
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(table: pa.Table) -> pa.Table:
+        rows = {c: table.column(c).to_pylist() for c in table.column_names}
         names = [np.frombuffer(x, "V16") for x in rows["names"]]
         every, which, index = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
         n_shingles = np.concatenate([np.frombuffer(x, np.int64) for x in rows["sizes"]])[which]
@@ -314,21 +314,22 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
         many = np.flatnonzero(size > 1)
         _, first = np.unique(label[many], return_index=True)
         # Members that no other member can link with leave the list.
-        found: dict[bytes, list[bytes]] = {}
+        found: dict[bytes, bytes] = {}
         for s, n in zip(start[many[first]].tolist(), size[many[first]].tolist(), strict=True):
             member_of = owner[s : s + n]
             if n <= PRUNED_LIST:
                 member_of = member_of[_with_partner(n_shingles[member_of], sketch[member_of], percent)]
             if len(member_of) > 1:
                 names_of = every[member_of].tobytes()
-                found[hashlib.blake2b(names_of, digest_size=16).digest()] = [
-                    names_of[k : k + 16] for k in range(0, len(names_of), 16)
-                ]
-        return pd.DataFrame({"list": list(found), "members": list(found.values())}, columns=["list", "members"])
+                found[hashlib.blake2b(names_of, digest_size=16).digest()] = names_of
+        # Typed, so that a range without lists is an empty table like any other.
+        lists = [name for name, names_of in found.items() for _ in range(len(names_of) // 16)]
+        members = [names_of[k : k + 16] for names_of in found.values() for k in range(0, len(names_of), 16)]
+        return pa.table({"list": pa.array(lists, pa.binary()), "member": pa.array(members, pa.binary())})
 
     asked = docs.select("doc_id", "text").mapInArrow(send, "part int, keys binary, owner binary, names binary, sizes binary, sketches binary")
-    lists = asked.groupBy("part").applyInPandas(meet, "list binary, members array<binary>")
-    return cut(lists, "jaccard-lists").dropDuplicates(["list"])
+    lists = asked.groupBy("part").applyInArrow(meet, "list binary, member binary")
+    return cut(lists, "jaccard-lists").distinct()
 
 
 # --- sets of candidates -----------------------------------------------------------
@@ -552,8 +553,7 @@ def near_duplicates(
     ready(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // range_bytes))
-    lists = candidate_lists(docs, shingle, percent, parts, batch_bytes)
-    members = cut(lists.select("list", F.explode("members").alias("member")), "jaccard-members")
+    members = cut(candidate_lists(docs, shingle, percent, parts, batch_bytes), "jaccard-members")
     described = describe(docs, shingle, batch_bytes)
     candidates = members.select(F.col("member").alias("name")).distinct()
     info = cut(

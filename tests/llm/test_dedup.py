@@ -140,6 +140,26 @@ def test_jaccard_empty_table_and_one_of_each(docs_of, repeats):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in brute.jaccard(repeats).items() if d == c}
 
 
+@pytest.mark.parametrize("kind", ["one", "copies", "unlike", "clean", "blank", "lists in some ranges"])
+def test_jaccard_where_ranges_have_no_lists(docs_of, kind):
+    rnd = random.Random(8)
+
+    def text(n=40):
+        return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+    copy = text()
+    rows = {
+        "one": [(1, copy)],
+        "copies": [(1, copy), (2, copy), (7, copy.upper())],
+        "unlike": [(1, text()), (2, text())],
+        "clean": [(i, text()) for i in range(50)],
+        "blank": [(1, None), (2, ""), (3, " \t")],
+        "lists in some ranges": [(i, text()) for i in range(30)] + [(90, copy), (91, copy + " more")],
+    }[kind]
+    got = rows_by_id(jaccard_join.near_duplicates(docs_of(rows), range_bytes=500))
+    assert got == brute.jaccard(rows)
+
+
 def test_signatures_never_miss_a_linked_pair():
     """Random pairs at the threshold share a key in every band."""
     import numpy as np
