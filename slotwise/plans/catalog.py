@@ -18,7 +18,7 @@ from slotwise.plans.oracle_fixtures import sql_render
 from slotwise.plans.registry import register
 from slotwise.sources.fixtures import AS_OF, dirty, tables
 from slotwise.sources.seed import seed_doctors
-from slotwise.streaming import ingest
+from slotwise.streaming import dialogue, ingest
 
 # Fixed parameters of the registered queries.
 DAY_SHEET_DAYS = ("2025-07-01", "2025-07-02")
@@ -1157,13 +1157,99 @@ def q_session_payload(spark, sf_dir):
     )
 
 
-@register("conversation_steps")
+# One message after the other, phone by phone.
+WALK_CTE = VALID_MESSAGES_CTE + "," + GRID_CTE + "," + DATES_CTE + r""",
+depts AS (SELECT department, ROW_NUMBER() OVER (ORDER BY department) AS k FROM (SELECT DISTINCT department FROM doctors) d),
+offered AS (
+  SELECT x.doctor_id, x.date_no AS k, CAST(x.available_date AS VARCHAR) AS day, g.slot_no, g.slot_time
+  FROM dates x LEFT JOIN grid g ON g.doctor_id = x.doctor_id AND NOT EXISTS (
+    SELECT 1 FROM appointments a WHERE a.status = 'booked' AND a.doctor_id = x.doctor_id
+      AND a.appointment_date = x.available_date AND a.slot_time = g.slot_time)),
+docs AS (
+  SELECT department, id AS doctor_id, ROW_NUMBER() OVER (PARTITION BY department ORDER BY id) AS k,
+    EXISTS (SELECT 1 FROM dates x WHERE x.doctor_id = d.id) AS open
+  FROM doctors d WHERE department IS NOT NULL),
+days AS (SELECT doctor_id, k, day, COUNT(slot_time) > 0 AS open FROM offered GROUP BY doctor_id, k, day),
+free AS (
+  SELECT doctor_id, day, slot_time, ROW_NUMBER() OVER (PARTITION BY doctor_id, day ORDER BY slot_no) AS k
+  FROM offered WHERE slot_time IS NOT NULL),
+letters AS (SELECT id, string_split(text, '') AS ch FROM valid),
+names AS (
+  SELECT id, array_to_string(list_transform(ch, lambda x, i:
+    CASE WHEN i > 1 AND regexp_matches(ch[i - 1], '[\p{Lu}\p{Ll}\p{Lt}]') THEN x
+         WHEN x = 'ß' THEN 'Ss' ELSE upper(x) END), '') AS name
+  FROM letters),
+said AS (
+  SELECT v.id, v.phone, v.ts, n.name, ROW_NUMBER() OVER (PARTITION BY v.phone ORDER BY v.ts, v.id) AS p,
+    CASE WHEN text IN ('cancel', 'cancel appointment') THEN 'cancel'
+         WHEN text IN ('status', 'my appointment', 'appointment') THEN 'status'
+         WHEN text IN ('hi', 'hello', 'hey', 'book', 'start', 'menu', '0', 'home') THEN 'greet'
+         ELSE 'other' END AS intent,
+    CASE WHEN regexp_full_match(text, '[+-]?[0-9]+') THEN TRY_CAST(ltrim(text, '+') AS INTEGER) END AS k
+  FROM valid v JOIN names n USING (id)),
+walk AS (
+  SELECT DISTINCT phone, CAST(0 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS id, CAST('' AS VARCHAR) AS from_step, CAST('start' AS VARCHAR) AS step,
+    CAST(NULL AS VARCHAR) AS dept, CAST(NULL AS BIGINT) AS doctor_id, CAST(NULL AS VARCHAR) AS day,
+    CAST(NULL AS VARCHAR) AS slot, CAST(NULL AS VARCHAR) AS reply, CAST(NULL AS VARCHAR) AS booking
+  FROM said
+  UNION ALL
+  SELECT m.phone, m.p, m.id, w.step,
+    CASE r.reply WHEN 'cancel' THEN 'start' WHEN 'departments' THEN 'choose_dept' WHEN 'doctors' THEN 'choose_doctor'
+      WHEN 'dates' THEN 'choose_date' WHEN 'slots' THEN 'choose_slot' WHEN 'book' THEN 'start' WHEN 'on_leave' THEN 'start'
+      WHEN 'ask_name' THEN 'confirm_name' ELSE w.step END,
+    CASE WHEN r.reply IN ('cancel', 'departments', 'book', 'on_leave') THEN NULL ELSE COALESCE(w.dept, e.department) END,
+    CASE WHEN r.reply IN ('cancel', 'departments', 'book', 'on_leave') THEN NULL ELSE COALESCE(w.doctor_id, CASE WHEN r.reply = 'dates' THEN o.doctor_id END) END,
+    CASE WHEN r.reply IN ('cancel', 'departments', 'book', 'on_leave') THEN NULL ELSE COALESCE(w.day, CASE WHEN r.reply = 'slots' THEN d.day END) END,
+    CASE WHEN r.reply IN ('cancel', 'departments', 'book', 'on_leave') THEN NULL ELSE COALESCE(w.slot, f.slot_time) END,
+    r.reply, CASE WHEN r.reply = 'book' THEN CAST(w.doctor_id AS VARCHAR) || '|' || w.day || '|' || w.slot END
+  FROM walk w JOIN said m ON m.phone = w.phone AND m.p = w.p + 1
+  LEFT JOIN depts e ON w.step = 'choose_dept' AND m.intent = 'other' AND e.k = m.k
+  LEFT JOIN docs o ON w.step = 'choose_doctor' AND m.intent = 'other' AND o.department = w.dept AND o.k = m.k
+  LEFT JOIN days d ON w.step = 'choose_date' AND m.intent = 'other' AND d.doctor_id = w.doctor_id AND d.k = m.k
+  LEFT JOIN free f ON w.step = 'choose_slot' AND m.intent = 'other' AND f.doctor_id = w.doctor_id AND f.day = w.day AND f.k = m.k
+  LEFT JOIN (SELECT DISTINCT doctor_id, CAST(leave_date AS VARCHAR) AS day FROM doctor_leaves) l
+    ON w.step = 'confirm_name' AND l.doctor_id = w.doctor_id AND l.day = w.day
+  CROSS JOIN LATERAL (SELECT CASE
+    WHEN m.intent IN ('cancel', 'status') THEN m.intent
+    WHEN m.intent = 'greet' OR w.step = 'start' THEN 'departments'
+    WHEN w.step = 'choose_dept' THEN CASE WHEN e.k IS NOT NULL THEN 'doctors' ELSE 'reprompt' END
+    WHEN w.step = 'choose_doctor' THEN CASE WHEN o.open THEN 'dates' WHEN o.k IS NOT NULL THEN 'no_dates' ELSE 'reprompt' END
+    WHEN w.step = 'choose_date' THEN CASE WHEN d.open THEN 'slots' WHEN d.k IS NOT NULL THEN 'no_slots' ELSE 'reprompt' END
+    WHEN w.step = 'choose_slot' THEN CASE WHEN f.k IS NOT NULL THEN 'ask_name' ELSE 'reprompt' END
+    WHEN length(m.name) < 2 THEN 'ask_name' WHEN l.day IS NOT NULL THEN 'on_leave' ELSE 'book' END AS reply) r)"""
+_RECURSIVE = "WITH RECURSIVE " + WALK_CTE.strip()
+
+
+def _dialogue(t):
+    menus = dialogue.menu_tables(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
+    return dialogue.dialogue_steps(ingest.tagged_messages(t.messages), menus)
+
+
+@register(
+    "conversation_steps",
+    _RECURSIVE + """
+SELECT w.phone, w.id AS msg_id, s.ts, s.intent, w.from_step, w.step AS to_step,
+  CASE WHEN w.reply IN ('cancel', 'status', 'book') THEN w.reply END AS command,
+  CAST(split_part(w.booking, '|', 1) AS BIGINT) AS doctor_id, split_part(w.booking, '|', 2) AS date,
+  split_part(w.booking, '|', 3) AS slot, CASE WHEN w.reply = 'book' THEN s.name END AS name, w.reply AS reply_kind,
+  w.dept AS at_dept, w.doctor_id AS at_doctor_id, w.day AS at_date, w.slot AS at_slot
+FROM walk w JOIN said s ON s.id = w.id""",
+    (M, D, L, A),
+)
 def q_conversation_steps(spark, sf_dir):
-    from slotwise.streaming import conversation
+    return _dialogue(tables(spark, sf_dir))
 
-    t = tables(spark, sf_dir)
-    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
-    return conversation.conversation_steps_batch(ingest.tagged_messages(t.messages), menus)
+
+@register(
+    "sessions_after",
+    _RECURSIVE + """
+SELECT w.phone, w.step, w.dept, w.doctor_id, w.day AS date, w.slot, s.ts AS updated_at
+FROM walk w JOIN said s ON s.id = w.id
+QUALIFY ROW_NUMBER() OVER (PARTITION BY w.phone ORDER BY w.p DESC) = 1""",
+    (M, D, L, A),
+)
+def q_sessions_after(spark, sf_dir):
+    return dialogue.sessions_after(_dialogue(tables(spark, sf_dir)))
 
 
 # ================================================================== orders (O-1 .. O-5, O-10): the place of each row

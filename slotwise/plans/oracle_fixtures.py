@@ -126,6 +126,8 @@ def with_fixtures(body: str, *names: str) -> str:
         add(n)
     ctes = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in ORDER if n in needed]
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         # the query's own CTEs follow the fixtures
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
