@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import templates as T
 from slotwise.functions.payload import dump_payload, parse_payload
-from slotwise.operators import analytics, availability, ledger, lookups, messaging, quality, reports
+from slotwise.operators import analytics, arbitration, availability, ledger, lookups, messaging, quality, reports
 from slotwise.plans.numbering import positions
 from slotwise.plans.oracle_fixtures import sql_render
 from slotwise.plans.registry import register
-from slotwise.sources.fixtures import AS_OF, dirty, tables
+from slotwise.sources.fixtures import AS_OF, FIRST_MESSAGE_TS, dirty, tables
 from slotwise.sources.seed import seed_doctors
 from slotwise.streaming import dialogue, ingest
 
@@ -1252,6 +1252,35 @@ def q_sessions_after(spark, sf_dir):
     return dialogue.sessions_after(_dialogue(tables(spark, sf_dir)))
 
 
+def _commands(t):
+    """Bookings of the second half of the appointments, between the cancel and status words of the messages."""
+    said = ingest.tagged_messages(t.messages).where(F.col("intent").isin("cancel", "status"))
+    asked = said.selectExpr("id AS msg_id", "phone", "ts", "intent AS command", "CAST(NULL AS BIGINT) AS doctor_id",
+                            "CAST(NULL AS STRING) AS date", "CAST(NULL AS STRING) AS slot", "CAST(NULL AS STRING) AS name")
+    ledger, requests = t.ledger_split()
+    books = requests.selectExpr(
+        "-id AS msg_id", "patient_phone AS phone", f"TIMESTAMP_NTZ'{FIRST_MESSAGE_TS}' + make_dt_interval(0, CAST(id % 100 AS INT), 0, 0) AS ts",
+        "'book' AS command", "doctor_id", "CAST(appointment_date AS STRING) AS date", "slot_time AS slot", "patient_name AS name",
+    )
+    return ledger, books.unionByName(asked)
+
+
+# What one command after the other gives has no SQL form: the state is the whole ledger.
+@register("command_outcomes")
+def q_command_outcomes(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ledger, commands = _commands(t)
+    return arbitration.arbitrate(ledger, commands, t.doctors, t.doctor_leaves).outcomes
+
+
+@register("command_replies")
+def q_command_replies(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ledger, commands = _commands(t)
+    settled = arbitration.arbitrate(ledger, commands, t.doctors, t.doctor_leaves)
+    return arbitration.replies(settled.outcomes, t.doctors)
+
+
 # ================================================================== orders (O-1 .. O-5, O-10): the place of each row
 
 

@@ -4,8 +4,8 @@ import datetime as dt
 import os
 import tempfile
 
-from slotwise.streaming import conversation, ingest
-from slotwise.streaming.conversation import MemoryMenus, step_once
+from slotwise.streaming import ingest
+from tests.serial_walk import MemoryMenus, step_once
 
 SEED_DEPTS = ["Cardiology", "General OPD", "Gynecology", "Orthopedics", "Pediatrics"]
 
@@ -68,81 +68,52 @@ def test_reprompts_and_global_words():
     assert step == "choose_dept"
 
 
-def test_conversation_operator_runs_in_batch(spark):
-    rows = [(1, "whatsapp:+1", dt.datetime(2025, 6, 1, 0, 0, 2), "2"),
-            (2, "whatsapp:+1", dt.datetime(2025, 6, 1, 0, 0, 1), "hi"),
-            (3, "whatsapp:+2", dt.datetime(2025, 6, 1, 0, 0, 1), "status")]
-    tagged = spark.createDataFrame(rows, "id long, phone string, ts timestamp_ntz, text string")
-    out = conversation.conversation_steps(tagged, _menus()).orderBy("phone", "ts").collect()
-    assert [(r.msg_id, r.from_step, r.to_step) for r in out] == [
-        (2, "start", "choose_dept"), (1, "choose_dept", "choose_doctor"), (3, "start", "start")]
-
-
-def test_segmented_batch_fold_equals_stateful_fold(spark):
-    from slotwise.operators import ledger
-    from slotwise.sources.fixtures import AS_OF, tables
-    from tests.conftest import SF_SMALL
-
-    t = tables(spark, SF_SMALL)
-    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
-    tagged = ingest.tagged_messages(t.messages)
-    sessions = ledger.session_latest(t.session_updates)
-    a = conversation.conversation_steps(tagged, menus, sessions)
-    b = conversation.conversation_steps_batch(tagged, menus, sessions)
-    assert a.count() == b.count() > 0
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_chat_pipeline_two_runs_equal_batch(spark):
+def test_chat_pipeline_over_two_runs(spark):
+    """Two runs over two file drops: sessions, ledger and menus go on from the first to the second; a replay changes nothing."""
     import uuid
 
     from pyspark.sql import functions as F
 
+    from slotwise.operators import arbitration
     from slotwise.session import scratch_path
     from slotwise.sources.fixtures import AS_OF, tables
-    from slotwise.streaming import commands
-    from slotwise.streaming.pipeline import start_chat_pipeline
+    from slotwise.streaming import commands, dialogue, pipeline
     from tests.conftest import SF_SMALL
 
     t = tables(spark, SF_SMALL)
-    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
     root = scratch_path(spark, "pipeline-test", uuid.uuid4().hex)
-    src, out, ckpt = (os.path.join(root, p) for p in ("in", "transitions", "ckpt"))
+    src, ckpt, name = os.path.join(root, "in"), os.path.join(root, "ckpt"), "chat-" + uuid.uuid4().hex
     msgs = t.messages
-    cut = dt.datetime(2025, 6, 1, 2, 0)
-    name = "ledger-" + uuid.uuid4().hex
-    args = (menus, t.doctors, t.doctor_leaves, t.appointments, name, out, ckpt)
-    msgs.where(F.col("ts") < cut).write.parquet(os.path.join(src, "part1"))
-    start_chat_pipeline(spark, os.path.join(src, "*"), *args).awaitTermination()
-    msgs.where(F.col("ts") >= cut).write.parquet(os.path.join(src, "part2"))
-    start_chat_pipeline(spark, os.path.join(src, "*"), *args).awaitTermination()  # state carried over
-    streamed = spark.read.parquet(out).drop("batch")
-    batch = conversation.conversation_steps_batch(ingest.tagged_messages(msgs), menus)
-    assert streamed.count() == batch.count()
-    assert streamed.exceptAll(batch).count() == 0
-    done, path = commands.last_applied_batch(spark, name)
-    assert done >= 1 and path is not None
-    ledger = spark.read.parquet(path)
-    assert ledger.count() >= t.appointments.count()  # bookings only ever append
-
-
-
-
-def test_sessions_after_matches_stateful_state(spark):
-    from slotwise.sources.fixtures import AS_OF, tables
-    from tests.conftest import SF_SMALL
-
-    t = tables(spark, SF_SMALL)
-    menus = conversation.build_menus(t.doctors, t.doctor_leaves, t.appointments, AS_OF)
-    steps = conversation.conversation_steps_batch(ingest.tagged_messages(t.messages), menus)
-    after = {r.phone: (r.step, r.temp_data) for r in conversation.sessions_after(steps).collect()}
-    # replay each phone serially from 'start' and compare the final state
-    import json
-
-    rows = ingest.tagged_messages(t.messages).orderBy("phone", "ts", "id").collect()
-    state: dict = {}
-    for r in rows:
-        step, data = state.get(r.phone, ("start", {}))
-        step, data, _ = step_once(step, data, r.text, menus)
-        state[r.phone] = (step, data)
-    assert {p: (s, json.loads(d)) for p, (s, d) in after.items()} == {p: (s, d) for p, (s, d) in state.items()}
+    # In the middle of the dialogues of one conversation.
+    cut = dt.datetime(2025, 6, 1, 3, 30, 3)
+    parts = [msgs.where(F.col("ts") < cut), msgs.where(F.col("ts") >= cut)]
+    ledger, sessions, want, said = t.appointments, None, [], []
+    for i, part in enumerate(parts):
+        part.write.parquet(os.path.join(src, f"part{i}"))
+        args = (os.path.join(src, "*"), t.doctors, t.doctor_leaves, t.appointments, AS_OF, name, ckpt)
+        pipeline.start_chat_pipeline(spark, *args).awaitTermination()
+        menus = dialogue.menu_tables(t.doctors, t.doctor_leaves, ledger, AS_OF)
+        steps = dialogue._written(dialogue.dialogue_steps(ingest.tagged_messages(part), menus, sessions), "test-steps")
+        done = arbitration.arbitrate(ledger, steps, t.doctors, t.doctor_leaves)
+        ledger = dialogue._written(arbitration.merged(ledger, done.changes), "test-ledger")
+        sessions = dialogue.sessions_after(steps, sessions)
+        want += [tuple(r) for r in steps.collect()]
+        said += [tuple(r) for r in arbitration.replies(done.outcomes, t.doctors).collect()]
+    columns = ["phone", "msg_id", "ts", "intent", "from_step", "to_step", "command", "doctor_id", "date", "slot", "name", "reply_kind",
+               "at_dept", "at_doctor_id", "at_date", "at_slot"]
+    got = commands.written(spark, name, "transitions").select(columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    replies = commands.written(spark, name, "replies")
+    assert sorted(tuple(r)[:3] for r in replies.collect()) == sorted(said) and len(said) > 20
+    booked = [r for r in want if r[6] == "book"]
+    assert booked and replies.where(F.col("msg_id").isin([r[1] for r in booked])).count() == len(booked)
+    final = sorted(map(repr, map(tuple, ledger.collect())))
+    assert sorted(map(repr, map(tuple, commands.current_ledger(spark, name, t.appointments).collect()))) == final
+    stand = lambda df: {r.phone: (r.step, r.dept, r.doctor_id, r.date, r.slot) for r in df.collect()}
+    assert stand(commands.current_sessions(spark, name)) == stand(sessions)
+    # A batch writes its own changes, not the ledger; a new base leaves the ledger as it is.
+    assert commands.written(spark, name, "changes").count() < 0.2 * ledger.count()
+    commands.compact(spark, name, t.appointments)
+    assert [r.kind for r in commands.commits(spark, name)] == ["base"] and commands.last_applied_batch(spark, name) == 1
+    assert sorted(map(repr, map(tuple, commands.current_ledger(spark, name, t.appointments).collect()))) == final
+    assert stand(commands.current_sessions(spark, name)) == stand(sessions)
