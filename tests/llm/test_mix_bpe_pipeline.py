@@ -93,7 +93,7 @@ def test_bpe_documents(docs_of, reference):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_equals_plain_stages(spark, reference):
