@@ -264,6 +264,8 @@ def _with_partner(n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray
 def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, batch_bytes: int) -> DataFrame:
     """(list, member): distinct lists of the identities of sets that share a key, a row per member."""
 
+    step = 16 * LIST_CHUNK  # bytes of the names in a row
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _batches(batches, batch_bytes):
             sets = Sets(texts, shingle)
@@ -322,14 +324,27 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
             if len(member_of) > 1:
                 names_of = every[member_of].tobytes()
                 found[hashlib.blake2b(names_of, digest_size=16).digest()] = names_of
+        # A row holds LIST_CHUNK members at most; equal lists are cut alike, since their members are in order.
         # Typed, so that a range without lists is an empty table like any other.
-        lists = [name for name, names_of in found.items() for _ in range(len(names_of) // 16)]
-        members = [names_of[k : k + 16] for names_of in found.values() for k in range(0, len(names_of), 16)]
-        return pa.table({"list": pa.array(lists, pa.binary()), "member": pa.array(members, pa.binary())})
+        rows = [
+            (name, k // step, names_of[k : k + step])
+            for name, names_of in found.items() for k in range(0, len(names_of), step)
+        ]
+        lists, chunks, members = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"list": pa.array(lists, pa.binary()), "chunk": pa.array(chunks, pa.int32()), "members": pa.array(members, pa.binary())})
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, names_of in zip(b.column("list").to_pylist(), b.column("members").to_pylist(), strict=True):
+                members = [names_of[k : k + 16] for k in range(0, len(names_of), 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(members), pa.binary()), pa.array(members, pa.binary())], ["list", "member"]
+                )
 
     asked = docs.select("doc_id", "text").mapInArrow(send, "part int, keys binary, owner binary, names binary, sizes binary, sketches binary")
-    lists = asked.groupBy("part").applyInArrow(meet, "list binary, member binary")
-    return cut(lists, "jaccard-lists").distinct()
+    lists = asked.groupBy("part").applyInArrow(meet, "list binary, chunk int, members binary")
+    once = cut(lists, "jaccard-lists").dropDuplicates(["list", "chunk"])
+    return once.select("list", "members").mapInArrow(spread, "list binary, member binary")
 
 
 # --- sets of candidates -----------------------------------------------------------
