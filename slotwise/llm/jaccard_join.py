@@ -23,14 +23,19 @@ batch and range, each distinct set once; a range gives the distinct lists of
 sets that share a key.  Sets with equal content have equal identity (a 128-bit
 digest), so copies are one set however many there are.
 
-*Verification.*  Of every list the first set is compared with the others (a
-star, linear in the list).  Components of the verified links are formed.  Only
-lists that still hold several components are looked at again, and only pairs
-across components are compared.  Before that, an exact bound by size and by a
-parity sketch rules pairs out (two sets differ in at least as many shingles as
-their sketches differ in bits).  So a huge group of near copies never becomes all its pairs, and no
-link between components is missed.  Shingles are compared in full as 64-bit
-hashes of their words, with word by word digests of the sets.
+*Verification.*  Every set is compared with two others first: of the sets that
+lead a list it is in, the least and the closest.  Near copies agree on the least,
+so a group becomes a star, linear in its members however many lists it is in; the
+closest stands in where the least is too far.  Components
+of the verified links are formed.  Only lists that still hold several components
+are looked at again, and only pairs across components that have not been
+compared yet: of every set its closest ones, then the rest.  Before that, an
+exact bound by size and by a parity sketch rules pairs out (two sets differ in
+at least as many shingles as their sketches differ in bits).  So a huge group of
+near copies never becomes all its pairs, and no link between components is
+missed.  Shingles are compared in full as 64-bit hashes of their words, with
+word by word digests of the sets.  Texts are read twice: for the keys, and for
+the sets of candidates, which are written once.
 
 Defined cases: null or blank text is the empty set, linked with nothing; with
 fewer words than a shingle the whole sequence is the one shingle; copies link;
@@ -262,7 +267,8 @@ def _with_partner(n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray
 
 
 def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, batch_bytes: int) -> DataFrame:
-    """(list, member): distinct lists of the identities of sets that share a key, a row per member."""
+    """(list, least, member): distinct lists of the identities of sets that share a key, a row
+    per member, each with the least member of its list."""
 
     step = 16 * LIST_CHUNK  # bytes of the names in a row
 
@@ -327,24 +333,28 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
         # A row holds LIST_CHUNK members at most; equal lists are cut alike, since their members are in order.
         # Typed, so that a range without lists is an empty table like any other.
         rows = [
-            (name, k // step, names_of[k : k + step])
+            (name, names_of[:16], k // step, names_of[k : k + step])
             for name, names_of in found.items() for k in range(0, len(names_of), step)
         ]
-        lists, chunks, members = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"list": pa.array(lists, pa.binary()), "chunk": pa.array(chunks, pa.int32()), "members": pa.array(members, pa.binary())})
+        lists, least, chunks, members = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table(
+            {"list": pa.array(lists, pa.binary()), "least": pa.array(least, pa.binary()),
+             "chunk": pa.array(chunks, pa.int32()), "members": pa.array(members, pa.binary())}
+        )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, names_of in zip(b.column("list").to_pylist(), b.column("members").to_pylist(), strict=True):
+            for name, least, names_of in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
                 members = [names_of[k : k + 16] for k in range(0, len(names_of), 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(members), pa.binary()), pa.array(members, pa.binary())], ["list", "member"]
+                    [pa.array([x] * len(members), pa.binary()) for x in (name, least)] + [pa.array(members, pa.binary())],
+                    ["list", "least", "member"],
                 )
 
     asked = docs.select("doc_id", "text").mapInArrow(send, "part int, keys binary, owner binary, names binary, sizes binary, sketches binary")
-    lists = asked.groupBy("part").applyInArrow(meet, "list binary, chunk int, members binary")
+    lists = asked.groupBy("part").applyInArrow(meet, "list binary, least binary, chunk int, members binary")
     once = cut(lists, "jaccard-lists").dropDuplicates(["list", "chunk"])
-    return once.select("list", "members").mapInArrow(spread, "list binary, member binary")
+    return once.select("list", "least", "members").mapInArrow(spread, "list binary, least binary, member binary")
 
 
 # --- sets of candidates -----------------------------------------------------------
@@ -376,60 +386,38 @@ def _bloom(members: DataFrame) -> np.ndarray:
     return out
 
 
-def describe(docs: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
-    """Every document's set: doc_id, n_shingles, name (null for the empty set) and sketch."""
+def describe(docs: DataFrame, members: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
+    """Every document's set: doc_id, n_shingles, name (null for the empty set),
+    and of a candidate also sketch and shingles (sorted 64-bit hashes).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches, batch_bytes):
-            sets = Sets(texts, shingle)
-            names = [x if n else None for x, n in zip(sets.digests(), sets.sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(sets.sizes),
-                    pa.array(names, pa.binary()),
-                    pa.array([x.tobytes() for x in sets.sketches()], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "name", "sketch"],
-            )
-
-    columns = "doc_id long, n_shingles long, name binary, sketch binary"
-    return cut(docs.select("doc_id", "text").mapInArrow(run, columns), "jaccard-described")
-
-
-def fetch_sets(docs: DataFrame, names: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
-    """(name, shingles) of the named sets, sorted 64-bit hashes.
-
-    The texts are read again and their sets made anew: a Bloom filter of fixed
-    size lets (about) the named ones through, a semi-join leaves exactly those.
-    So no text is shuffled, and of the other sets nothing is written.
+    A Bloom filter of fixed size names the candidates, so of most other sets
+    nothing but the name is written; a set is written once per batch.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_bloom(names))
+    held = docs.sparkSession.sparkContext.broadcast(_bloom(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        for _, texts in _batches(batches, batch_bytes):
+        for ids, texts in _batches(batches, batch_bytes):
             sets = Sets(texts, shingle)
             digests = sets.digests()
             maybe = sets.sizes > 0
             for at in _bloom_places(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)):
                 maybe &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-            found = {digests[k]: k for k in np.flatnonzero(maybe).tolist()}  # a set once per batch
+            first = {digests[k]: k for k in np.flatnonzero(maybe).tolist()}
+            kept = [first.get(x) == k for k, x in enumerate(digests)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(found), pa.binary()),
-                    pa.array([sets.of(k).tobytes() for k in found.values()], pa.binary()),
+                    pa.array(ids, pa.int64()),
+                    pa.array(sets.sizes),
+                    pa.array([x if n else None for x, n in zip(digests, sets.sizes, strict=True)], pa.binary()),
+                    pa.array([x.tobytes() if y else None for x, y in zip(sets.sketches(), kept, strict=True)], pa.binary()),
+                    pa.array([sets.of(k).tobytes() if y else None for k, y in enumerate(kept)], pa.binary()),
                 ],
-                ["name", "shingles"],
+                ["doc_id", "n_shingles", "name", "sketch", "shingles"],
             )
 
-    return (
-        docs.select("doc_id", "text")
-        .mapInArrow(run, "name binary, shingles binary")
-        .join(names.select(F.col("member").alias("name")), "name", "left_semi")
-        .groupBy("name")
-        .agg(F.first("shingles").alias("shingles"))
-    )
+    columns = "doc_id long, n_shingles long, name binary, sketch binary, shingles binary"
+    return cut(docs.select("doc_id", "text").mapInArrow(run, columns), "jaccard-described")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -442,7 +430,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names that sizes and sketches do not rule out."""
+    """The pairs (a, b) of set names that sizes and sketches do not rule out, with
+    the bits in which their sketches differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,12 +439,13 @@ def allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             x, y = (
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(m), -1) for c in ("x", "y")
             )
-            keep = _possible(m, n, np.bitwise_count(x ^ y).sum(axis=1), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            differing = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            rows = batch.select(["a", "b"]).append_column("differing", pa.array(differing))
+            yield rows.filter(pa.array(_possible(m, n, differing, percent)))
 
     left = info.select(F.col("name").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("x"))
     right = info.select(F.col("name").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, differing long")
 
 
 def _possible(m, n, differing: np.ndarray, percent: int) -> np.ndarray:
@@ -463,8 +453,12 @@ def _possible(m, n, differing: np.ndarray, percent: int) -> np.ndarray:
     return (small * 100 >= large * percent) & (differing * (100 + percent) <= (m + n) * (100 - percent))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, batch_bytes: int) -> DataFrame:
-    """The pairs (a, b) of set names that link: their shingles are counted in full."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names that link: their shingles are counted in full.
+
+    ``pairs`` is a written table, so the planner knows its size: a small one is
+    sent to the sets, which then are read and not shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -474,11 +468,9 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, batch_
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    names = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct()
-    sets = cut(fetch_sets(docs, names, shingle, batch_bytes), "jaccard-sets")
-    left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    left = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
+    right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")).join(pairs.select("b"), "b", "left_semi")
+    joined = left.join(right, "b").select("a", "b", "x", "y")
     return cut(joined.mapInArrow(run, "a binary, b binary"), "jaccard-links")
 
 
@@ -493,12 +485,11 @@ def _across(rows: list[dict], single: bool, percent: int, nearest: int | None) -
     kinds: dict = {}
     label = np.array([kinds.setdefault(r["label"], len(kinds)) for r in rows])
     side = np.array([r["side"] for r in rows])
-    center = np.array([r["center"] for r in rows])
     sketch = np.frombuffer(b"".join([r["sketch"] for r in rows]), np.uint64).reshape(len(rows), -1)
-    for i in np.flatnonzero(~center).tolist():
-        # Sets of other components up to the largest size that can link; the star has been compared.
+    for i in range(len(rows)):
+        # Sets of other components up to the largest size that can link.
         j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
-        j = j[(label[j] != label[i]) & ~center[j] & (single | (side[j] != side[i]))]
+        j = j[(label[j] != label[i]) & (single | (side[j] != side[i]))]
         if len(j):
             differing = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             fits = _possible(n[i], n[j], differing, percent)
@@ -521,12 +512,11 @@ def pairs_across(
     named = members.join(labels, members["member"] == labels["node"], "left").select(
         "list", "member", F.coalesce("label", "member").alias("label")
     )
-    spread = named.groupBy("list").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("member").alias("least"), F.count(F.lit(1)).alias("n")
-    )
-    # Of a list of two, the only pair has been compared.
-    mixed = spread.where("lo <> hi AND n > 2").select(
-        "list", "least", F.ceil(F.col("n") / LIST_CHUNK).cast("int").alias("chunks")
+    spread = named.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # Written, so that its size is known where it meets the members again.
+    mixed = cut(
+        spread.where("lo <> hi").select("list", F.ceil(F.col("n") / LIST_CHUNK).cast("int").alias("chunks")),
+        "jaccard-mixed",
     )
     rows = named.join(mixed, "list").join(info.withColumnRenamed("name", "member"), "member").withColumn(
         "chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
@@ -537,7 +527,6 @@ def pairs_across(
         "n_shingles",
         "sketch",
         (F.col("chunk") <= F.col("other")).alias("side"),
-        (F.col("member") == F.col("least")).alias("center"),
     )
     chunks = (
         rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -569,25 +558,30 @@ def near_duplicates(
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // range_bytes))
     members = cut(candidate_lists(docs, shingle, percent, parts, batch_bytes), "jaccard-members")
-    described = describe(docs, shingle, batch_bytes)
-    candidates = members.select(F.col("member").alias("name")).distinct()
-    info = cut(
-        described.join(candidates, "name", "left_semi")
+    described = describe(docs, members, shingle, batch_bytes)
+    sets = cut(
+        described.where("shingles IS NOT NULL")
         .groupBy("name")
-        .agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
-        "jaccard-info",
+        .agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "shingles")]),
+        "jaccard-sets",
+    )
+    info = sets.drop("shingles")
+    star = members.where("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct()
+    ends = allowed(star, info, percent).groupBy("b").agg(
+        F.min("a").alias("least"), F.min(F.struct("differing", "a"))["a"].alias("closest")
     )
-    least = members.groupBy("list").agg(F.min("member").alias("a"))
-    star = members.join(least, "list").where("member <> a").select("a", F.col("member").alias("b")).distinct()
-    star = cut(allowed(star, info, percent), "jaccard-star")
-    links = verify(star, docs, shingle, percent, batch_bytes)
+    first = ends.select(F.explode(F.array_distinct(F.array("least", "closest"))).alias("a"), "b")
+    first = cut(first, "jaccard-first")
+    links = verify(first, sets, percent)
     labels = components(links)
-    # Sets that the first of their lists did not link: their closest ones join them
-    # to their component, so that few pairs across components are left to compare.
-    close = cut(pairs_across(members, labels, info, percent, NEAREST), "jaccard-close")
-    labels = components(links.unionByName(verify(close, docs, shingle, percent, batch_bytes)))
-    across = cut(pairs_across(members, labels, info, percent), "jaccard-across")
-    more = verify(across, docs, shingle, percent, batch_bytes)
+    # Sets that their first one did not link: their closest ones join them to their
+    # component, so that few pairs across components are left to compare.
+    close = pairs_across(members, labels, info, percent, NEAREST).join(first, ["a", "b"], "left_anti")
+    close = cut(close, "jaccard-close")
+    labels = components(links.unionByName(verify(close, sets, percent)))
+    compared = first.unionByName(close)
+    across = cut(pairs_across(members, labels, info, percent).join(compared, ["a", "b"], "left_anti"), "jaccard-across")
+    more = verify(across, sets, percent)
     # Links between components, as links between their least members.
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
