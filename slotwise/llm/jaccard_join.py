@@ -26,14 +26,15 @@ digest), so copies are one set however many there are.
 *Verification.*  Every set is compared with two others first: of the sets that
 lead a list it is in, the least and the closest.  Near copies agree on the least,
 so a group becomes a star, linear in its members however many lists it is in; the
-closest stands in where the least is too far.  Components
-of the verified links are formed.  Only lists that still hold several components
-are looked at again, and only pairs across components that have not been
-compared yet: of every set its closest ones, then the rest.  Before that, an
-exact bound by size and by a parity sketch rules pairs out (two sets differ in
-at least as many shingles as their sketches differ in bits).  So a huge group of
-near copies never becomes all its pairs, and no link between components is
-missed.  Shingles are compared in full as 64-bit hashes of their words, with
+closest stands in where the least is too far.  Components of the verified links
+are formed; leaders that lie in another component come next.  Only lists that
+still hold several components are looked at again, and only pairs across
+components that have not been compared yet: of every set its closest ones, then
+the rest.  Before sets meet, an exact bound by size and by parity sketches rules
+pairs out (two sets differ in at least as many shingles as their sketches differ
+in bits): sketches of one length within lists, then such as grow with their set,
+a sixteenth to a thirty-second of its bytes.  So a huge group of near copies
+never becomes all its pairs, and no link between components is missed.  Shingles are compared in full as 64-bit hashes of their words, with
 word by word digests of the sets.  Texts are read twice: for the keys, and for
 the sets of candidates, which are written once.
 
@@ -65,6 +66,7 @@ from slotwise.llm.substring_dedup import Words, scramble
 SHINGLE, PERCENT = 5, 80
 BATCH_BYTES, RANGE_BYTES = 4 << 20, 24 << 20
 SKETCH = 512  # bits
+MOST_CELLS = 1 << 20  # of a wide sketch; a still larger set has a weaker bound
 CHANCE = 1e8  # cost of a chance match in keys, for sets by the hundred million
 NEAREST = 3  # closest sets compared before all pairs across components are
 LIST_CHUNK = 1024  # sets compared with each other in one task
@@ -225,6 +227,15 @@ class Sets:
         return np.packbits(parity.reshape(len(self.sizes), SKETCH).astype(np.uint8), axis=1).view(np.uint64)
 
 
+    def wide_sketch(self, k: int) -> bytes:
+        """Parity of a set in two to four cells a shingle, a power of two in all;
+        its parts added up give the sketch of fewer cells."""
+        h = self.of(k)
+        cells = min(MOST_CELLS, max(SKETCH, 1 << (2 * len(h) - 1).bit_length()))
+        cell = (scramble(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(40)).astype(np.int64) % cells
+        return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
 BATCH_TEXTS = 4096  # owners fit 16 bits
 
 
@@ -388,7 +399,7 @@ def _bloom(members: DataFrame) -> np.ndarray:
 
 def describe(docs: DataFrame, members: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
     """Every document's set: doc_id, n_shingles, name (null for the empty set),
-    and of a candidate also sketch and shingles (sorted 64-bit hashes).
+    and of a candidate also its sketches and shingles (sorted 64-bit hashes).
 
     A Bloom filter of fixed size names the candidates, so of most other sets
     nothing but the name is written; a set is written once per batch.
@@ -411,12 +422,13 @@ def describe(docs: DataFrame, members: DataFrame, shingle: int, batch_bytes: int
                     pa.array(sets.sizes),
                     pa.array([x if n else None for x, n in zip(digests, sets.sizes, strict=True)], pa.binary()),
                     pa.array([x.tobytes() if y else None for x, y in zip(sets.sketches(), kept, strict=True)], pa.binary()),
+                    pa.array([sets.wide_sketch(k) if y else None for k, y in enumerate(kept)], pa.binary()),
                     pa.array([sets.of(k).tobytes() if y else None for k, y in enumerate(kept)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "name", "sketch", "shingles"],
+                ["doc_id", "n_shingles", "name", "sketch", "wide", "shingles"],
             )
 
-    columns = "doc_id long, n_shingles long, name binary, sketch binary, shingles binary"
+    columns = "doc_id long, n_shingles long, name binary, sketch binary, wide binary, shingles binary"
     return cut(docs.select("doc_id", "text").mapInArrow(run, columns), "jaccard-described")
 
 
@@ -429,25 +441,38 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names that sizes and sketches do not rule out, with
-    the bits in which their sketches differ."""
+def _differing(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ, in the cells of the shorter one."""
+    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    folded = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
+    return int(np.bitwise_count(folded ^ short).sum(dtype=np.int64))
+
+
+def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names that sizes and wide sketches do not rule
+    out, with the bits in which these differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(m), -1) for c in ("x", "y")
-            )
-            differing = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            differing = np.array([_differing(x, y) for x, y in both], np.int64)
             rows = batch.select(["a", "b"]).append_column("differing", pa.array(differing))
-            yield rows.filter(pa.array(_possible(m, n, differing, percent)))
+            yield rows.filter(pa.array(_possible(m, n, differing, percent), pa.bool_()))
 
-    left = info.select(F.col("name").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("x"))
-    right = info.select(F.col("name").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("y"))
+    left = sets.select(F.col("name").alias("a"), F.col("n_shingles").alias("m"), F.col("wide").alias("x"))
+    right = sets.select(F.col("name").alias("b"), F.col("n_shingles").alias("n"), F.col("wide").alias("y"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, differing long")
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    joined = pairs.join(la, "a", "left").join(lb, "b", "left")
+    return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def _possible(m, n, differing: np.ndarray, percent: int) -> np.ndarray:
     small, large = np.minimum(m, n), np.maximum(m, n)
     return (small * 100 >= large * percent) & (differing * (100 + percent) <= (m + n) * (100 - percent))
@@ -562,26 +587,34 @@ def near_duplicates(
     sets = cut(
         described.where("shingles IS NOT NULL")
         .groupBy("name")
-        .agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "shingles")]),
+        .agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "wide", "shingles")]),
         "jaccard-sets",
     )
-    info = sets.drop("shingles")
+    info = sets.select("name", "n_shingles", "sketch")
     star = members.where("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct()
-    ends = allowed(star, info, percent).groupBy("b").agg(
+    star = cut(allowed(star, sets, percent), "jaccard-star")
+    ends = star.groupBy("b").agg(
         F.min("a").alias("least"), F.min(F.struct("differing", "a"))["a"].alias("closest")
     )
     first = ends.select(F.explode(F.array_distinct(F.array("least", "closest"))).alias("a"), "b")
     first = cut(first, "jaccard-first")
     links = verify(first, sets, percent)
     labels = components(links)
-    # Sets that their first one did not link: their closest ones join them to their
-    # component, so that few pairs across components are left to compare.
-    close = pairs_across(members, labels, info, percent, NEAREST).join(first, ["a", "b"], "left_anti")
-    close = cut(close, "jaccard-close")
+    rest = cut(apart(star.join(first, ["a", "b"], "left_anti"), labels), "jaccard-rest")
+    links = links.unionByName(verify(rest, sets, percent))
+    labels = components(links)
+    compared = first.unionByName(rest)
+
+    def left_over(nearest: int | None = None) -> DataFrame:
+        pairs = pairs_across(members, labels, info, percent, nearest).join(compared, ["a", "b"], "left_anti")
+        return allowed(pairs, sets, percent).select("a", "b")
+
+    # Sets that no leader linked: their closest ones join them to their component,
+    # so that few pairs across components are left to compare.
+    close = cut(left_over(NEAREST), "jaccard-close")
     labels = components(links.unionByName(verify(close, sets, percent)))
-    compared = first.unionByName(close)
-    across = cut(pairs_across(members, labels, info, percent).join(compared, ["a", "b"], "left_anti"), "jaccard-across")
-    more = verify(across, sets, percent)
+    compared = compared.unionByName(close)
+    more = verify(cut(left_over(), "jaccard-across"), sets, percent)
     # Links between components, as links between their least members.
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
