@@ -66,10 +66,27 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The documents that stay, with all their columns.
+    """One row of each group of equal texts, with all its columns: that of the largest (or least) id.
 
-    Rows are matched to the kept ids by document id, so ids must be unique for
-    one row per group to remain.
+    Rows are grouped by hash and bytes and carry their columns along, so every
+    distinct text is shuffled once, copies are combined before the shuffle, and
+    exactly one row of a text stays even where ids repeat.  A null id stays only
+    where the group has no other; of rows with one id the tie is broken by a
+    digest of the whole row, so reruns agree.
     """
-    kept = exact_groups(docs, keep=keep).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+    others = [_named(c) for c in docs.columns if c != "text"]
+    text = F.col("text")
+    whole = F.concat(F.to_json(F.struct(*others)), F.when(text.isNull(), "-").otherwise(F.concat(F.lit("+"), text)))
+    known = F.col("doc_id").isNotNull() if keep == "max" else F.col("doc_id").isNull()
+    rows = docs.select(
+        F.struct(*[_named(c) for c in docs.columns]).alias("row"),
+        F.struct(known.alias("known"), "doc_id", F.unhex(F.md5(whole.cast("binary"))).alias("tie")).alias("place"),
+        ascii_lower(text).alias("body"),
+    ).withColumn("h", content_hash(F.col("body")))
+    pick = F.max_by if keep == "max" else F.min_by
+    return rows.groupBy("h", "body").agg(pick("row", "place").alias("row")).select("row.*")
+
+
+def _named(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")

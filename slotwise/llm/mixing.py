@@ -69,22 +69,13 @@ def seeded_key(id_col: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
-    budget_share: float = 1.5,
-    max_epochs: float = 2.0,
-    seed: str = "mix",
-) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, epochs, taken."""
-    sized = cut(
-        docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key")
-        ).withColumn("slice", F.substring("key", 1, SLICE_DIGITS)),
-        "mix-sizes",
-    )
-    # One small row per (source, slice); everything about sources comes from it.
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+def slice_plan(slices: DataFrame, weights: tuple[float, ...], budget_share: float, max_epochs: float) -> DataFrame:
+    """What is taken where, a small row per (s_source, s_slice) of (source, slice, slice_size).
+
+    Every document is taken ``whole`` times, and once more if its slice ends at
+    or before ``extra`` words of its source; ``edge`` marks the one slice of a
+    source in which that bound falls, ``start`` the words of the slices before.
+    """
     sources = cyclic_weights(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights)
     sources = cut(sources, "mix-sources")
     targets = water_fill(sources, budget_share, max_epochs)
@@ -99,7 +90,7 @@ def mix(
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
     sp = plan.select(F.col("source").alias("s_source"), "source_size", "target", "whole", "extra")
-    starts = starts.join(sp, F.col("source").eqNullSafe(F.col("s_source"))).select(
+    return starts.join(sp, F.col("source").eqNullSafe(F.col("s_source"))).select(
         F.col("source").alias("s_source"),
         F.col("slice").alias("s_slice"),
         "source_size",
@@ -109,6 +100,30 @@ def mix(
         "start",
         ((F.col("start") < F.col("extra")) & (F.col("start") + F.col("slice_size") > F.col("extra"))).alias("edge"),
     )
+
+
+def sizes(docs: DataFrame, seed: str) -> DataFrame:
+    """(doc_id, source, size, key, slice) of every document, written once."""
+    return cut(
+        docs.select(
+            "doc_id", "source", word_count(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("key")
+        ).withColumn("slice", F.substring("key", 1, SLICE_DIGITS)),
+        "mix-sizes",
+    )
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    budget_share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, epochs, taken."""
+    sized = sizes(docs, seed)
+    # One small row per (source, slice); everything about sources comes from it.
+    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    starts = slice_plan(slices, weights, budget_share, max_epochs)
     placed = sized.join(
         starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice"))
     ).drop("s_source", "s_slice")
@@ -132,35 +147,74 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    budget_share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: whole repetitions as
     repeated rows, and for the one document a source takes in part, its first
     words up to the target (``n_chars``, where present, follows the text).
 
+    A document's slice follows from its id, so the plan of slices, a small
+    written table, is joined to the documents as they are read.  Only those of
+    an edge slice need sizes and an order; their texts stay out of it.
+
     Documents without words have nothing to take and carry no weight: one row
-    of each stays, so that nothing is lost to a size of zero.
+    of each stays, so that nothing is lost to a size of zero.  Rows that repeat
+    an id count each; in an edge slice, rows that repeat id, source and text are
+    one document as many times over.  Columns of any name are carried along.
     """
-    # Rows that repeat an id and a size share one entry of the mixture.
-    taken = (
-        mix(docs, **params)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"))
-        .agg(F.max("taken").alias("__taken"))
-    )
-    names = docs.columns
-    joined = docs.withColumn("__own", word_count(F.col("text"))).join(
-        taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size"))
-    )
-    copies = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.ceil(F.col("__taken") / F.col("__size"))).cast("int")
-    each = joined.where(copies >= 1).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))
-    partial = (F.col("__size") > 0) & (left < F.col("__size"))
-    first_words = F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")
-    out = each.withColumn("__partial", partial).withColumn(
-        "text", F.when(F.col("__partial"), first_words).otherwise(F.col("text"))
+    slices = sizes(docs, seed).groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    starts = cut(slice_plan(slices, weights, budget_share, max_epochs), "mix-starts")
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), seeded_key(F.col("doc_id"), seed).alias("key"))
+    text = F.col("row.text")
+    placed = rows.withColumn("slice", F.substring("key", 1, SLICE_DIGITS)).join(
+        starts, F.col("row.source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice"))
     )
-    if "n_chars" in names:
-        out = out.withColumn(
-            "n_chars", F.when(F.col("__partial"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    # Outside the edge slice a document is taken wholly or not at all.
+    has_words = F.coalesce(text.rlike(WORD_PATTERN), F.lit(False))
+    times = F.when(has_words, F.col("whole") + (F.col("start") < F.col("extra")).cast("bigint")).otherwise(1)
+    rest = placed.where("NOT edge").withColumn("times", times).where("times >= 1")
+    rest = rest.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row")
+
+    edge = placed.where("edge").select(
+        "row", "key", "start", "whole", "extra",
+        F.col("row.source").alias("source"), "slice", F.col("row.doc_id").alias("doc_id"),
+        word_count(text).alias("size"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"),
+    )
+    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "digest")
+    words = F.col("n") * F.col("size")
+    ahead = F.col("start") + F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - words
+    amounts = (
+        edge.groupBy("source", "slice", "key", "doc_id", "size", "digest", "start", "whole", "extra")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("ahead", ahead)
+        .select(
+            F.col("source").alias("a_source"), F.col("doc_id").alias("a_id"), F.col("digest").alias("a_digest"), "n",
+            (F.col("whole") * words + F.greatest(F.lit(0), F.least(words, F.col("extra") - F.col("ahead")))).alias("taken"),
+        )
+    )
+    once = edge.dropDuplicates(["source", "doc_id", "digest"]).select("row", "source", "doc_id", "digest", "size")
+    copies = F.when(F.col("size") == 0, F.col("n")).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    each = (
+        once.join(
+            amounts,
+            F.col("source").eqNullSafe(F.col("a_source"))
+            & F.col("doc_id").eqNullSafe(F.col("a_id"))
+            & (F.col("digest") == F.col("a_digest")),
         )
-    return out.select(*names)
+        .where(copies >= 1)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    )
+    left = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    partial = (F.col("size") > 0) & (left < F.col("size"))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    row = F.col("row").withField("text", F.when(partial, first_words).otherwise(text))
+    if "n_chars" in docs.columns:
+        shorter = F.length(first_words).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(partial, shorter).otherwise(F.col("row.n_chars")))
+    return rest.unionByName(each.select(row.alias("row"))).select("row.*")

@@ -185,3 +185,16 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, 5: 5} | {100 + i: 100 for i in range(41)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_exact_dedup_keeps_one_row_of_a_text_whatever_its_ids(docs_of):
+    rows = [(1, "a"), (1, "A"), (1, "b"), (2, "b"), (None, "c"), (3, "c"), (None, "d"), (None, "D"), (4, None), (5, "")]
+    for keep, want in (("max", [(1, "a"), (2, "b"), (3, "c"), (None, "d"), (5, "")]),
+                       ("min", [(1, "a"), (1, "b"), (3, "c"), (None, "d"), (4, "")])):
+        docs = docs_of(rows, extra=True).withColumn("a.b`c", F.lit(1))
+        got = exact_dedup.drop_exact_copies(docs, keep=keep)
+        assert got.columns == docs.columns
+        kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect())
+        assert kept == sorted((d or 0, t) for d, t in want)
+    text = "x" * 3_000_000
+    assert exact_dedup.drop_exact_copies(docs_of([(1, text), (2, text.upper()), (3, text + "y")])).count() == 2

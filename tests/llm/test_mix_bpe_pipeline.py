@@ -48,6 +48,23 @@ def test_mixed_documents(docs_of, sourced):
     assert {d: n for d, n in words.items() if n} == {d: v[3] for d, v in brute.mixture(sourced).items() if v[3]}
 
 
+def test_mixed_documents_repeated_ids_clashing_names_and_long_texts(docs_of):
+    # The source's target is 1.5 times its words: rows that repeat an id count each.
+    rows = [(7, "a b c d", "s"), (7, "e f g h", "s"), (7, "a b c d", "s"), (8, "w " * 100, "s"), (9, None, "s"), (9, "", "s")]
+    docs = docs_of(rows, extra=True)
+    for name in ("__id", "__size", "__taken", "__copy", "row", "key", "n", "copy", "edge", "start", "a.b"):
+        docs = docs.withColumn(name, F.lit(1))
+    for seed in ("mix", "1", "2", "3"):
+        out = mixing.mixed_documents(docs, seed=seed)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sum(len((r.text or "").split()) for r in got) == 168  # of 112 words
+        assert sum(r.doc_id == 9 for r in got) == 2
+        assert all(r.n_chars == len(r.text or "") for r in got)
+    long = docs_of([(1, "w " * 400_000, "s"), (2, "v " * 1000, "s")])
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(long).collect()) == 601_500
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return byte_bpe.load(P.path(BPE_VOCABULARY), P.PATTERN)
