@@ -64,7 +64,7 @@ from slotwise.llm.components import components
 from slotwise.llm.substring_dedup import Words, scramble
 
 SHINGLE, PERCENT = 5, 80
-BATCH_BYTES, RANGE_BYTES = 4 << 20, 24 << 20
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
 SKETCH = 512  # bits
 MOST_CELLS = 1 << 20  # of a wide sketch; a still larger set has a weaker bound
 CHANCE = 1e8  # cost of a chance match in keys, for sets by the hundred million
@@ -239,6 +239,11 @@ class Sets:
 BATCH_TEXTS = 4096  # owners fit 16 bits
 
 
+def _arrays(column: pa.Array | pa.ChunkedArray, dtype) -> Iterator[np.ndarray]:
+    """The values of a binary column as arrays over Arrow's own memory, one at a time."""
+    return (np.frombuffer(x.as_buffer(), dtype) for x in column)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts) of about ``limit`` bytes, at most ``BATCH_TEXTS`` of them."""
     ids, texts, size = [], [], 0
@@ -307,17 +312,16 @@ def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, bat
                     )
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = {c: table.column(c).to_pylist() for c in table.column_names}
-        names = [np.frombuffer(x, "V16") for x in rows["names"]]
+        rows = {c: table.column(c) for c in table.column_names}
+        names = list(_arrays(rows["names"], "V16"))
         every, which, index = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-        n_shingles = np.concatenate([np.frombuffer(x, np.int64) for x in rows["sizes"]])[which]
-        sketch = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, HALF // 64) for x in rows["sketches"]])[which]
+        n_shingles = np.concatenate(list(_arrays(rows["sizes"], np.int64)))[which]
+        sketch = np.concatenate([x.reshape(-1, HALF // 64) for x in _arrays(rows["sketches"], np.uint64)])[which]
         offset = np.cumsum([0, *map(len, names)])
-        owner = np.concatenate(
-            [index[np.frombuffer(x, np.uint16).astype(np.int64) + o] for x, o in zip(rows["owner"], offset, strict=False)]
-        )
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
-        owner = owner.astype(np.int32)
+        index = index.astype(np.int32)
+        owners = zip(_arrays(rows["owner"], np.uint16), offset, strict=False)
+        owner = np.concatenate([index[x.astype(np.int64) + o] for x, o in owners])
+        key = np.concatenate(list(_arrays(rows["keys"], np.uint64)))
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         new = np.ones(len(key), bool)
@@ -441,9 +445,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _differing(x: bytes, y: bytes) -> int:
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two wide sketches differ, in the cells of the shorter one."""
-    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    short, long = sorted((x, y), key=len)
     folded = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
     return int(np.bitwise_count(folded ^ short).sum(dtype=np.int64))
 
@@ -455,14 +459,15 @@ def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
-            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            both = zip(_arrays(batch.column("x"), np.uint64), _arrays(batch.column("y"), np.uint64), strict=True)
             differing = np.array([_differing(x, y) for x, y in both], np.int64)
             rows = batch.select(["a", "b"]).append_column("differing", pa.array(differing))
             yield rows.filter(pa.array(_possible(m, n, differing, percent), pa.bool_()))
 
     left = sets.select(F.col("name").alias("a"), F.col("n_shingles").alias("m"), F.col("wide").alias("x"))
     right = sets.select(F.col("name").alias("b"), F.col("n_shingles").alias("n"), F.col("wide").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, differing long")
+    close = F.least("m", "n") * 100 >= F.greatest("m", "n") * percent
+    return pairs.join(left, "a").join(right, "b").where(close).mapInArrow(run, "a binary, b binary, differing long")
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -487,10 +492,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            ]
+            both = zip(_arrays(batch.column("x"), np.uint64), _arrays(batch.column("y"), np.uint64), strict=True)
+            keep = [linked(x, y, percent) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
