@@ -103,9 +103,12 @@ def _nearest(rows: DataFrame, keys: list[str], values: dict[str, Column], later:
     pick = F.min if later else F.max
     part = F.floor(F.col("p") / SLICE).alias("_slice")
     sliced = rows.select("*", part, *[v.alias(f"_v_{n}") for n, v in values.items()])
-    span = (1, Window.unboundedFollowing) if later else (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "_slice").orderBy("p").rangeBetween(*span)
-    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(*span)
+    # Later rows come first in a descending order: a frame that grows is added up
+    # row by row, one that shrinks would be gone through anew for each row.
+    span = (Window.unboundedPreceding, -1)
+    order = F.desc if later else F.asc
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order("p")).rangeBetween(*span)
+    across = Window.partitionBy(*keys).orderBy(order("_slice")).rowsBetween(*span)
     here = sliced.select("*", *[pick(f"_v_{n}").over(inside).alias(f"_in_{n}") for n in values])
     ends = sliced.groupBy(*keys, "_slice").agg(*[pick(f"_v_{n}").alias(f"_e_{n}") for n in values])
     ends = ends.select(*keys, "_slice", *[pick(f"_e_{n}").over(across).alias(f"_out_{n}") for n in values])
@@ -169,7 +172,8 @@ def _entries(messages: DataFrame, sessions: DataFrame | None) -> DataFrame:
 def _choose(asked: DataFrame, numbers: DataFrame, options: DataFrame, on: list[str], pick: str, at: str) -> DataFrame:
     """(phone, seg, node, ``at``, ``pick``) of ``asked`` (phone, seg, node, p, ...): the first later message whose number is an option.
 
-    A question is compared with the numbers that its segment holds and its
+    For menus of a bounded length, which are joined whole to each question.  A
+    question is compared with the numbers that its segment holds and its
     menu lists; each such (segment, number) is one sequence of positions.
     """
     segment = ["phone", "seg"]
@@ -185,6 +189,22 @@ def _choose(asked: DataFrame, numbers: DataFrame, options: DataFrame, on: list[s
     return chosen.select(*segment, "node", F.col("c.next").alias(at), F.col(f"c.{pick}").alias(pick))
 
 
+def _choose_listed(asked: DataFrame, numbers: DataFrame, options: DataFrame, on: list[str], pick: str, at: str) -> DataFrame:
+    """As :func:`_choose`, for few menus of any length (the doctors of a department).
+
+    No menu is joined to a question: what a segment asks about meets the
+    numbers it holds, and only these pairs are looked up.  Each (segment, what
+    is asked) is one sequence of the numbers that its menu lists.
+    """
+    segment = ["phone", "seg"]
+    about = asked.select(*segment, *on).distinct()
+    listed = about.join(numbers.select(*segment, "k").distinct(), segment).join(options.select(*on, "k", pick), [*on, "k"])
+    hits = numbers.join(listed, [*segment, "k"]).select(*segment, *on, "p", F.struct("p", pick).alias("hit"))
+    rows = hits.unionByName(asked.select(*segment, *on, "p", "node"), allowMissingColumns=True)
+    found = first_after(rows, [*segment, *on], c=F.col("hit")).where("node IS NOT NULL AND c IS NOT NULL")
+    return found.select(*segment, "node", F.col("c.p").alias(at), F.col(f"c.{pick}").alias(pick))
+
+
 def _nodes(rows: DataFrame, entries: DataFrame, menus: dict[str, DataFrame]) -> DataFrame:
     """Every possible dialogue: from its department, or from an entry inside it, to the next one.
 
@@ -202,16 +222,16 @@ def _nodes(rows: DataFrame, entries: DataFrame, menus: dict[str, DataFrame]) ->
     )
     nodes = said.unionByName(entry)
     levels = (
-        ("choose_doctor", ["dept"], "doctor_id", "q_doctor", menus["doctors"].where("open")),
-        ("choose_date", ["doctor_id"], "date", "q_date", menus["dates"].where("open")),
-        ("choose_slot", ["doctor_id", "date"], "slot", "q_slot", menus["slots"]),
+        ("choose_doctor", _choose_listed, ["dept"], "doctor_id", "q_doctor", menus["doctors"].where("open")),
+        ("choose_date", _choose, ["doctor_id"], "date", "q_date", menus["dates"].where("open")),
+        ("choose_slot", _choose, ["doctor_id", "date"], "slot", "q_slot", menus["slots"]),
     )
     nodes = nodes.withColumn("p", F.when(F.col("step") == "choose_doctor", F.col("node")))
     following = dict(zip(("choose_doctor", "choose_date", "choose_slot"), ("choose_date", "choose_slot", "confirm_name"), strict=True))
-    for step, on, pick, at, options in levels:
+    for step, choose, on, pick, at, options in levels:
         # Written, since the next level asks it twice.
         nodes = _written(nodes, f"nodes-{pick}")
-        picked = _choose(nodes.where("p IS NOT NULL"), numbers, options, on, pick, at)
+        picked = choose(nodes.where("p IS NOT NULL"), numbers, options, on, pick, at)
         found = nodes.drop("p").withColumnRenamed(pick, "_given").join(picked, [*segment, "node"], "left")
         nodes = found.withColumn(pick, F.coalesce(pick, "_given")).drop("_given")
         nodes = nodes.withColumn("p", F.coalesce(at, F.when(F.col("step") == following[step], F.col("node"))))
