@@ -19,7 +19,9 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 # Python's str.strip() removes every Unicode white-space character and the
 # four ASCII information separators; Spark's trim() only removes spaces.
-_STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Named one by one: btrim looks at the ends of a text, a pattern at all of it.
+_STRIPPED = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # A "word" for title-casing is a run of cased letters.
 _TITLE_TOKENS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
 
@@ -30,7 +32,7 @@ def col_(c: Column | str) -> Column:
 
 def py_strip(c: Column | str) -> Column:
     """Whitespace strip with Python ``str.strip()`` semantics."""
-    return F.regexp_replace(col_(c), _STRIP_PATTERN, "")
+    return F.btrim(col_(c), F.lit(_STRIPPED))
 
 
 def ascii_lower(c: Column | str) -> Column:
