@@ -20,8 +20,11 @@ lost.
 
 *Candidates.*  Batches of documents send packed keys to hash ranges, a row per
 batch and range, each distinct set once; a range gives the distinct lists of
-sets that share a key.  Sets with equal content have equal identity (a 128-bit
-digest), so copies are one set however many there are.
+sets that share a key.  In a range a key is 40 bits (a chance match costs one
+comparison) and a set its identity, 64 bits of a digest of its shingles, so
+copies are one set however many there are; of 15 million sets, two have the same
+identity with odds of 1 to 160,000.  Size and sketch of a set are sent once, to
+the range that its identity lies in, not with its keys.
 
 *Verification.*  Every set is compared with two others first: of the sets that
 lead a list it is in, the least and the closest.  Near copies agree on the least,
@@ -32,11 +35,12 @@ still hold several components are looked at again, and only pairs across
 components that have not been compared yet: of every set its closest ones, then
 the rest.  Before sets meet, an exact bound by size and by parity sketches rules
 pairs out (two sets differ in at least as many shingles as their sketches differ
-in bits): sketches of one length within lists, then such as grow with their set,
-a sixteenth to a thirty-second of its bytes.  So a huge group of near copies
-never becomes all its pairs, and no link between components is missed.  Shingles are compared in full as 64-bit hashes of their words, with
-word by word digests of the sets.  Texts are read twice: for the keys, and for
-the sets of candidates, which are written once.
+in bits).  Sketches grow with their set, one to two bits a shingle; within lists
+they are at most ``SKETCH`` bits.  Sets that no such pair is left of are no
+candidates, so their shingles are never written.  So a huge group of near copies
+never becomes all its pairs, and no link between components is missed.  Shingles
+are compared in full as 64-bit hashes of their words.  Texts are read twice: for
+the keys, and for the sets of candidates, which are written once.
 
 Defined cases: null or blank text is the empty set, linked with nothing; with
 fewer words than a shingle the whole sequence is the one shingle; copies link;
@@ -64,8 +68,8 @@ from slotwise.llm.components import components
 from slotwise.llm.substring_dedup import Words, scramble
 
 SHINGLE, PERCENT = 5, 80
-BATCH_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
-SKETCH = 512  # bits
+BATCH_BYTES, RANGE_BYTES = 2 << 20, 16 << 20
+SKETCH = 2048  # most bits of a sketch within lists
 MOST_CELLS = 1 << 20  # of a wide sketch; a still larger set has a weaker bound
 CHANCE = 1e8  # cost of a chance match in keys, for sets by the hundred million
 NEAREST = 3  # closest sets compared before all pairs across components are
@@ -161,8 +165,10 @@ class Sets:
     def of(self, k: int) -> np.ndarray:
         return self.h[self.ends[k] - self.sizes[k] : self.ends[k]]
 
-    def digests(self) -> list[bytes]:
-        return [hashlib.blake2b(self.of(k).tobytes(), digest_size=16).digest() for k in range(len(self.sizes))]
+    def ids(self) -> np.ndarray:
+        """Identities: 64 bits of a digest of the shingles."""
+        digests = [hashlib.blake2b(self.of(k).tobytes(), digest_size=8).digest() for k in range(len(self.sizes))]
+        return np.frombuffer(b"".join(digests), np.int64)
 
     def keys(self, percent: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signature keys of the chosen sets and the set of each."""
@@ -220,22 +226,26 @@ class Sets:
             keys.append(scramble((total[slot[near]] - token[near]) ^ name[slot[near]]))
             owner.append(who[slot[near]])
 
-    def sketches(self) -> np.ndarray:
-        """Parity of the set in each of ``SKETCH`` hashed cells, as 64-bit words."""
-        cell = (scramble(self.h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(40)).astype(np.int64) % SKETCH
-        parity = np.bincount(self.doc * SKETCH + cell, minlength=len(self.sizes) * SKETCH) & 1
-        return np.packbits(parity.reshape(len(self.sizes), SKETCH).astype(np.uint8), axis=1).view(np.uint64)
-
-
-    def wide_sketch(self, k: int) -> bytes:
-        """Parity of a set in two to four cells a shingle, a power of two in all;
-        its parts added up give the sketch of fewer cells."""
+    def sketch(self, k: int) -> bytes:
+        """Parity of a set in each of its hashed cells."""
         h = self.of(k)
-        cells = min(MOST_CELLS, max(SKETCH, 1 << (2 * len(h) - 1).bit_length()))
+        cells = 8 * int(sketch_bytes(len(h)))
         cell = (scramble(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(40)).astype(np.int64) % cells
         return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).tobytes()
 
 
+def sketch_bytes(n) -> np.ndarray:
+    """Length of the sketches of sets of ``n`` shingles: one to two cells a shingle, a power
+    of two in all; the parts of a sketch added up give the sketch of fewer cells."""
+    n = np.maximum(np.asarray(n, np.int64), 1)
+    return np.clip(1 << np.ceil(np.log2(n)).astype(np.int64), 64, MOST_CELLS) // 8
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of 64-bit words brought to fewer of them."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0) if len(sketch) > words else sketch
+
+
 BATCH_TEXTS = 4096  # owners fit 16 bits
 
 
@@ -263,177 +273,179 @@ def _batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[li
 # --- candidate lists ------------------------------------------------------------
 
 
-# Lists up to this length are pruned pair by pair where they are made.
-PRUNED_LIST = 512
-HALF = SKETCH // 2
-
-
-def _folded(sketch: np.ndarray) -> np.ndarray:
-    """Parity sketches of half the cells: the two halves of a sketch, added."""
-    words = SKETCH // 64
-    return sketch[:, : words // 2] ^ sketch[:, words // 2 :]
-
-
-def _with_partner(n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """Whether each set of a list may link with another one of it, by size and sketch."""
-    differing = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
-    possible = _possible(n[:, None], n[None, :], differing, percent)
-    np.fill_diagonal(possible, False)
-    return possible.any(axis=1)
-
-
-def candidate_lists(docs: DataFrame, shingle: int, percent: int, parts: int, batch_bytes: int) -> DataFrame:
-    """(list, least, member): distinct lists of the identities of sets that share a key, a row
-    per member, each with the least member of its list."""
-
-    step = 16 * LIST_CHUNK  # bytes of the names in a row
+def questions(docs: DataFrame, shingle: int, percent: int, parts: int, batch_bytes: int) -> DataFrame:
+    """What batches of documents send the hash ranges: keys with the identities of their sets,
+    and size and sketch of each set whose identity lies in the range."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _batches(batches, batch_bytes):
             sets = Sets(texts, shingle)
-            names = np.array(sets.digests(), "S16").view("V16") if texts else np.zeros(0, "V16")
-            _, first = np.unique(names, return_index=True)  # a set once per batch
-            key, owner = sets.keys(percent, np.sort(first[sets.sizes[first] > 0]))
+            ids = sets.ids()
+            _, first = np.unique(ids, return_index=True)  # a set once per batch
+            chosen = np.sort(first[sets.sizes[first] > 0])
+            key, owner = sets.keys(percent, chosen)
             order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
             bounds = B.range_bounds(key, parts)
-            half = _folded(sets.sketches())
+            home = B.range_of(ids[chosen].view(np.uint64), parts)
+            chosen = chosen[np.argsort(home, kind="stable")]
+            homes = np.searchsorted(np.sort(home), np.arange(parts + 1))
             for p in range(parts):
                 lo, hi = bounds[p], bounds[p + 1]
-                if lo < hi:
+                mine = chosen[homes[p] : homes[p + 1]]
+                if lo < hi or len(mine):
                     here, index = np.unique(owner[lo:hi], return_inverse=True)
+                    high = (key[lo:hi] >> np.uint64(32)).astype(np.uint8)
+                    row = {
+                        "keys": key[lo:hi].astype(np.uint32), "high": high, "owner": index.astype(np.uint16), "ids": ids[here],
+                        "own": ids[mine], "sizes": sets.sizes[mine].astype(np.int64),
+                        "sketches": np.frombuffer(b"".join([sets.sketch(k) for k in mine.tolist()]), np.uint8),
+                    }
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p], pa.int32()), pa.array([key[lo:hi].tobytes()], pa.binary()),
-                         pa.array([index.astype(np.uint16).tobytes()], pa.binary()),
-                         pa.array([names[here].tobytes()], pa.binary()),
-                         pa.array([sets.sizes[here].astype(np.int64).tobytes()], pa.binary()),
-                         pa.array([half[here].tobytes()], pa.binary())],
-                        ["part", "keys", "owner", "names", "sizes", "sketches"],
-                    )
+                        [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in row.values())],
+                        ["part", *row],
+                    )
+
+    columns = "part int, keys binary, high binary, owner binary, ids binary, own binary, sizes binary, sketches binary"
+    return docs.select("doc_id", "text").mapInArrow(send, columns)
+
+
+def candidate_lists(
+    docs: DataFrame, shingle: int, percent: int, parts: int, batch_bytes: int
+) -> tuple[DataFrame, DataFrame]:
+    """(list, chunk, least, n, members): distinct lists of the identities of sets that share a
+    key, ``LIST_CHUNK`` members a row at most, with the least and the number of all of them;
+    and (id, n_shingles, sketch, wide) of every set, ``sketch`` being the one used within lists."""
 
     def meet(table: pa.Table) -> pa.Table:
         rows = {c: table.column(c) for c in table.column_names}
-        names = list(_arrays(rows["names"], "V16"))
-        every, which, index = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-        n_shingles = np.concatenate(list(_arrays(rows["sizes"], np.int64)))[which]
-        sketch = np.concatenate([x.reshape(-1, HALF // 64) for x in _arrays(rows["sketches"], np.uint64)])[which]
-        offset = np.cumsum([0, *map(len, names)])
+        ids = list(_arrays(rows["ids"], np.int64))
+        every, index = np.unique(np.concatenate(ids), return_inverse=True)
+        offset = np.cumsum([0, *map(len, ids)])
         index = index.astype(np.int32)
         owners = zip(_arrays(rows["owner"], np.uint16), offset, strict=False)
         owner = np.concatenate([index[x.astype(np.int64) + o] for x, o in owners])
-        key = np.concatenate(list(_arrays(rows["keys"], np.uint64)))
+        key = np.concatenate(list(_arrays(rows["high"], np.uint8))).astype(np.uint64) << np.uint64(32)
+        key |= np.concatenate(list(_arrays(rows["keys"], np.uint32)))
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
         key, owner = key[new], owner[new]
         del order, new
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(key)))
         # Lists of equal members are one; a list is named by two sums of its members' hashes.
-        member = np.frombuffer(every.tobytes(), np.uint64).reshape(-1, 2)
-        label = np.stack([np.add.reduceat(scramble(member[:, k])[owner], start) for k in (0, 1)], axis=1)
-        label = np.ascontiguousarray(label).view("V16").ravel()
         many = np.flatnonzero(size > 1)
-        _, first = np.unique(label[many], return_index=True)
-        # Members that no other member can link with leave the list.
-        found: dict[bytes, bytes] = {}
-        for s, n in zip(start[many[first]].tolist(), size[many[first]].tolist(), strict=True):
-            member_of = owner[s : s + n]
-            if n <= PRUNED_LIST:
-                member_of = member_of[_with_partner(n_shingles[member_of], sketch[member_of], percent)]
-            if len(member_of) > 1:
-                names_of = every[member_of].tobytes()
-                found[hashlib.blake2b(names_of, digest_size=16).digest()] = names_of
+        found: dict[bytes, np.ndarray] = {}
+        if len(many):
+            member = every.view(np.uint64)
+            sums = [np.add.reduceat(scramble(member ^ np.uint64(k))[owner], start) for k in (0, 0x5BD1E995)]
+            label = np.ascontiguousarray(np.stack(sums, axis=1)).view("V16").ravel()
+            _, first = np.unique(label[many], return_index=True)
+            for s, n in zip(start[many[first]].tolist(), size[many[first]].tolist(), strict=True):
+                members = every[owner[s : s + n]]
+                found[hashlib.blake2b(members.tobytes(), digest_size=16).digest()] = members
         # A row holds LIST_CHUNK members at most; equal lists are cut alike, since their members are in order.
-        # Typed, so that a range without lists is an empty table like any other.
-        rows = [
-            (name, names_of[:16], k // step, names_of[k : k + step])
-            for name, names_of in found.items() for k in range(0, len(names_of), step)
+        lists = [
+            (name, k // LIST_CHUNK, int(members[0]), len(members), members[k : k + LIST_CHUNK])
+            for name, members in found.items() for k in range(0, len(members), LIST_CHUNK)
         ]
-        lists, least, chunks, members = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table(
-            {"list": pa.array(lists, pa.binary()), "least": pa.array(least, pa.binary()),
-             "chunk": pa.array(chunks, pa.int32()), "members": pa.array(members, pa.binary())}
-        )
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, least, names_of in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
-                members = [names_of[k : k + 16] for k in range(0, len(names_of), 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * len(members), pa.binary()) for x in (name, least)] + [pa.array(members, pa.binary())],
-                    ["list", "least", "member"],
-                )
-
-    asked = docs.select("doc_id", "text").mapInArrow(send, "part int, keys binary, owner binary, names binary, sizes binary, sketches binary")
-    lists = asked.groupBy("part").applyInArrow(meet, "list binary, least binary, chunk int, members binary")
-    once = cut(lists, "jaccard-lists").dropDuplicates(["list", "chunk"])
-    return once.select("list", "least", "members").mapInArrow(spread, "list binary, least binary, member binary")
+        known = [np.concatenate(list(_arrays(rows[c], np.int64))) for c in ("own", "sizes")]
+        wide = b"".join(x.as_py() for x in rows["sketches"])
+        length = sketch_bytes(known[1])
+        begin = np.cumsum(length) - length
+        own, which = np.unique(known[0], return_index=True)
+        sketches = [wide[b : b + n] for b, n in zip(begin[which].tolist(), length[which].tolist(), strict=True)]
+        short = [folded(np.frombuffer(x, np.uint64), SKETCH // 64).tobytes() for x in sketches]
+        # Typed, so that a range without lists is a table like any other.
+        none, no_set = [None] * len(own), [None] * len(lists)
+        columns = list(zip(*lists, strict=True)) if lists else [()] * 5
+        types = {"list": pa.binary(), "chunk": pa.int32(), "least": pa.int64(), "n": pa.int64(), "members": pa.list_(pa.int64())}
+        out = {c: pa.array([*x, *none], t) for (c, t), x in zip(types.items(), columns, strict=True)}
+        out |= {"id": pa.array([*no_set, *own.tolist()], pa.int64()), "n_shingles": pa.array([*no_set, *known[1][which].tolist()], pa.int64())}
+        out |= {c: pa.array([*no_set, *x], pa.binary()) for c, x in (("sketch", short), ("wide", sketches))}
+        return pa.table(out)
+
+    schema = "list binary, chunk int, least long, n long, members array<long>, id long, n_shingles long, sketch binary, wide binary"
+    asked = questions(docs, shingle, percent, parts, batch_bytes)
+    both = cut(asked.groupBy("part").applyInArrow(meet, schema), "jaccard-ranges")
+    lists = both.where("list IS NOT NULL").select("list", "chunk", "least", "n", "members").dropDuplicates(["list", "chunk"])
+    return cut(lists, "jaccard-lists"), both.where("id IS NOT NULL").select("id", "n_shingles", "sketch", "wide")
 
 
 # --- sets of candidates -----------------------------------------------------------
 
 
-def _bloom_places(name: np.ndarray) -> list[np.ndarray]:
-    """Three bit positions of 128-bit identities (n x 2 words)."""
-    a, b = name[:, 0], name[:, 1] | np.uint64(1)
+def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
+    """Three bit positions of identities."""
+    a = ids.view(np.uint64)
+    b = scramble(a) | np.uint64(1)
     return [(scramble(a + np.uint64(k) * b) % np.uint64(BLOOM_WORDS * 64)).astype(np.int64) for k in range(3)]
 
 
-def _bloom(members: DataFrame) -> np.ndarray:
-    """Bloom filter of the candidate sets; its size is fixed."""
+def _bloom(candidates: DataFrame) -> np.ndarray:
+    """Bloom filter of the candidate sets (id, once each); its size is fixed."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name = np.frombuffer(b"".join(b.column("member").to_pylist()), np.uint64).reshape(-1, 2)
-            at = np.unique(np.concatenate(_bloom_places(name)))
+            at = np.unique(np.concatenate(_bloom_places(b.column("id").to_numpy())))
             word, first = np.unique(at >> 6, return_index=True)
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(word), pa.array(value.astype(np.int64))], ["word", "value"]
             )
 
-    rows = members.mapInArrow(bits, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+    rows = candidates.mapInArrow(bits, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
     out = np.zeros(BLOOM_WORDS, np.uint64)
     got = rows.toArrow()  # at most BLOOM_WORDS rows
     out[got["word"].to_numpy()] = got["value"].to_numpy().astype(np.uint64)
     return out
 
 
-def describe(docs: DataFrame, members: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
-    """Every document's set: doc_id, n_shingles, name (null for the empty set),
-    and of a candidate also its sketches and shingles (sorted 64-bit hashes).
+def describe(docs: DataFrame, candidates: DataFrame, shingle: int, batch_bytes: int) -> DataFrame:
+    """Every document's set: doc_id, n_shingles, id (null for the empty set), the row's
+    number, and of a candidate also its shingles (sorted 64-bit hashes).
 
     A Bloom filter of fixed size names the candidates, so of most other sets
-    nothing but the name is written; a set is written once per batch.
+    nothing but the identity is written; a set is written once per batch.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_bloom(members))
+    held = docs.sparkSession.sparkContext.broadcast(_bloom(candidates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        for ids, texts in _batches(batches, batch_bytes):
+        for doc_ids, texts in _batches(batches, batch_bytes):
             sets = Sets(texts, shingle)
-            digests = sets.digests()
+            ids = sets.ids()
             maybe = sets.sizes > 0
-            for at in _bloom_places(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)):
+            for at in _bloom_places(ids):
                 maybe &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-            first = {digests[k]: k for k in np.flatnonzero(maybe).tolist()}
-            kept = [first.get(x) == k for k, x in enumerate(digests)]
+            kept = np.zeros(len(ids), bool)
+            kept[np.unique(ids, return_index=True)[1]] = True
+            kept &= maybe
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
+                    pa.array(doc_ids, pa.int64()),
                     pa.array(sets.sizes),
-                    pa.array([x if n else None for x, n in zip(digests, sets.sizes, strict=True)], pa.binary()),
-                    pa.array([x.tobytes() if y else None for x, y in zip(sets.sketches(), kept, strict=True)], pa.binary()),
-                    pa.array([sets.wide_sketch(k) if y else None for k, y in enumerate(kept)], pa.binary()),
+                    pa.array(ids, mask=sets.sizes == 0),
                     pa.array([sets.of(k).tobytes() if y else None for k, y in enumerate(kept)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "name", "sketch", "wide", "shingles"],
+                ["doc_id", "n_shingles", "id", "shingles"],
             )
 
-    columns = "doc_id long, n_shingles long, name binary, sketch binary, wide binary, shingles binary"
-    return cut(docs.select("doc_id", "text").mapInArrow(run, columns), "jaccard-described")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, id long, shingles binary")
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()), "jaccard-described")
+
+
+def written_sets(described: DataFrame) -> DataFrame:
+    """(id, shingles) of the written sets, each once: of rows with one identity the first.
+
+    Only the numbers of the other rows are moved; the shingles stay where they are.
+    """
+    rows = described.where("shingles IS NOT NULL")
+    first = rows.groupBy("id").agg(F.min("row").alias("first"), F.collect_list("row").alias("rows"))
+    more = first.where(F.size("rows") > 1).select("first", F.explode("rows").alias("row")).where("row <> first")
+    return rows.join(cut(more.select("row"), "jaccard-copies"), "row", "left_anti").select("id", "shingles")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -446,15 +458,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _differing(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits in which two wide sketches differ, in the cells of the shorter one."""
-    short, long = sorted((x, y), key=len)
-    folded = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
-    return int(np.bitwise_count(folded ^ short).sum(dtype=np.int64))
+    """Bits in which two sketches differ, in the cells of the shorter one."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64))
 
 
-def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names that sizes and wide sketches do not rule
-    out, with the bits in which these differ."""
+def allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that sizes and wide sketches do not rule out,
+    with the bits in which these differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,10 +475,10 @@ def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rows = batch.select(["a", "b"]).append_column("differing", pa.array(differing))
             yield rows.filter(pa.array(_possible(m, n, differing, percent), pa.bool_()))
 
-    left = sets.select(F.col("name").alias("a"), F.col("n_shingles").alias("m"), F.col("wide").alias("x"))
-    right = sets.select(F.col("name").alias("b"), F.col("n_shingles").alias("n"), F.col("wide").alias("y"))
+    left = info.select(F.col("id").alias("a"), F.col("n_shingles").alias("m"), F.col("wide").alias("x"))
+    right = info.select(F.col("id").alias("b"), F.col("n_shingles").alias("n"), F.col("wide").alias("y"))
     close = F.least("m", "n") * 100 >= F.greatest("m", "n") * percent
-    return pairs.join(left, "a").join(right, "b").where(close).mapInArrow(run, "a binary, b binary, differing long")
+    return pairs.join(left, "a").join(right, "b").where(close).mapInArrow(run, "a long, b long, differing long")
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -484,7 +495,7 @@ def _possible(m, n, differing: np.ndarray, percent: int) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names that link: their shingles are counted in full.
+    """The pairs (a, b) of sets that link: their shingles are counted in full.
 
     ``pairs`` is a written table, so the planner knows its size: a small one is
     sent to the sets, which then are read and not shuffled.
@@ -496,43 +507,60 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(x, y, percent) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
-    right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")).join(pairs.select("b"), "b", "left_semi")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(pairs.select("b"), "b", "left_semi")
     joined = left.join(right, "b").select("a", "b", "x", "y")
-    return cut(joined.mapInArrow(run, "a binary, b binary"), "jaccard-links")
+    return cut(joined.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
 # --- lists with several components ---------------------------------------------------
 
 
-def _across(rows: list[dict], single: bool, percent: int, nearest: int | None) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of one list chunk (or of two) in different components that size
-    and sketch allow; with ``nearest``, of each set only so many of the closest."""
-    rows.sort(key=lambda r: (r["n_shingles"], r["name"]))
-    n = np.array([r["n_shingles"] for r in rows])
-    kinds: dict = {}
-    label = np.array([kinds.setdefault(r["label"], len(kinds)) for r in rows])
-    side = np.array([r["side"] for r in rows])
-    sketch = np.frombuffer(b"".join([r["sketch"] for r in rows]), np.uint64).reshape(len(rows), -1)
-    for i in range(len(rows)):
+class Entries:
+    """Members of one list chunk (or of two), by size, and which of them may link across components."""
+
+    def __init__(self, rows: list[dict], single: bool, percent: int):
+        rows.sort(key=lambda r: (r["n_shingles"], r["id"]))
+        self.ids = [r["id"] for r in rows]
+        self.n = np.array([r["n_shingles"] for r in rows])
+        self.label = np.array([r["label"] for r in rows])
+        self.side = np.array([r["side"] for r in rows])
+        words = min(len(r["sketch"]) for r in rows) // 8
+        self.sketch = np.stack([folded(np.frombuffer(r["sketch"], np.uint64), words) for r in rows])
+        self.single, self.percent = single, percent
+
+    def after(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of other components that size and sketch allow, and the bits in which they differ."""
+        n, label = self.n, self.label
         # Sets of other components up to the largest size that can link.
-        j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
-        j = j[(label[j] != label[i]) & (single | (side[j] != side[i]))]
-        if len(j):
-            differing = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            fits = _possible(n[i], n[j], differing, percent)
-            j, differing = j[fits], differing[fits]
+        j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // self.percent, "right")))
+        j = j[(label[j] != label[i]) & (self.single | (self.side[j] != self.side[i]))]
+        differing = np.bitwise_count(self.sketch[j] ^ self.sketch[i]).sum(axis=1, dtype=np.int64)
+        fits = _possible(n[i], n[j], differing, self.percent)
+        return j[fits], differing[fits]
+
+    def pairs(self, nearest: int | None) -> Iterator[tuple[int, int]]:
+        """Pairs across components; with ``nearest``, of each set only so many of the closest."""
+        for i in range(len(self.ids)):
+            j, differing = self.after(i)
             if nearest is not None and len(j) > nearest:
                 j = j[np.argsort(differing, kind="stable")[:nearest]]
             for k in j.tolist():
-                a, b = rows[i]["name"], rows[k]["name"]
+                a, b = self.ids[i], self.ids[k]
                 yield (a, b) if a < b else (b, a)
 
+    def partnered(self) -> Iterator[int]:
+        """Members that may link with one of another component."""
+        found = np.zeros(len(self.ids), bool)
+        for i in range(len(self.ids)):
+            j, _ = self.after(i)
+            found[j] = True
+            found[i] |= len(j) > 0
+        return (self.ids[k] for k in np.flatnonzero(found).tolist())
 
-def pairs_across(
-    members: DataFrame, labels: DataFrame, info: DataFrame, percent: int, nearest: int | None = None
-) -> DataFrame:
-    """Pairs (a, b) across components within the lists that hold several (see :func:`_across`).
+
+def mixed_chunks(members: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
+    """(single, entries): the members of lists that hold several components.
 
     A long list is cut into chunks by hash, and every two chunks are one row
     to look at, so the size of a row is bounded.
@@ -546,32 +574,59 @@ def pairs_across(
         spread.where("lo <> hi").select("list", F.ceil(F.col("n") / LIST_CHUNK).cast("int").alias("chunks")),
         "jaccard-mixed",
     )
-    rows = named.join(mixed, "list").join(info.withColumnRenamed("name", "member"), "member").withColumn(
+    short = info.select(F.col("id").alias("member"), "n_shingles", "sketch")
+    rows = named.join(mixed, "list").join(short, "member").withColumn(
         "chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
     )
     entry = F.struct(
-        F.col("member").alias("name"),
+        F.col("member").alias("id"),
         "label",
         "n_shingles",
         "sketch",
         (F.col("chunk") <= F.col("other")).alias("side"),
     )
-    chunks = (
+    return (
         rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .groupBy("list", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
         .agg(F.collect_list(entry).alias("entries"))
         .select((F.col("c1") == F.col("c2")).alias("single"), "entries")
     )
 
+
+def pairs_across(
+    members: DataFrame, labels: DataFrame, info: DataFrame, percent: int, nearest: int | None = None
+) -> DataFrame:
+    """Pairs (a, b) across components within the lists that hold several (see :class:`Entries`)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = set()
             for single, entries in zip(b.column("single").to_pylist(), b.column("entries"), strict=True):
-                found.update(_across(entries.as_py(), single, percent, nearest))
+                found.update(Entries(entries.as_py(), single, percent).pairs(nearest))
             a, c = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    return chunks.mapInArrow(run, "a binary, b binary").distinct()
+    return mixed_chunks(members, labels, info).mapInArrow(run, "a long, b long").distinct()
+
+
+def candidate_sets(star: DataFrame, members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(id): the sets that may link with another one of their lists, by size and sketch.
+
+    Those of a pair with a leader, and of the others those that find a partner in a list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for single, entries in zip(b.column("single").to_pylist(), b.column("entries"), strict=True):
+                found.update(Entries(entries.as_py(), single, percent).partnered())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["id"])
+
+    led = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # As if the sets with a leader were one component and every other set its own.
+    one = led.crossJoin(star.agg(F.min("a").alias("label"))).select(F.col("id").alias("node"), "label")
+    others = mixed_chunks(members, one, info).mapInArrow(run, "id long")
+    return cut(led.unionByName(others).distinct(), "jaccard-candidates")
 
 
 def near_duplicates(
@@ -585,17 +640,15 @@ def near_duplicates(
     ready(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // range_bytes))
-    members = cut(candidate_lists(docs, shingle, percent, parts, batch_bytes), "jaccard-members")
-    described = describe(docs, members, shingle, batch_bytes)
-    sets = cut(
-        described.where("shingles IS NOT NULL")
-        .groupBy("name")
-        .agg(*[F.first(c).alias(c) for c in ("n_shingles", "sketch", "wide", "shingles")]),
-        "jaccard-sets",
-    )
-    info = sets.select("name", "n_shingles", "sketch")
-    star = members.where("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct()
-    star = cut(allowed(star, sets, percent), "jaccard-star")
+    lists, info = candidate_lists(docs, shingle, percent, parts, batch_bytes)
+    star = lists.select(F.col("least").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
+    star = cut(allowed(star, info, percent), "jaccard-star")
+    # The only pair of a list of two is in the star.
+    members = lists.where("n > 2").select("list", F.explode("members").alias("member"))
+    candidates = candidate_sets(star, members, info, percent)
+    members = cut(members.join(candidates.withColumnRenamed("id", "member"), "member", "left_semi"), "jaccard-members")
+    described = describe(docs, candidates, shingle, batch_bytes)
+    sets = written_sets(described)
     ends = star.groupBy("b").agg(
         F.min("a").alias("least"), F.min(F.struct("differing", "a"))["a"].alias("closest")
     )
@@ -610,7 +663,7 @@ def near_duplicates(
 
     def left_over(nearest: int | None = None) -> DataFrame:
         pairs = pairs_across(members, labels, info, percent, nearest).join(compared, ["a", "b"], "left_anti")
-        return allowed(pairs, sets, percent).select("a", "b")
+        return allowed(pairs, info, percent).select("a", "b")
 
     # Sets that no leader linked: their closest ones join them to their component,
     # so that few pairs across components are left to compare.
@@ -628,9 +681,9 @@ def near_duplicates(
         upper.select(F.col("label").alias("node"), F.col("label"))
     ).distinct()
     top = every.join(upper, "label", "left").groupBy("node").agg(F.min(F.coalesce("top", "label")).alias("set"))
-    where = described.select("doc_id", "n_shingles", "name")
-    placed = where.join(top.withColumnRenamed("node", "name"), "name", "left").select(
-        "doc_id", "n_shingles", F.coalesce("set", "name").alias("set")
+    where = described.select("doc_id", "n_shingles", "id")
+    placed = where.join(top.withColumnRenamed("node", "id"), "id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("set", "id").alias("set")
     )
     # A document without shingles is alone; its component is itself.
     least_id = placed.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("component_id"))

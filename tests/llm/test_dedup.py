@@ -160,6 +160,48 @@ def test_jaccard_where_ranges_have_no_lists(docs_of, kind):
     assert got == brute.jaccard(rows)
 
 
+def test_jaccard_sends_size_and_sketch_of_a_set_once(docs_of):
+    """Beside its keys, a set has 8 bytes in each hash range, however many ranges there are."""
+    from slotwise.session import ensure_checkpoint_dir
+
+    rnd = random.Random(9)
+    docs = docs_of([(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(300))) for i in range(60)], parts=1)
+    ensure_checkpoint_dir(docs.sparkSession)
+
+    def sent(parts):
+        rows = jaccard_join.questions(docs, 5, 80, parts, 1 << 20).collect()
+        size = {c: sum(len(r[c]) for r in rows) for c in rows[0].asDict() if c != "part"}
+        assert size["sizes"] == size["own"] == 8 * 60
+        assert size["sketches"] == 60 * 512 // 8
+        return sum(size.values())
+
+    # Before: 56 bytes.
+    assert sent(40) - sent(4) <= 36 * 60 * 8
+
+
+def test_jaccard_sets_that_share_a_phrase_are_no_candidates(docs_of, monkeypatch):
+    """Long texts that agree on a key by chance: their sketches rule them out before shingles are written."""
+    rnd = random.Random(10)
+
+    def words(n):
+        return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+
+    phrase, base = words(5), words(1500)
+    rows = [(i, " ".join(words(700) + phrase + words(700))) for i in range(60)]
+    rows += [(90, " ".join(base)), (91, " ".join(base + words(5)))]
+    seen, real = [], jaccard_join.describe
+
+    def describe(docs, candidates, *args):
+        out = real(docs, candidates, *args)
+        seen.append(({r.id for r in candidates.collect()}, {r.id for r in out.where("doc_id >= 90").collect()}))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "describe", describe)
+    got = rows_by_id(jaccard_join.near_duplicates(docs_of(rows)))
+    assert got == brute.jaccard(rows)
+    assert seen[0][0] == seen[0][1]
+
+
 def test_signatures_never_miss_a_linked_pair():
     """Random pairs at the threshold share a key in every band."""
     import numpy as np
