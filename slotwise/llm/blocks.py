@@ -228,10 +228,15 @@ class Seeds:
 
     def repeated(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window starts whose least gram occurs elsewhere, and the answer of its key."""
-        starts = np.flatnonzero(self.valid)
-        at = np.searchsorted(self.keys, self.least[starts])
-        keep = self.twice[at] | (found[at] > 0)
-        return starts[keep], found[at[keep]]
+        if not len(self.valid) or not len(self.keys):
+            return np.zeros(0, np.int64), found[:0]
+        # Neighbouring windows mostly share their least gram: looked up once a run.
+        new = np.append(True, self.least[1:] != self.least[:-1])
+        at = np.minimum(np.searchsorted(self.keys, self.least[new]), len(self.keys) - 1)
+        run = np.cumsum(new) - 1
+        keep = (self.twice[at] | (found[at] > 0))[run] & self.valid
+        starts = np.flatnonzero(keep)
+        return starts, found[at[run[starts]]]
 
 
 SEED_COLUMNS = "part int, block long, keys binary"

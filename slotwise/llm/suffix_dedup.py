@@ -23,7 +23,8 @@ texts is never built in one place:
    places, and the ranks there decide; a short head and tail complete the
    window.  The least place of each class of equal windows is its original.
 
-The bytes themselves decide; hashes only choose buckets.  Memory is bounded by
+The bytes themselves decide; hashes only choose buckets, and leave out of the
+sorting the windows whose hash no other window has.  Memory is bounded by
 a block, a hash range and ``SUFFIXES`` suffixes sorted at a time.
 
 Defined cases: null text is empty; texts shorter than the window lose nothing;
@@ -180,13 +181,38 @@ def _resolve_contexts(rows: pd.DataFrame, window: int) -> list[tuple]:
         n = size[firsts]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(at, n) + inner
-        again = repeated_windows(text, start, window)
-        later[np.repeat(out_begins[firsts], n) + inner] |= again
+        # Only windows whose hash occurs twice can repeat; the text around the others isn't sorted.
+        again = twice_hashed(text, start, window)
+        low = np.minimum.reduceat(np.where(again, inner, size.max()), np.cumsum(n) - n)
+        high = np.maximum.reduceat(np.where(again, inner, -1), np.cumsum(n) - n)
+        some = high >= 0
+        if some.any():
+            text = b"".join([text[a + lo : a + hi + window] for a, lo, hi in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True)])
+            span = high[some] - low[some] + window
+            moved = np.zeros(len(n), np.int64)
+            moved[some] = np.cumsum(span) - span - low[some]
+            start = (np.repeat(moved, n) + inner)[again]
+            place = (np.repeat(out_begins[firsts], n) + inner)[again]
+            later[place] |= repeated_windows(text, start, window)
     row_ends = np.cumsum([size[e - c : e].sum() for c, e in zip(per_row, np.cumsum(per_row), strict=True)]).astype(int)
     row_begins = np.concatenate([[0], row_ends[:-1]])
     return [(b, later[s:e]) for b, s, e in zip(rows["block"], row_begins, row_ends, strict=True)]
 
 
+def twice_hashed(data: bytes, starts: np.ndarray, window: int) -> np.ndarray:
+    """Whether the hash of the ``window`` bytes from each start on is that of another start's too."""
+    width = 1 << window.bit_length() - 1
+    h = gram_hashes(np.frombuffer(data, np.uint8), width)
+    h = scramble(h[starts] * np.uint64(0x9E3779B97F4A7C15) + h[starts + window - width])
+    order = np.argsort(h)
+    s = h[order]
+    same = np.append(s[1:] == s[:-1], False)
+    same[1:] |= same[:-1].copy()
+    out = np.zeros(len(starts), bool)
+    out[order] = same
+    return out
+
+
 # --- sorting with a difference cover ---------------------------------------
 
 
@@ -216,10 +242,15 @@ def _dense(*columns: np.ndarray) -> np.ndarray:
     """
     out = _rank(columns[0])
     for c in columns[1:]:
-        out = _rank((out << 32) | _rank(c))
+        out = _both(out, _rank(c))
     return out
 
 
+def _both(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Rank of each row in the order of two columns that are ranks already (-1: before all)."""
+    return _rank((first << 32) | (then + 1))
+
+
 class CoverRanks:
     """Ranks, to a depth of ``periods`` periods, of the suffixes at cover places."""
 
@@ -235,10 +266,10 @@ class CoverRanks:
         depth, total, filled = 1, None, 0
         while filled < periods:
             if periods & depth:
-                total = rank if total is None else _dense(total, self._on(rank, c * filled))
+                total = rank if total is None else _both(total, self._on(rank, c * filled))
                 filled += depth
             if filled < periods:
-                rank = _dense(rank, self._on(rank, c * depth))
+                rank = _both(rank, self._on(rank, c * depth))
                 depth *= 2
         self.rank = np.zeros(n + PERIOD, np.int64)
         self.rank[self.places] = total
@@ -289,7 +320,7 @@ def _repeated_in(text, starts, head, ranks, tail, window) -> np.ndarray:
         rows = np.flatnonzero(np.isin((starts + offset) % PERIOD, COVER))
         if not len(rows):
             continue
-        classes = _dense(ends[rows], ranks[starts[rows] + offset])
+        classes = _both(ends[rows], ranks[starts[rows] + offset])
         least = np.full(classes.max() + 1, n)
         np.minimum.at(least, classes, rows)
         first[rows] = np.minimum(first[rows], least[classes])

@@ -87,6 +87,39 @@ def test_cover_sorting_alone():
         assert suffix_dedup.repeated_windows(data, starts, 60, bound).tolist() == want
 
 
+def test_only_windows_that_may_repeat_are_sorted(monkeypatch):
+    """Contexts of one bucket: the text around windows that occur once isn't sorted."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(4)
+    common = rnd.randbytes(130)
+    # The bytes next to the common ones differ in all of them.
+    texts = [rnd.randbytes(59) + bytes([k]) + common + bytes([k]) + rnd.randbytes(49) for k in range(20)]
+    windows = [len(t) - 99 for t in texts]
+    rows = pd.DataFrame(
+        {"block": [0, 1], "buckets": [np.full(10, 7, np.uint64).tobytes()] * 2,
+         "ids": [np.arange(10).tobytes(), np.arange(10, 20).tobytes()],
+         "sizes": [np.array(windows[:10]).tobytes(), np.array(windows[10:]).tobytes()],
+         "bytes": [b"".join(texts[:10]), b"".join(texts[10:])]}
+    )
+    sorted_, real = [], suffix_dedup.repeated_windows
+
+    def repeated_windows(data, starts, *args):
+        sorted_.append((len(data), len(starts)))
+        return real(data, starts, *args)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", repeated_windows)
+    later = np.concatenate([x for _, x in suffix_dedup._resolve_contexts(rows, 100)])
+    seen, want = set(), []
+    for t in texts:
+        for i in range(len(t) - 99):
+            want.append(int(t[i : i + 100] in seen))
+            seen.add(t[i : i + 100])
+    assert later.tolist() == want
+    assert sorted_ == [(20 * 130, 20 * 31)]  # before: all 20 * 240 bytes and 20 * 141 windows
+
+
 def test_every_difference_is_in_the_cover():
     pairs = {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
     assert pairs == set(range(suffix_dedup.PERIOD))
