@@ -22,9 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+# Bytes that a Python task is handed at a time: rows hold whole texts, and thousands of
+# them at once (Spark's default) are in memory several times over in JVM and worker.
+ARROW_BYTES = 4 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> str:
     """Prepare a session for Python tasks and lineage cuts; returns the shared folder."""
     root = ensure_checkpoint_dir(spark)
+    if str(spark.conf.get(_ARROW_LIMIT, "64MB")) in ("64MB", "67108864", "67108864b"):  # not chosen by the user
+        spark.conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
     ship_package(spark)
     return root
 
