@@ -31,9 +31,11 @@ lead a list it is in, the least and the closest.  Near copies agree on the least
 so a group becomes a star, linear in its members however many lists it is in; the
 closest stands in where the least is too far.  Components of the verified links
 are formed; leaders that lie in another component come next.  Only lists that
-still hold several components are looked at again, and only pairs across
-components that have not been compared yet: of every set its closest ones, then
-the rest.  Before sets meet, an exact bound by size and by parity sketches rules
+still hold several components are looked at again, and only the sets outside a
+list's main component, its largest, ask: first for their closest ones, then for
+all.  Where these are more pairs than members, the sets are compared where the
+members of the list meet, and only links that join components leave the task, fewer
+than the members, however many pairs there are to compare.  Before sets meet, an exact bound by size and by parity sketches rules
 pairs out (two sets differ in at least as many shingles as their sketches differ
 in bits).  Sketches grow with their set, one to two bits a shingle; within lists
 they are at most ``SKETCH`` bits.  Sets that no such pair is left of are no
@@ -74,6 +76,7 @@ MOST_CELLS = 1 << 20  # of a wide sketch; a still larger set has a weaker bound
 CHANCE = 1e8  # cost of a chance match in keys, for sets by the hundred million
 NEAREST = 3  # closest sets compared before all pairs across components are
 LIST_CHUNK = 1024  # sets compared with each other in one task
+CHUNK_SHINGLES = 256 * LIST_CHUNK  # about as many of them, where sets are compared in full
 BLOOM_WORDS = 1 << 19  # 64-bit words of the filter of candidate sets
 
 
@@ -517,96 +520,197 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class Entries:
-    """Members of one list chunk (or of two), by size, and which of them may link across components."""
+    """Members of a list's main component and others, by size, and which of them may link across components.
 
-    def __init__(self, rows: list[dict], single: bool, percent: int):
+    Every pair across components has a member outside the main one, so only
+    those are asked for their partners.  With ``inner`` not set, two of them
+    are a pair only if they are on different sides.
+    """
+
+    def __init__(self, rows: list[dict], inner: bool, percent: int):
         rows.sort(key=lambda r: (r["n_shingles"], r["id"]))
         self.ids = [r["id"] for r in rows]
         self.n = np.array([r["n_shingles"] for r in rows])
         self.label = np.array([r["label"] for r in rows])
+        self.main = np.array([r["main"] for r in rows])
         self.side = np.array([r["side"] for r in rows])
         words = min(len(r["sketch"]) for r in rows) // 8
         self.sketch = np.stack([folded(np.frombuffer(r["sketch"], np.uint64), words) for r in rows])
-        self.single, self.percent = single, percent
+        self.inner, self.percent = inner, percent
+        self.others = np.flatnonzero(~self.main).tolist()
 
-    def after(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Later members of other components that size and sketch allow, and the bits in which they differ."""
+    def partners(self, i: int) -> np.ndarray:
+        """Members of the main component, and later ones of further components, that size
+        and sketch allow a member outside the main one, the closest first."""
         n, label = self.n, self.label
-        # Sets of other components up to the largest size that can link.
-        j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // self.percent, "right")))
-        j = j[(label[j] != label[i]) & (self.single | (self.side[j] != self.side[i]))]
+        # Sets of other components of the sizes that can link.
+        least = int(np.searchsorted(n, -(-n[i] * self.percent // 100), "left"))
+        j = np.arange(least, int(np.searchsorted(n, n[i] * 100 // self.percent, "right")))
+        j = j[self.main[j] | ((j > i) & (label[j] != label[i]) & (self.inner | (self.side[j] != self.side[i])))]
         differing = np.bitwise_count(self.sketch[j] ^ self.sketch[i]).sum(axis=1, dtype=np.int64)
         fits = _possible(n[i], n[j], differing, self.percent)
-        return j[fits], differing[fits]
-
-    def pairs(self, nearest: int | None) -> Iterator[tuple[int, int]]:
-        """Pairs across components; with ``nearest``, of each set only so many of the closest."""
-        for i in range(len(self.ids)):
-            j, differing = self.after(i)
-            if nearest is not None and len(j) > nearest:
-                j = j[np.argsort(differing, kind="stable")[:nearest]]
-            for k in j.tolist():
-                a, b = self.ids[i], self.ids[k]
-                yield (a, b) if a < b else (b, a)
+        return j[fits][np.argsort(differing[fits], kind="stable")]
+
+    def pair(self, i: int, j: int) -> tuple[int, int]:
+        a, b = self.ids[i], self.ids[j]
+        return (a, b) if a < b else (b, a)
+
+    def closest(self, nearest: int) -> Iterator[tuple[int, int]]:
+        """Of every member outside the main component the pairs with so many of its partners."""
+        return (self.pair(i, j) for i in self.others for j in self.partners(i)[:nearest].tolist())
 
     def partnered(self) -> Iterator[int]:
         """Members that may link with one of another component."""
         found = np.zeros(len(self.ids), bool)
-        for i in range(len(self.ids)):
-            j, _ = self.after(i)
+        for i in self.others:
+            j = self.partners(i)
             found[j] = True
             found[i] |= len(j) > 0
         return (self.ids[k] for k in np.flatnonzero(found).tolist())
 
+    def pairs(self) -> list[tuple[int, int]] | None:
+        """The pairs that may link across components; none if they are more than the members."""
+        out = []
+        for i in self.others:
+            out.extend(self.pair(i, j) for j in self.partners(i).tolist())
+            if len(out) > len(self.ids):
+                return None
+        return out
+
+    def joining(self, sets: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Links that join all components that links join: fewer than there are components.
+
+        Partners are compared in full unless the links found before have joined them.
+        """
+        _, joined = np.unique(self.label, return_inverse=True)
+        for i in self.others:
+            for j in self.partners(i).tolist():
+                if joined[i] != joined[j] and linked(sets[self.ids[i]], sets[self.ids[j]], self.percent):
+                    joined[joined == joined[i]] = joined[j]
+                    yield self.pair(i, j)
+
 
 def mixed_chunks(members: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
-    """(single, entries): the members of lists that hold several components.
+    """(list, inner, entries): the members of lists that hold several components.
 
-    A long list is cut into chunks by hash, and every two chunks are one row
-    to look at, so the size of a row is bounded.
+    The members of a long list's main component and its others are cut into
+    chunks by hash.  A row holds a chunk of the others with one of the main
+    component or with another chunk of the others, so its size is bounded, and
+    with few others the main component's members are in one row each.  If
+    ``members`` has ``n``, sets so large count as several.
     """
-    named = members.join(labels, members["member"] == labels["node"], "left").select(
-        "list", "member", F.coalesce("label", "member").alias("label")
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n") * LIST_CHUNK / CHUNK_SHINGLES)) if "n" in members.columns else F.lit(1)
+    named = members.withColumn("weight", weight).join(labels, members["member"] == labels["node"], "left").select(
+        "list", "member", "weight", F.coalesce("label", "member").alias("label")
+    )
+    held = named.groupBy("list", "label").agg(F.sum("weight").alias("held"))
+    spread = held.groupBy("list").agg(
+        F.max(F.struct("held", "label")).alias("main"), F.sum("held").alias("all"), F.count(F.lit(1)).alias("labels")
     )
-    spread = named.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    chunks = {"mains": F.col("main.held"), "outs": F.col("all") - F.col("main.held")}
     # Written, so that its size is known where it meets the members again.
     mixed = cut(
-        spread.where("lo <> hi").select("list", F.ceil(F.col("n") / LIST_CHUNK).cast("int").alias("chunks")),
+        spread.where("labels > 1").select(
+            "list", F.col("main.label").alias("most"), *(F.ceil(n / LIST_CHUNK).cast("int").alias(c) for c, n in chunks.items())
+        ),
         "jaccard-mixed",
     )
-    short = info.select(F.col("id").alias("member"), "n_shingles", "sketch")
-    rows = named.join(mixed, "list").join(short, "member").withColumn(
-        "chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
+    short = info.withColumnRenamed("id", "member")
+    rows = named.join(mixed, "list").join(short, "member").withColumn("main", F.col("label") == F.col("most")).withColumn(
+        "chunk", F.pmod(F.xxhash64("member"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("outs"))).cast("int")
     )
-    entry = F.struct(
-        F.col("member").alias("id"),
-        "label",
-        "n_shingles",
-        "sketch",
-        (F.col("chunk") <= F.col("other")).alias("side"),
+
+    def to(c1, c2):
+        return F.struct(c1.cast("int").alias("c1"), c2.cast("int").alias("c2"))
+
+    every_main, every_other = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("mains", "outs"))
+    chunk = F.col("chunk")
+    # Of two chunks of others, the first is numbered below zero.
+    places = F.when(F.col("main"), F.transform(every_other, lambda k: to(chunk, k))).otherwise(
+        F.concat(
+            F.transform(every_main, lambda k: to(k, chunk)),
+            F.transform(F.filter(every_other, lambda k: k != chunk), lambda k: to(-1 - F.least(k, chunk), F.greatest(k, chunk))),
+        )
     )
+    entry = F.struct(
+        F.col("member").alias("id"), "label", "main", (chunk == F.col("at.c2")).alias("side"),
+        *(c for c in short.columns if c != "member"),
+    )
     return (
-        rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .groupBy("list", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
+        rows.withColumn("at", F.explode(places))
+        .groupBy("list", F.col("at.c1").alias("c1"), F.col("at.c2").alias("c2"))
         .agg(F.collect_list(entry).alias("entries"))
-        .select((F.col("c1") == F.col("c2")).alias("single"), "entries")
+        .select("list", (F.col("c1") == 0).alias("inner"), "entries")
     )
 
 
-def pairs_across(
-    members: DataFrame, labels: DataFrame, info: DataFrame, percent: int, nearest: int | None = None
-) -> DataFrame:
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bool, list[dict]]]:
+    """The rows of :func:`mixed_chunks`, one at a time."""
+    for name, inner, entries in zip(batch.column("list"), batch.column("inner").to_pylist(), batch.column("entries"), strict=True):
+        yield name.as_py(), inner, entries.as_py()
+
+
+def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*sorted(found), strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def closest_across(members: DataFrame, labels: DataFrame, info: DataFrame, percent: int, nearest: int) -> DataFrame:
     """Pairs (a, b) across components within the lists that hold several (see :class:`Entries`)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = (Entries(entries, inner, percent) for _, inner, entries in _entries(b))
+            yield _pair_batch({p for e in rows for p in e.closest(nearest)})
+
+    chunks = mixed_chunks(members, labels, info.select("id", "n_shingles", "sketch"))
+    return chunks.mapInArrow(run, "a long, b long").distinct()
+
+
+def split_across(members: DataFrame, labels: DataFrame, info: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) across components, of the rows of :func:`mixed_chunks` that have no more
+    pairs than members; of the others (list, member, n): the sets that may link and their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, held = set(), set()
+            for name, inner, rows in _entries(b):
+                n = {r["id"]: r["n_shingles"] for r in rows}
+                entries = Entries(rows, inner, percent)
+                pairs = entries.pairs()
+                if pairs is None:
+                    held.update((name, i, n[i]) for i in entries.partnered())
+                else:
+                    found.update(pairs)
+            out = [(*p, None, None, None) for p in sorted(found)] + [(None, None, *h) for h in sorted(held)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+    kinds = {"a": pa.int64(), "b": pa.int64(), "list": pa.binary(), "member": pa.int64(), "n": pa.int64()}
+    schema = pa.schema(kinds.items())
+    # Wide sketches: what they let through may be moved with all its shingles.
+    wide = info.select("id", "n_shingles", F.col("wide").alias("sketch"))
+    rows = mixed_chunks(members, labels, wide).mapInArrow(run, "a long, b long, list binary, member long, n long")
+    rows = cut(rows.distinct(), "jaccard-split")
+    return rows.where("a IS NOT NULL").select("a", "b"), rows.where("list IS NOT NULL").select("list", "member", "n")
+
+
+def links_across(members: DataFrame, labels: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that join all components that a link within a list joins.
+
+    The members meet with their shingles; a row makes fewer links than it has members.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = set()
-            for single, entries in zip(b.column("single").to_pylist(), b.column("entries"), strict=True):
-                found.update(Entries(entries.as_py(), single, percent).pairs(nearest))
-            a, c = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+            for _, inner, rows in _entries(b):
+                held = {r["id"]: np.frombuffer(r.pop("shingles"), np.uint64) for r in rows}
+                found.update(Entries(rows, inner, percent).joining(held))
+            yield _pair_batch(found)
 
-    return mixed_chunks(members, labels, info).mapInArrow(run, "a long, b long").distinct()
+    full = info.select("id", "n_shingles", F.col("wide").alias("sketch"))
+    full = full.join(members.select(F.col("member").alias("id")), "id", "left_semi").join(sets, "id")
+    return cut(mixed_chunks(members, labels, full).mapInArrow(run, "a long, b long").distinct(), "jaccard-joining")
 
 
 def candidate_sets(star: DataFrame, members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -617,15 +721,14 @@ def candidate_sets(star: DataFrame, members: DataFrame, info: DataFrame, percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = set()
-            for single, entries in zip(b.column("single").to_pylist(), b.column("entries"), strict=True):
-                found.update(Entries(entries.as_py(), single, percent).partnered())
+            rows = (Entries(entries, inner, percent) for _, inner, entries in _entries(b))
+            found = {i for e in rows for i in e.partnered()}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["id"])
 
     led = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # As if the sets with a leader were one component and every other set its own.
     one = led.crossJoin(star.agg(F.min("a").alias("label"))).select(F.col("id").alias("node"), "label")
-    others = mixed_chunks(members, one, info).mapInArrow(run, "id long")
+    others = mixed_chunks(members, one, info.select("id", "n_shingles", "sketch")).mapInArrow(run, "id long")
     return cut(led.unionByName(others).distinct(), "jaccard-candidates")
 
 
@@ -661,16 +764,15 @@ def near_duplicates(
     labels = components(links)
     compared = first.unionByName(rest)
 
-    def left_over(nearest: int | None = None) -> DataFrame:
-        pairs = pairs_across(members, labels, info, percent, nearest).join(compared, ["a", "b"], "left_anti")
-        return allowed(pairs, info, percent).select("a", "b")
-
     # Sets that no leader linked: their closest ones join them to their component,
     # so that few pairs across components are left to compare.
-    close = cut(left_over(NEAREST), "jaccard-close")
+    close = closest_across(members, labels, info, percent, NEAREST).join(compared, ["a", "b"], "left_anti")
+    close = cut(allowed(close, info, percent).select("a", "b"), "jaccard-close")
     labels = components(links.unionByName(verify(close, sets, percent)))
-    compared = compared.unionByName(close)
-    more = verify(cut(left_over(), "jaccard-across"), sets, percent)
+    few, many = split_across(members, labels, info, percent)
+    few = few.join(compared.unionByName(close), ["a", "b"], "left_anti")
+    few = cut(allowed(few, info, percent).select("a", "b"), "jaccard-across")
+    more = verify(few, sets, percent).unionByName(links_across(many, labels, info, sets, percent))
     # Links between components, as links between their least members.
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))

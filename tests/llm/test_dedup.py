@@ -165,6 +165,64 @@ def test_jaccard_chain_of_links(docs_of):
     assert rows_by_id(jaccard_join.near_duplicates(docs_of(rows))) == want
 
 
+@pytest.mark.parametrize("chunk, shingles", [(1024, 1 << 18), (16, 1 << 18), (64, 5000)])
+def test_jaccard_links_where_members_of_a_list_meet(docs_of, spark, near, monkeypatch, chunk, shingles):
+    """One list of all sets, in chunks by number or by size: links enough to join each component, and no more a row."""
+    from slotwise.llm.common import ready
+
+    ready(spark)
+    monkeypatch.setattr(jaccard_join, "LIST_CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", shingles)
+    sets = jaccard_join.Sets([(t or "").encode() for _, t in near], 5)
+    ids, want = sets.ids().tolist(), brute.jaccard(near)
+    of = {ids[k]: k for k in range(len(near)) if sets.sizes[k]}
+    info = [(i, int(sets.sizes[k]), bytearray(sets.sketch(k)), bytearray(sets.of(k).tobytes())) for i, k in of.items()]
+    info = spark.createDataFrame(info, "id long, n_shingles long, wide binary, shingles binary")
+    members = [(bytearray(b"x"), i, int(sets.sizes[k])) for i, k in of.items()]
+    members = spark.createDataFrame(members, "list binary, member long, n long")
+    # Some components are known in part.
+    first = {}
+    for i, k in of.items():
+        first.setdefault(want[near[k][0]][1], []).append(i)
+    known = [(i, min(c[: len(c) // 2])) for c in first.values() for i in c[: len(c) // 2]]
+    labels = spark.createDataFrame(known, "node long, label long")
+    sets_of = info.select("id", "shingles")
+    got = jaccard_join.links_across(members, labels, info, sets_of, 80).collect()
+    assert all(want[near[of[r.a]][0]][1] == want[near[of[r.b]][0]][1] for r in got)
+    every = spark.createDataFrame([*known, *((r.a, r.b) for r in got)], "a long, b long")
+    label = {r.node: r.label for r in components(every).collect()}
+    for c in first.values():
+        assert len({label.get(i, i) for i in c}) == 1
+    assert got and (chunk < 1024 or len(got) < len(of))
+
+
+def test_jaccard_group_with_sets_just_beyond_it_never_becomes_its_pairs(docs_of, monkeypatch):
+    """80 near copies of one text and 40 texts that just fail to link with any of them."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(k, places):
+        words = list(base)
+        for p in places:
+            words[p] = f"x{k}-{p}"
+        return k, " ".join(words)
+
+    rows = [changed(k, [rnd.randrange(5, 60)]) for k in range(80)]
+    rows += [changed(100 + k, [70 + 30 * j + rnd.randrange(20) for j in range(4)]) for k in range(40)]
+    written, real = {}, jaccard_join.cut
+
+    def cut(df, name):
+        out = real(df, name)
+        if {"a", "b"} <= set(out.columns):
+            written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", cut)
+    got = rows_by_id(jaccard_join.near_duplicates(docs_of(rows)))
+    assert got == brute.jaccard(rows)
+    assert max(written.values()) <= 5 * len(rows), written  # before: 1,000 pairs or more to compare
+
+
 def test_jaccard_empty_table_and_one_of_each(docs_of, repeats):
     assert jaccard_join.near_duplicates(docs_of([])).collect() == []
     docs = docs_of(repeats, extra=True)
