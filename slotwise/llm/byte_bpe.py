@@ -12,8 +12,11 @@ tried once and the walk is linear in the piece.  Compatibility of two tokens
 is worked out once per pair and kept.
 
 The rank table is a constant file of the tokenizer (about a megabyte); each
-Python worker loads it once.  Memory beyond it is bounded by the sizes of the
-caches, which are emptied when full; results never depend on them.
+Python worker loads it once and keeps it until another operator's tables take
+its place.  Memory beyond it is bounded by the sizes of the caches, which are
+emptied when full; results never depend on them.  Of a piece only the ids are
+kept, of a piece that is one token the same ids for every piece: their text is
+joined from a table of the tokens.
 
 Defined cases: null text is the empty text: no tokens, and the hashes of the
 empty string.  Special tokens are ordinary text.
@@ -24,14 +27,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from slotwise.llm.common import ready
+from slotwise.llm.common import lean, ready, resident
 
 # Entries of one generation of the piece cache (two are kept) and of the pair
 # cache, per worker.
@@ -78,10 +80,13 @@ class ByteBpe:
             self.length[rank] = len(token)
             prefixes = (ranks.get(token[:k], -1) for k in range(len(token) - 1, 0, -1))
             self.shorter[rank] = next((r for r in prefixes if r in self.parts), -1)
+        # Of each token its id as text, and the ids of a piece that is this token.
+        self.id_text = [str(k) for k in range(len(self.length))]
+        self.alone = [(k,) for k in range(len(self.length))]
         self.pairs: dict[tuple[int, int], bool] = {}
-        # piece -> (ids, the ids as text); the older generation is dropped when the newer is full
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        # piece -> ids; the older generation is dropped when the newer is full
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _merge_below(self, token: bytes, limit: int) -> list[int]:
         """Tokens left of ``token`` once every merge of a rank under ``limit`` is done."""
@@ -131,7 +136,7 @@ class ByteBpe:
         data = piece.encode("utf-8")
         whole = self.ranks.get(data)
         if whole is not None:
-            return (whole,)
+            return self.alone[whole]
         chars = data.decode("latin-1")
         pairs, compatible = self.pairs, self.compatible
         # The first way tried takes the longest token everywhere; most pieces need no other.
@@ -167,8 +172,8 @@ class ByteBpe:
                 pos -= length[token]
                 token = shorter[token]
 
-    def encode_pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """For each piece of a text its ids, and the ids as text."""
+    def encode_pieces(self, text: str) -> list[tuple[int, ...]]:
+        """For each piece of a text its ids."""
         out = []
         cache, older = self.pieces, self.older
         get = cache.get
@@ -177,8 +182,7 @@ class ByteBpe:
             if known is None:
                 known = older.get(piece)
                 if known is None:
-                    ids = self.encode_piece(piece)
-                    known = (ids, ",".join(map(str, ids)))
+                    known = self.encode_piece(piece)
                 if len(piece) <= CACHED_PIECE_CHARS:
                     if len(cache) >= PIECE_CACHE:
                         self.older = older = cache
@@ -189,16 +193,15 @@ class ByteBpe:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.encode_pieces(text)))
+        return list(chain.from_iterable(self.encode_pieces(text)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
     def round_trip(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, digest of the ids, digest of the decoded bytes."""
-        pieces = self.encode_pieces(text)
-        ids = list(chain.from_iterable([p[0] for p in pieces]))
-        listed = ",".join([p[1] for p in pieces])
+        ids = self.encode(text)
+        listed = ",".join(map(self.id_text.__getitem__, ids))
         return len(ids), sha256(listed.encode()).hexdigest(), sha256(self.decode(ids)).hexdigest()
 
 
@@ -240,10 +243,9 @@ def splitter(pattern: str):
     return split
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
-    """One encoder per worker process and vocabulary."""
-    return ByteBpe(read_ranks(path), pattern)
+    """The encoder of a vocabulary, kept by the worker process."""
+    return resident(("byte_bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def vocabulary(name: str) -> str:
@@ -264,6 +266,7 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
     """
     ready(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary(vocab), pattern)
         for batch in batches:
@@ -281,6 +284,7 @@ def token_ids(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
     """doc_id and the token ids themselves, for a training set."""
     ready(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary(vocab), pattern)
         for batch in batches:

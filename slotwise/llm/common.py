@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,43 @@ def ready(spark: SparkSession) -> str:
     return root
 
 
+_RESIDENT: dict[tuple, Any] = {}  # of this process, at most one
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: the value of the last key.
+
+    Workers outlive a query.  With a cache for each operator they would hold the
+    tables of every operator that they ever ran, beside those of the present one.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        hand_back()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def hand_back() -> None:
+    """Give memory that is free in this process back to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The Python task ``run``, which hands its memory back when it ends: the idle worker
+    waits for its next task beside others that need it."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return task
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back.
 

@@ -65,7 +65,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm import blocks as B
-from slotwise.llm.common import cut, ready
+from slotwise.llm.common import cut, hand_back, lean, ready
 from slotwise.llm.components import components
 from slotwise.llm.substring_dedup import Words, scramble
 
@@ -280,6 +280,7 @@ def questions(docs: DataFrame, shingle: int, percent: int, parts: int, batch_byt
     """What batches of documents send the hash ranges: keys with the identities of their sets,
     and size and sketch of each set whose identity lies in the range."""
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _batches(batches, batch_bytes):
             sets = Sets(texts, shingle)
@@ -321,6 +322,7 @@ def candidate_lists(
     and (id, n_shingles, sketch, wide) of every set, ``sketch`` being the one used within lists."""
 
     def meet(table: pa.Table) -> pa.Table:
+        hand_back()  # what the range before has left
         rows = {c: table.column(c) for c in table.column_names}
         ids = list(_arrays(rows["ids"], np.int64))
         every, index = np.unique(np.concatenate(ids), return_inverse=True)
@@ -415,6 +417,7 @@ def describe(docs: DataFrame, candidates: DataFrame, shingle: int, batch_bytes:
     """
     held = docs.sparkSession.sparkContext.broadcast(_bloom(candidates))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for doc_ids, texts in _batches(batches, batch_bytes):
@@ -470,6 +473,7 @@ def allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that sizes and wide sketches do not rule out,
     with the bits in which these differ."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
@@ -504,6 +508,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sent to the sets, which then are read and not shuffled.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(_arrays(batch.column("x"), np.uint64), _arrays(batch.column("y"), np.uint64), strict=True)
@@ -658,6 +663,7 @@ def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
 def closest_across(members: DataFrame, labels: DataFrame, info: DataFrame, percent: int, nearest: int) -> DataFrame:
     """Pairs (a, b) across components within the lists that hold several (see :class:`Entries`)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = (Entries(entries, inner, percent) for _, inner, entries in _entries(b))
@@ -671,6 +677,7 @@ def split_across(members: DataFrame, labels: DataFrame, info: DataFrame, percent
     """Pairs (a, b) across components, of the rows of :func:`mixed_chunks` that have no more
     pairs than members; of the others (list, member, n): the sets that may link and their size."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, held = set(), set()
@@ -700,6 +707,7 @@ def links_across(members: DataFrame, labels: DataFrame, info: DataFrame, sets: D
     The members meet with their shingles; a row makes fewer links than it has members.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = set()
@@ -719,6 +727,7 @@ def candidate_sets(star: DataFrame, members: DataFrame, info: DataFrame, percent
     Those of a pair with a leader, and of the others those that find a partner in a list.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = (Entries(entries, inner, percent) for _, inner, entries in _entries(b))

@@ -27,14 +27,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import crc_mod, ready
+from slotwise.llm.common import crc_mod, lean, ready, resident
 from slotwise.llm.sampling import draw, labelled_texts
 
 # Bound of the training sample, rows of each class.
@@ -301,9 +300,9 @@ class Model:
         return np.interp(self.trees.margin(x), *self.knots)
 
 
-@lru_cache(maxsize=4)
 def _automaton(entries: tuple) -> object:
-    return Lexicon(list(entries)).automaton()
+    """The automaton of a lexicon, kept by the worker process."""
+    return resident(("toxicity", entries), Lexicon(list(entries)).automaton)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -327,6 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     counts = [tuple(r) for r in _term_counts(sample).orderBy("term").collect()]
     lexicons = [_lexicon(counts, sizes, k) for k in range(FOLDS)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [x.automaton() for x in lexicons]
         for b in batches:
@@ -361,6 +361,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_ENTRIES, TREES
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         machine = _automaton(tuple(m.lexicon.entries))
@@ -388,6 +389,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     """
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # bounded as above
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         machine = _automaton(tuple(m.lexicon.entries))

@@ -1,13 +1,18 @@
 """Mixing, byte-level BPE, the queries' SQL and the pipeline."""
 
+import base64
+import gc
 import random
+import sys
+import tracemalloc
+import weakref
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slotwise.llm import byte_bpe, mixing, toxicity
+from slotwise.llm import byte_bpe, common, mixing, toxicity
 from slotwise.llm.common import table
 from slotwise.llm.queries import BPE_VOCABULARY, QUERIES
 
@@ -142,3 +147,64 @@ def test_stages_keep_the_columns(spark, docs_of):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         docs = stage(spark, docs, SMALL)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+# --- what a worker keeps ---------------------------------------------------
+
+
+@pytest.fixture
+def small_ranks(tmp_path):
+    """A rank table of the single bytes, two letters and two digits."""
+    tokens = [bytes([k]) for k in range(256)] + [a + b for s in (b"abcdefghij", b"0123456789") for a in _each(s) for b in _each(s)]
+    path = tmp_path / "small.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % k for k, t in enumerate(tokens)))
+    return str(path)
+
+
+def _each(s):
+    return [s[k : k + 1] for k in range(len(s))]
+
+
+def test_worker_keeps_tables_of_one_operator(small_ranks):
+    bpe = weakref.ref(byte_bpe.load(small_ranks, P.PATTERN))
+    assert byte_bpe.load(small_ranks, P.PATTERN) is bpe()
+    first = toxicity._automaton((("vile", False, 2.0),))
+    assert toxicity._automaton((("vile", False, 2.0),)) is first
+    gc.collect()
+    assert bpe() is None  # its tables would lie beside those of the toxicity model
+    held = sys.getrefcount(first)
+    toxicity._automaton((("mean", True, 1.0),))
+    assert sys.getrefcount(first) < held  # nor do earlier models stay
+
+
+def test_cached_piece_holds_its_ids_only(small_ranks):
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(small_ranks), P.PATTERN)
+    text = " ".join(f"{a}{b}{c}{d}{e}" for a in "abcdef" for b in "abcdefgh" for c in "abcdefgh" for d in "abcdefgh" for e in "abc")
+    n = len(bpe.split(text))
+    bpe.round_trip(text)  # pairs of tokens are known from here on
+    bpe.pieces = {}
+    tracemalloc.start()
+    try:
+        bpe.round_trip(text)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(bpe.pieces) == n > 9000
+    assert held < 170 * n, held / n
+    assert bpe.encode("ab") == [257] and bpe.encode_pieces("ab") == [bpe.alone[257]]
+
+
+def test_lean_task_gives_its_rows():
+    closed = []
+
+    def run(batches):
+        try:
+            yield from (2 * b for b in batches)
+        finally:
+            closed.append(True)
+
+    assert list(common.lean(run)(iter([1, 2]))) == [2, 4] and closed == [True]
+    some = common.lean(run)(iter([1, 2]))  # a task that is ended early
+    assert next(some) == 2
+    some.close()
+    assert len(closed) == 2
